@@ -172,7 +172,7 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
         part = q[at : at + step]
         own = (part * part).sum(axis=1)
         rough = norms[None, :] - 2.0 * (part @ x.T) + own[:, None]
-        slack = 1e-9 * (1.0 + own + norms.max())
+        slack = 2e-9 * (1.0 + own + norms.max())
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(part), np.inf)
         qi, xi = np.nonzero(rough <= (kth + slack)[:, None])
         for low in range(0, len(qi), 100_000):
