@@ -699,7 +699,7 @@ oracle(
     "nearest_to_label_centres",
     "SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(d, 6) AS dist2 FROM (SELECT *,"
     " row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT c.label AS query_id, vec_id,"
-    " round(list_sum(list_transform(list_zip(c.v, list_transform(e.embedding, x -> x::DOUBLE)), z -> (z[1] - z[2]) ** 2)), 9) AS d"
+    " round(list_sum(list_transform(list_zip(c.v, list_transform(e.embedding, lambda x: x::DOUBLE)), lambda z: (z[1] - z[2]) ** 2)), 9) AS d"
     " FROM centres c CROSS JOIN embeddings e)) WHERE rank <= 5",
     centres="SELECT label, list(x ORDER BY dim) AS v FROM (SELECT label, dim, avg(x::DOUBLE) AS x FROM (SELECT label,"
     " unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY ALL) GROUP BY label",

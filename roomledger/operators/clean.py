@@ -41,24 +41,39 @@ def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if row[c] > 0]
 
 
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Exact median per column, one number each; columns without values are left out."""
+    found = {}
+    for c in cols:
+        row = exact_quantiles(df, c, [0.5]).first()
+        if row is not None:
+            found[c] = row["quantiles"][0]
+    return found
+
+
 def fill_numeric_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Replace nulls of numeric columns by the column's exact median.
 
     Only columns that hold nulls are touched; a column without any other value
     keeps its nulls. The median is found by rank over value counts, so no task
-    holds a whole column.
+    holds a whole column; it enters the plan as a constant, which filters on the
+    filled column carry down to the scan.
     """
     if cols is None:
         cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    fills = {}
-    for c in columns_with_nulls(df, cols):
-        median = exact_quantiles(df, c, [0.5]).select(F.col("quantiles")[0]).scalar()
-        fills[c] = F.coalesce(F.col(c), median)
+    known = medians(df, columns_with_nulls(df, cols))
+    fills = {c: F.coalesce(F.col(c), F.lit(value)) for c, value in known.items()}
     return df.withColumns(fills) if fills else df
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
-    """Drop rows in which every column is null."""
+    """Drop rows in which every column is null.
+
+    A column that cannot be null, such as one with a default, settles the matter
+    without a filter over all columns.
+    """
+    if any(not f.nullable for f in df.schema):
+        return df
     return df.dropna(how="all")
 
 

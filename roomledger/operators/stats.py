@@ -228,27 +228,23 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair: ``(col_a, col_b, corr)``.
 
     Each pair uses the rows where both values are known; a constant column gives
-    null. All pairs come from one global aggregate.
+    null. A row is spread over its pairs and summed up before the shuffle, which
+    then carries one row per pair and task.
     """
     cols = [c for c in cols if c in df.columns]
-    data = df.select(*[clean_number(F.col(c)).alias(c) for c in cols])
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            left, right = F.col(a), F.col(b)
-            if a == b:
-                aggs.append(ratio(F.var_pop(left), F.var_pop(left)))
-                continue
-            spread = F.stddev_pop(F.when(right.isNotNull(), left)) * F.stddev_pop(
-                F.when(left.isNotNull(), right)
-            )
-            aggs.append(ratio(F.covar_pop(left, right), spread))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = data.agg(*[agg.alias(f"p{i}") for i, agg in enumerate(aggs)])
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            entries.append(
-                F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"p{i}").alias("corr"))
-            )
-    return row.select(F.inline(F.array(*entries)))
+    numbers = df.select(*[clean_number(F.col(c)).alias(c) for c in cols])
+    spread = F.inline(
+        F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+                  for i, (a, b) in enumerate(pairs)])
+    )
+    deviations = F.stddev_pop("x") * F.stddev_pop("y")
+    corr = ratio(F.covar_pop("x", "y"), deviations).alias("corr")
+    found = numbers.select(spread).dropna().groupBy("pair").agg(corr)
+    both_ways = [
+        F.struct(F.lit(i).alias("pair"), F.lit(x).alias("col_a"), F.lit(y).alias("col_b"))
+        for i, (a, b) in enumerate(pairs)
+        for x, y in sorted({(a, b), (b, a)})
+    ]
+    names = df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*both_ways)))
+    return names.join(found, "pair", "left").select("col_a", "col_b", "corr")

@@ -22,9 +22,15 @@ def merge_files(*frames: DataFrame) -> DataFrame:
 
 
 def preprocess(*frames: DataFrame, max_adr: float = 500) -> DataFrame:
-    """From raw exports to the booking table the reports read."""
-    df = clean.parse_dates(clean.to_int(merge_files(*frames)))
-    df = adr_below(positive_nights(clean.add_total_nights(df)), max_adr)
+    """From raw exports to the booking table the reports read.
+
+    Stays without nights and high rates are dropped before the exports meet:
+    equal rows pass or fail together, so the result is the same as filtering
+    last, and the rows that go never reach the shuffle.
+    """
+    kept = [adr_below(positive_nights(clean.add_total_nights(clean_file(df))), max_adr) for df in frames]
+    df = clean.drop_duplicate_rows(clean.union_by_name(*kept))
+    df = clean.parse_dates(clean.to_int(df))
     return clean.add_revenue(clean.add_arrival_date(clean.add_month_number(df)))
 
 

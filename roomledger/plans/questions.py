@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,10 @@ PROMPT_HEAD = (
 )
 
 
+#: Routes in the order their rules are tried.
+ROUTES = ("revenue", "cancel_location", "avg_adr", "cancel_dates", "cancel_on_date", "top_countries", "rag")
+
+
 # ---- routing ------------------------------------------------------------------
 
 
@@ -130,31 +134,42 @@ def _average_answer(table: DataFrame) -> Column:
     return F.coalesce(sentence, F.lit(NO_ADR))
 
 
-def answer_from_insights(questions: DataFrame, insights: dict[str, DataFrame]) -> DataFrame:
+def answer_from_insights(
+    questions: DataFrame, insights: dict[str, DataFrame], routes: Sequence[str] | None = None
+) -> DataFrame:
     """Route the questions and answer those that an insight covers.
 
     Adds ``route`` and ``answer``; the answer is null on the ``rag`` route. Month
     and date lookups are equi joins, the other answers are scalar subqueries.
+    With ``routes``, only these questions are kept and only their insights read.
     """
-    columns = questions.columns
-    routed, revenue = _revenue_answer(route_questions(questions), insights)
-    routed, on_date = _date_answer(routed, insights)
+    columns, wanted = questions.columns, list(routes or ROUTES)
+    routed = route_questions(questions)
+    if routes is not None:
+        routed = routed.where(F.col("route").isin(wanted))
+    answer = F.lit(None).cast("string")
+    if "revenue" in wanted:
+        routed, text = _revenue_answer(routed, insights)
+        answer = F.when(F.col("route") == "revenue", text).otherwise(answer)
+    if "cancel_on_date" in wanted:
+        routed, text = _date_answer(routed, insights)
+        answer = F.when(F.col("route") == "cancel_on_date", text).otherwise(answer)
     fixed = {
-        "cancel_location": _top_five(
+        "cancel_location": lambda: _top_five(
             insights["cancellation_insights"], "location", "cancellations", "cancellations",
             TOP_LOCATIONS, NO_LOCATIONS,
         ),
-        "avg_adr": _average_answer(insights["average_adr_insight"]),
-        "cancel_dates": _top_five(
+        "avg_adr": lambda: _average_answer(insights["average_adr_insight"]),
+        "cancel_dates": lambda: _top_five(
             insights["cancellation_by_date"], "date", "count", "cancellations", TOP_DATES, NO_DATES
         ),
-        "top_countries": _top_five(
+        "top_countries": lambda: _top_five(
             insights["top_booking_countries"], "country", "count", "bookings", TOP_COUNTRIES, NO_COUNTRIES
         ),
     }
-    answer = F.when(F.col("route") == "revenue", revenue).when(F.col("route") == "cancel_on_date", on_date)
     for route, text in fixed.items():
-        answer = answer.when(F.col("route") == route, text)
+        if route in wanted:
+            answer = F.when(F.col("route") == route, text()).otherwise(answer)
     return routed.select(*columns, "route", answer.alias("answer"))
 
 
