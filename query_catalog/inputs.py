@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roomledger.operators.features import report_frame
 from roomledger.operators.render import bookings_to_text
 from roomledger.plans.cleaning import question_view
+from roomledger.scratch import scratch_path
 from roomledger.sources import country_dimension, read_bookings_tables
 
 #: Padding, impossible days and bad dates put into the raw exports.
@@ -63,10 +64,22 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory.rstrip('/')}/{name}.parquet")
 
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a derived table once and read it back, as a job with stages would."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def bookings(self) -> DataFrame:
         return read_bookings_tables(self.spark, self.directory)
 
+    @cached_property
+    def spread(self) -> DataFrame:
+        """The bookings in at least one part per core, for costly work per row."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return read_bookings_tables(self.spark, self.directory, min_partitions=cores)
+
     @cached_property
     def facts(self) -> DataFrame:
         return report_frame(self.bookings)
@@ -77,14 +90,14 @@ class Inputs:
 
     def export(self, number: int) -> DataFrame:
         """A raw export: the 32 raw columns, dirty, one name padded."""
-        rows = self.bookings.where(EXPORTS[number]).drop("arrival_date")
+        rows = self.spread.where(EXPORTS[number]).drop("arrival_date")
         rows = rows.selectExpr(*[f"{DIRT.get(c, c)} AS {c}" for c in rows.columns])
         return rows.withColumnRenamed("meal", " meal ")
 
     @cached_property
     def texts(self) -> DataFrame:
         """Every booking as text, keyed by the digest of the text."""
-        text = bookings_to_text(question_view(self.bookings), self.countries).select("text")
+        text = bookings_to_text(question_view(self.spread), self.countries).select("text")
         return text.select(F.md5("text").alias("doc_id"), "text")
 
     @cached_property
@@ -95,7 +108,7 @@ class Inputs:
                              F.col("text").alias("question"))
         for prefix, keys, parts in QUESTION_FORMS:
             asked = asked.unionByName(self.question_form(prefix, keys, parts))
-        return asked
+        return self.stored("questions", asked)
 
     def question_form(self, prefix: str, keys: list[str], parts: list[str]) -> DataFrame:
         groups = self.bookings.select(*keys).dropna().distinct()
@@ -105,4 +118,4 @@ class Inputs:
     @cached_property
     def meal_questions(self) -> DataFrame:
         form = next(f for f in QUESTION_FORMS if f[0] == "meal")
-        return self.question_form(*form)
+        return self.stored("meal-questions", self.question_form(*form))

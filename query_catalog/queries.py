@@ -713,7 +713,7 @@ def densities(t):
 
 @query("B6")
 def correlations(t):
-    constant = t.facts.withColumn("constant", F.lit(1))
+    constant = features.report_frame(t.spread).withColumn("constant", F.lit(1))
     return rounded(stats.correlation_matrix(constant, [*CORRELATION_COLUMNS, "constant"]), "corr")
 
 
@@ -758,7 +758,8 @@ def _weights(df: DataFrame) -> DataFrame:
 
 @query("R2")
 def document_vectors(t):
-    return _weights(vectors.embed(t.table("documents")))
+    cores = t.spark.sparkContext.defaultParallelism
+    return _weights(vectors.embed(t.table("documents"), partitions=cores))
 
 
 @query("R3")
@@ -789,8 +790,10 @@ def vector_check(t):
 
 @query("R2 R4 R6 R7 Q8 J7")
 def prompts_for_questions(t):
-    corpus = vectors.embed(t.texts).withColumnRenamed("doc_id", "vec_id")
-    prompts = questions.question_prompts(t.meal_questions, corpus, t.texts)
+    cores = t.spark.sparkContext.defaultParallelism
+    texts = t.stored("texts", t.texts)
+    corpus = vectors.embed(texts, partitions=cores).withColumnRenamed("doc_id", "vec_id")
+    prompts = questions.question_prompts(t.meal_questions, corpus, texts)
     return prompts.select("q_id", "prompt", "answer")
 
 

@@ -6,9 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All whitespace characters (fixed values).
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
-    """Remove all leading and trailing whitespace (``trim`` removes spaces only)."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Remove all leading and trailing whitespace (plain ``trim`` removes spaces only)."""
+    return F.trim(col, F.lit(WHITESPACE))
 
 
 def or_unknown(col: Column) -> Column:

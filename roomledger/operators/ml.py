@@ -28,6 +28,9 @@ def cancellation_feature_importance(
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in features],
                      F.col("is_canceled").cast("double").alias("label")).dropna()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # every level of the trees passes over all rows
+        rows = rows.repartition(cores)
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed)
     model = forest.fit(vectors.select("features", "label"))

@@ -8,9 +8,6 @@ hot group, ever meets in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,41 +52,28 @@ def exact_quantiles(
         (F.sum("cell_n").over(per_key.orderBy("cell")) - F.col("cell_n")).alias("before"),
         F.sum("cell_n").over(per_key).alias("total"),
     )
-    position = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
-    needed = F.array_distinct(F.array(*[f(h).cast("long") for h in position for f in (F.floor, F.ceil)]))
-    inside = F.filter(
-        needed, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cell_n"))
-    )
-    chosen = cells.select(*keys, "cell", "before", "total", inside.alias("ranks"))
-    chosen = chosen.where(F.size("ranks") > 0)
+    wanted = "array({})".format(", ".join(f"{float(p)!r}D" for p in probs))
+    needed = f"""array_distinct(flatten(transform({wanted}, p -> array(
+        cast(floor((total - 1) * p) AS bigint), cast(ceil((total - 1) * p) AS bigint)))))"""
+    inside = F.expr(f"filter({needed}, r -> r >= before AND r < before + cell_n) AS ranks")
+    chosen = cells.select(*keys, "cell", "before", "total", inside).where("size(ranks) > 0")
     if not keys:  # at most two cells per probability
         chosen = F.broadcast(chosen)
 
     values = counts.join(chosen, [*keys, "cell"])
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy("value"))
-    values = values.withColumn("upto", upto)
-    hits = values.select(
-        *keys,
-        "total",
-        "value",
-        F.explode(
-            F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
-        ).alias("rank"),
+    hits = values.withColumn("upto", upto).select(
+        *keys, "total", "value", F.expr("explode(filter(ranks, r -> r >= upto - n AND r < upto)) AS rank")
     )
     # at most 2 * len(probs) entries per key
     found = hits.groupBy(*keys).agg(
         F.first("total").alias("total"),
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),
     )
-
-    def interpolate(h: Column) -> Column:
-        low = F.col("at")[F.floor(h).cast("long")]
-        high = F.col("at")[F.ceil(h).cast("long")]
-        return low + (high - low) * (h - F.floor(h))
-
-    return found.select(
-        *keys, F.col("total").alias("n"), F.array(*[interpolate(h) for h in position]).alias("quantiles")
-    )
+    low, high = "at[cast(floor((total - 1) * p) AS bigint)]", "at[cast(ceil((total - 1) * p) AS bigint)]"
+    part = "((total - 1) * p - floor((total - 1) * p))"
+    quantiles = F.expr(f"transform({wanted}, p -> {low} + ({high} - {low}) * {part}) AS quantiles")
+    return found.select(*keys, F.col("total").alias("n"), quantiles)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
@@ -144,10 +128,10 @@ def quantile_bins(
             F.raise_error(F.lit(f"quantile edges of {col} are not unique")).cast("array<double>")
         )
     edges = exact_quantiles(df, col, probs).select(edges).scalar()
-    value = clean_number(F.col(col))
-    above = [(F.get("_edges", F.lit(i)) < value).cast("int") for i in range(q + 1)]
-    code = F.greatest(reduce(add, [F.coalesce(a, F.lit(0)) for a in above]) - 1, F.lit(0))
-    return df.withColumn("_edges", edges).withColumn(output, F.when(value.isNotNull(), code)).drop("_edges")
+    above = " + ".join(f"coalesce(cast(get(_edges, {i}) < _value AS int), 0)" for i in range(q + 1))
+    code = F.expr(f"CASE WHEN _value IS NOT NULL THEN greatest({above} - 1, 0) END")
+    marked = df.withColumns({"_edges": edges, "_value": clean_number(F.col(col))})
+    return marked.withColumn(output, code).drop("_edges", "_value")
 
 
 def cut_bins(
@@ -234,17 +218,14 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = [c for c in cols if c in df.columns]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     numbers = df.select(*[clean_number(F.col(c)).alias(c) for c in cols])
-    spread = F.inline(
-        F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-                  for i, (a, b) in enumerate(pairs)])
-    )
+    spread = ", ".join(f"struct({i} AS pair, `{a}` AS x, `{b}` AS y)" for i, (a, b) in enumerate(pairs))
+    rows = numbers.selectExpr(f"inline(array({spread}))").dropna()
     deviations = F.stddev_pop("x") * F.stddev_pop("y")
-    corr = ratio(F.covar_pop("x", "y"), deviations).alias("corr")
-    found = numbers.select(spread).dropna().groupBy("pair").agg(corr)
-    both_ways = [
-        F.struct(F.lit(i).alias("pair"), F.lit(x).alias("col_a"), F.lit(y).alias("col_b"))
+    found = rows.groupBy("pair").agg(ratio(F.covar_pop("x", "y"), deviations).alias("corr"))
+    both_ways = ", ".join(
+        f"struct({i} AS pair, '{x}' AS col_a, '{y}' AS col_b)"
         for i, (a, b) in enumerate(pairs)
         for x, y in sorted({(a, b), (b, a)})
-    ]
-    names = df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*both_ways)))
+    )
+    names = df.sparkSession.range(1, numPartitions=1).selectExpr(f"inline(array({both_ways}))")
     return names.join(found, "pair", "left").select("col_a", "col_b", "corr")

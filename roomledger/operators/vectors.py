@@ -31,23 +31,26 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     import re
 
     words = re.compile(r"[^\W_]+")
-    known: dict[str, tuple[int, int]] = {}
 
-    def place(word: str) -> tuple[int, int]:
-        spot = known.get(word)
-        if spot is None:
+    class Codes(dict):
+        """Word to dimension, shifted by ``dim`` for a negative sign."""
+
+        def __missing__(self, word: str) -> int:
             digest = hashlib.md5(word.encode()).hexdigest()
-            spot = (int(digest[:8], 16) % dim, 1 if digest[8] < "8" else -1)
-            if len(known) < 1_000_000:
-                known[word] = spot
-        return spot
+            code = int(digest[:8], 16) % dim + (0 if digest[8] < "8" else dim)
+            if len(self) < 1_000_000:
+                self[word] = code
+            return code
+
+    codes = Codes()
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in zip(out, texts):
-            for word in words.findall((text or "").lower()):
-                spot, sign = place(word)
-                row[spot] += sign
+            found = [codes[word] for word in words.findall((text or "").lower())]
+            if found:
+                counts = np.bincount(found, minlength=2 * dim)
+                row[:] = counts[:dim] - counts[dim:]
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
 
@@ -60,11 +63,14 @@ def embed(
     text_col: str = "text",
     make_encoder: Callable[[], Encoder] = hashing_encoder,
     batch_size: int = 128,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Embed texts in batches: ``(id, embedding array<float>)``.
 
     ``make_encoder`` runs once per task and returns a function from a list of
-    texts to a 2-D array, so a model is loaded where it is used.
+    texts to a 2-D array, so a model is loaded where it is used. Where the input
+    comes in fewer parts than there are cores, ``partitions`` spreads the texts
+    first; encoding costs far more than that shuffle.
     """
     kind = df.schema[id_col].dataType
     schema = T.StructType(
@@ -82,7 +88,10 @@ def embed(
                 ids = batch.column(0).slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([ids, vectors], [id_col, "embedding"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    rows = df.select(id_col, text_col)
+    if partitions is not None:
+        rows = rows.repartition(partitions, id_col)
+    return rows.mapInArrow(run, schema)
 
 
 def embed_cached(
@@ -92,6 +101,7 @@ def embed_cached(
     text_col: str = "text",
     make_encoder: Callable[[], Encoder] = hashing_encoder,
     force: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Embed with a Parquet table of known texts: ``(id, embedding)``.
 
@@ -112,7 +122,7 @@ def embed_cached(
             texts, mode = texts.join(known.select("text_hash"), "text_hash", "left_anti"), "append"
         except AnalysisException:  # nothing stored yet
             pass
-    embed(texts, "text_hash", "text", make_encoder).write.mode(mode).parquet(path)
+    embed(texts, "text_hash", "text", make_encoder, partitions=partitions).write.mode(mode).parquet(path)
     # two runs at once may both have added a text
     stored = spark.read.schema(schema).parquet(path).groupBy("text_hash").agg(
         F.max("embedding").alias("embedding")
