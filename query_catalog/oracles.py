@@ -824,3 +824,23 @@ oracle(
     "SELECT q_id, question, CAST(NULL AS VARCHAR) AS answer FROM routed WHERE route = 'rag'",
     asked=_ASKED, routed=_ROUTED,
 )
+oracle(
+    "all_answers",
+    f"SELECT q_id, route, CASE route WHEN 'revenue' THEN CASE WHEN r.month IS NULL THEN {text(Q.ASK_FOR_MONTH)}"
+    " WHEN revenue IS NULL THEN 'No revenue data found for ' || r.month || ' ' || r.year || '.'"
+    " ELSE 'Total revenue for ' || r.month || ' ' || r.year || ' was ' || format('{:,.2f}', revenue) || '.' END"
+    " WHEN 'cancel_location' THEN (SELECT answer FROM a1) WHEN 'cancel_dates' THEN (SELECT answer FROM a2)"
+    " WHEN 'top_countries' THEN (SELECT answer FROM a3) WHEN 'avg_adr' THEN (SELECT answer FROM a4)"
+    f" WHEN 'cancel_on_date' THEN CASE WHEN date_text IS NULL THEN {text(Q.ASK_FOR_DATE)} WHEN \"count\" IS NULL THEN"
+    " 'No cancellation data found for the specific date ' || date_text || '.' ELSE"
+    " \"count\" || ' bookings were canceled on ' || date_text || '.' END END AS answer"
+    " FROM routed r LEFT JOIN rev ON r.month = rev.month AND r.year = rev.year"
+    " LEFT JOIN per ON date_text = CAST(\"date\" AS VARCHAR)",
+    asked=_ASKED, routed=_ROUTED, rev=_REVENUE, per=_PER_DATE,
+    l5=_CANCEL_LOC.format(5), d5=_TOP_DATE.format(5), c5=_TOP_COUNTRY.format(5),
+    a1=_top_lines("location", "cancellations", "cancellations", Q.TOP_LOCATIONS).replace("FROM five", "FROM l5"),
+    a2=_top_lines('"date"', '"count"', "cancellations", Q.TOP_DATES).replace("FROM five", "FROM d5"),
+    a3=_top_lines("country", '"count"', "bookings", Q.TOP_COUNTRIES).replace("FROM five", "FROM c5"),
+    a4="SELECT 'The overall average daily rate (ADR) across all bookings is approximately ' || format('{:.2f}', avg(adr))"
+    " || '.' AS answer FROM bookings",
+)

@@ -20,14 +20,17 @@ def semi_join_top_k(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     return df.join(F.broadcast(top), key, "left_semi")
 
 
-def semi_join_min_count(df: DataFrame, key: str, more_than: int = 20) -> DataFrame:
+def semi_join_min_count(df: DataFrame, key: str, more_than: int = 20, hot: int = 1000) -> DataFrame:
     """Rows whose ``key`` occurs more than ``more_than`` times.
 
-    The key set has no fixed bound: the join strategy is left to the optimizer,
-    which sees the set's real size at run time.
+    The key set has no fixed bound, so it is not broadcast as a whole. Its ``hot``
+    largest keys are: their rows are picked out where they lie, however many
+    there are, and only rows of the other keys move to a join.
     """
-    often = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    return df.join(often.where(F.col("count") > more_than).select(key), key, "left_semi")
+    often = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > more_than)
+    largest = F.broadcast(often.orderBy(F.desc("count"), key).limit(hot).select(key))
+    others = df.join(largest, key, "left_anti").join(often.select(key), key, "left_semi")
+    return df.join(largest, key, "left_semi").unionByName(others)
 
 
 def lookup_dimension(

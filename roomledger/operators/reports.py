@@ -91,8 +91,9 @@ def bookings_by(df: DataFrame, col: str) -> DataFrame:
 
 def status_share(df: DataFrame, col: str = "reservation_status") -> DataFrame:
     """Bookings per value and their share of all in percent."""
-    share = F.col("bookings") * F.lit(100.0) / F.sum("bookings").over(Window.partitionBy())
-    return count_by(df, col).withColumn("share", share)
+    counts = count_by(df, col)
+    everything = counts.agg(F.sum("bookings")).scalar()
+    return counts.withColumn("share", F.col("bookings") * F.lit(100.0) / everything)
 
 
 def segment_share(df: DataFrame) -> DataFrame:

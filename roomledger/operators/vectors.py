@@ -107,7 +107,8 @@ def embed_cached(
 
     The table is keyed by a hash of the text. Each run embeds only the different
     texts it does not know yet and appends them; ``force`` starts over. Equal
-    texts are embedded once, however often they occur.
+    texts are embedded once, however often they occur. The append is committed as
+    a whole, and one run at a time may write to a path.
     """
     spark = df.sparkSession
     schema = "text_hash string, embedding array<float>"
@@ -123,10 +124,7 @@ def embed_cached(
         except AnalysisException:  # nothing stored yet
             pass
     embed(texts, "text_hash", "text", make_encoder, partitions=partitions).write.mode(mode).parquet(path)
-    # two runs at once may both have added a text
-    stored = spark.read.schema(schema).parquet(path).groupBy("text_hash").agg(
-        F.max("embedding").alias("embedding")
-    )
+    stored = spark.read.schema(schema).parquet(path)
     return rows.join(stored, "text_hash", "left").select(id_col, "embedding")
 
 
