@@ -17,7 +17,9 @@ from ..schema import LEAD_TIME_EDGES, LEAD_TIME_LABELS
 
 def value_counts(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, value, n)``: how often each non-null value occurs per key."""
-    rows = df.select(*keys, clean_number(F.col(col)).alias("value")).dropna()
+    rows = df.select(*keys, clean_number(F.col(col)).alias("value"))
+    for name in (*keys, "value"):
+        rows = rows.where(F.col(name).isNotNull())
     return rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
 
 
@@ -28,7 +30,9 @@ def _cell(value: Column) -> Column:
     the range of doubles, whatever the data holds.
     """
     size = F.least(F.abs(value) * 1e6, F.lit(1e308))
-    return (F.signum(value) * F.floor(F.log1p(size) * 512)).cast("long")
+    cell = (F.signum(value) * F.floor(F.log1p(size) * 512)).cast("long")
+    # never null, so that joining on it adds no filter and both uses share one scan
+    return F.coalesce(cell, F.lit(0))
 
 
 def exact_quantiles(
