@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roomledger.operators.features import report_frame
 from roomledger.operators.render import bookings_to_text
 from roomledger.plans.cleaning import question_view
-from roomledger.scratch import scratch_path
+from roomledger.scratch import stored
 from roomledger.sources import country_dimension, read_bookings_tables
 
 #: Padding, impossible days and bad dates put into the raw exports.
@@ -64,12 +64,6 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory.rstrip('/')}/{name}.parquet")
 
-    def stored(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a derived table once and read it back, as a job with stages would."""
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     @cached_property
     def bookings(self) -> DataFrame:
         return read_bookings_tables(self.spark, self.directory)
@@ -108,7 +102,7 @@ class Inputs:
                              F.col("text").alias("question"))
         for prefix, keys, parts in QUESTION_FORMS:
             asked = asked.unionByName(self.question_form(prefix, keys, parts))
-        return self.stored("questions", asked)
+        return stored(asked, "questions")
 
     def question_form(self, prefix: str, keys: list[str], parts: list[str]) -> DataFrame:
         groups = self.bookings.select(*keys).dropna().distinct()
@@ -118,4 +112,4 @@ class Inputs:
     @cached_property
     def meal_questions(self) -> DataFrame:
         form = next(f for f in QUESTION_FORMS if f[0] == "meal")
-        return self.stored("meal-questions", self.question_form(*form))
+        return stored(self.question_form(*form), "meal-questions")

@@ -15,7 +15,7 @@ from roomledger import functions as fn
 from roomledger.operators import clean, features, filters, joins, ml, reports, stats, vectors
 from roomledger.plans import cleaning, insights, questions
 from roomledger.schema import COUNTRY_NAMES, CORRELATION_COLUMNS, RAW_TYPES
-from roomledger.scratch import scratch_path
+from roomledger.scratch import scratch_path, stored
 from roomledger.sources import (
     read_bookings,
     read_bookings_csv,
@@ -791,7 +791,7 @@ def vector_check(t):
 @query("R2 R4 R6 R7 Q8 J7")
 def prompts_for_questions(t):
     cores = t.spark.sparkContext.defaultParallelism
-    texts = t.stored("texts", t.texts)
+    texts = stored(t.texts, "texts")
     corpus = vectors.embed(texts, partitions=cores).withColumnRenamed("doc_id", "vec_id")
     prompts = questions.question_prompts(t.meal_questions, corpus, texts)
     return prompts.select("q_id", "prompt", "answer")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CANCELLATION_FEATURES
+from ..scratch import stored
 
 _RESULT = "feature string, importance double"
 
@@ -26,10 +27,12 @@ def cancellation_feature_importance(
     Rows with a missing value are left out. Trees are grown level by level over
     the partitions; ``max_depth`` (up to 30) trades depth for passes.
     """
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features],
-                     F.col("is_canceled").cast("double").alias("label")).dropna()
+    wanted = [F.col(c).cast("double").alias(c) for c in features]
+    label = F.col("is_canceled").cast("double").alias("label")
+    # the fit reads its input several times
+    rows = stored(df.select(*wanted, label).dropna(), "training")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # every level of the trees passes over all rows
+    if rows.rdd.getNumPartitions() < cores:
         rows = rows.repartition(cores)
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import stored
+
 # Ship the functions of this module inside the tasks, so that executors do not
 # need the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -260,6 +262,8 @@ def _broadcast_search(head: pa.Table, corpus: DataFrame, k: int, schema: T.Struc
 def _block_search(
     q: DataFrame, c: DataFrame, k: int, schema: T.StructType, query_block: int, corpus_block: int
 ) -> DataFrame:
+    # both sides are read more than once; the row counts come from file footers
+    q, c = stored(q, "queries"), stored(c, "corpus")
     q_blocks = -(-q.count() // query_block)
     c_blocks = max(1, -(-c.count() // corpus_block))
 

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..schema import DERIVED_TYPES, NA_TOKENS, RAW_TYPES, booking_schema
 
 
-def read_bookings_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_bookings_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Read a booking CSV with a header row.
 
     Every field arrives as text, so one bad value cannot change a column's type;
     missing-value tokens become null and known columns get their declared type.
     Column names are matched after stripping and other columns stay text. Only
-    the header is read here; Spark does not scan the file to infer types.
+    the header is read here; Spark does not scan the file to infer types. Fields
+    with line breaks need ``multiline``, which makes each file one task.
     """
-    raw = spark.read.options(header=True, quote='"', escape='"').csv(path)
+    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline).csv(path)
     known = {**RAW_TYPES, **DERIVED_TYPES}
     columns = []
     for name in raw.columns:
