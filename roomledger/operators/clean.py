@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,11 +107,18 @@ def parse_dates(df: DataFrame, cols: Sequence[str] = ("reservation_status_date",
     return df.withColumns({c: F.col(c).try_cast("date") for c in cols})
 
 
+def _whole(df: DataFrame, col: str) -> Column:
+    """A column as whole numbers with 0 for gaps; integer columns need no coercion."""
+    if isinstance(df.schema[col].dataType, T.IntegerType):
+        return F.coalesce(F.col(col), F.lit(0))
+    return integer_or_zero(F.col(col))
+
+
 def coerce_int_or_zero(
     df: DataFrame, cols: Sequence[str] = ("children", "agent", "company")
 ) -> DataFrame:
     """Coerce to whole numbers; null and non-numeric values become 0."""
-    return df.withColumns({c: integer_or_zero(F.col(c)) for c in cols if c in df.columns})
+    return df.withColumns({c: _whole(df, c) for c in cols if c in df.columns})
 
 
 def fill_display_defaults(
@@ -135,7 +142,10 @@ def add_total_nights(
         return df.withColumn("total_nights", F.col(parts[0]) + F.col(parts[1]))
     if not set(parts) <= set(df.columns):
         return df if "total_nights" in df.columns else df.withColumn("total_nights", F.lit(0))
-    numbers = [F.coalesce(clean_number(F.col(c)), F.lit(0.0)) for c in parts]
+    if all(isinstance(df.schema[c].dataType, T.IntegerType) for c in parts):
+        numbers = [_whole(df, c) for c in parts]
+    else:
+        numbers = [F.coalesce(clean_number(F.col(c)), F.lit(0.0)) for c in parts]
     return df.withColumn("total_nights", (numbers[0] + numbers[1]).cast("int"))
 
 
