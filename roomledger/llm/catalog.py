@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash, topk
+from . import exact_dedup, mixing, packing, quality, simhash, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_exact_topk, op4_mix_sources, op6_exact_dedup, op8_simhash_groups, op9_quality_scores, op10_pack_documents)
+    for f in (op2_exact_topk, op3_substring_dedup, op4_mix_sources, op6_exact_dedup, op8_simhash_groups, op9_quality_scores, op10_pack_documents)
 }
 
-ORACLES: dict[str, str] = {"op2_exact_topk": topk.SQL, "op4_mix_sources": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op2_exact_topk": topk.SQL, "op4_mix_sources": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
