@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash, substring_dedup, topk
+from . import chat, exact_dedup, html_main, mixing, packing, quality, simhash, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_events(_table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,13 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_exact_topk, op3_substring_dedup, op4_mix_sources, op6_exact_dedup, op8_simhash_groups, op9_quality_scores, op10_pack_documents)
+    for f in (
+        op2_exact_topk, op3_substring_dedup, op4_mix_sources, op5_main_text, op6_exact_dedup, op7_tool_links,
+        op8_simhash_groups, op9_quality_scores, op10_pack_documents,
+    )
 }
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op2_exact_topk": topk.SQL, "op4_mix_sources": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {
+    "op2_exact_topk": topk.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_mix_sources": mixing.SQL,
+    "op6_exact_dedup": exact_dedup.SQL, "op7_tool_links": chat.SQL,
+}
