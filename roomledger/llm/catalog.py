@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, html_main, mixing, packing, quality, simhash, substring_dedup, topk
+from . import chat, exact_dedup, html_main, mixing, packing, quality, simhash, substring_dedup, topk, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.order_digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
@@ -52,7 +56,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_exact_topk, op3_substring_dedup, op4_mix_sources, op5_main_text, op6_exact_dedup, op7_tool_links,
+        op1_training_order, op2_exact_topk, op3_substring_dedup, op4_mix_sources, op5_main_text, op6_exact_dedup, op7_tool_links,
         op8_simhash_groups, op9_quality_scores, op10_pack_documents,
     )
 }
