@@ -9,9 +9,8 @@ from .common import Steps, hot_rows, join_lookup, text_of
 
 #: Copies of one text meet in so many salted groups before they meet globally.
 SALTS = 32
-_UNIT = F.lit("100000000000000000000").cast("decimal(21,0)")  # 10^20, more than any doc_id shifted above 0
-_SHIFT = F.lit("9223372036854775808").cast("decimal(20,0)")  # 2^63
-_NO_ID = F.lit("18446744073709551616").cast("decimal(20,0)")  # 2^64: after every doc_id
+#: More than any doc_id that is shifted to be positive; the shift; the place after every doc_id.
+_UNIT, _SHIFT, _NO_ID = 10**20, 2**63, 2**64
 
 
 def normalised(text: Column) -> Column:
@@ -19,18 +18,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
 
 
+def _number(value: int) -> Column:
+    return F.lit(str(value)).cast(f"decimal({len(str(value))},0)")
+
+
 def _rank(n_chars: Column, doc_id: Column) -> Column:
     """One number: more code points first, then the smaller doc_id, null ids last.
 
     A decimal can be updated in place, so the aggregates below stay hash aggregates.
     """
-    place = F.coalesce(doc_id.cast("decimal(20,0)") + _SHIFT, _NO_ID)
-    return (n_chars.cast("decimal(10,0)") * _UNIT - place).cast("decimal(38,0)")
+    place = F.coalesce(doc_id.cast("decimal(20,0)") + _number(_SHIFT), _number(_NO_ID))
+    return (n_chars.cast("decimal(10,0)") * _number(_UNIT) - place).cast("decimal(38,0)")
+
+
+def _chars(rank: Column) -> Column:
+    return F.ceil(rank / _number(_UNIT)).cast("long")
 
 
 def _best_id(rank: Column) -> Column:
-    place = F.ceil(rank / _UNIT).cast("decimal(12,0)") * _UNIT - rank
-    return F.when(place < _NO_ID, (place - _SHIFT).cast("long"))
+    place = _chars(rank).cast("decimal(12,0)") * _number(_UNIT) - rank
+    return F.when(place < _number(_NO_ID), (place - _number(_SHIFT)).cast("long"))
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def winners(docs: DataFrame) -> DataFrame:
     return groups.select(
         "text_sha256", _best_id(F.col("_rank")).alias("keep_id"),
         F.coalesce(whole, F.col("group_size")).alias("group_size"),
-        F.ceil(F.col("_rank") / _UNIT).cast("long").alias("_keep_n"),
+        _chars(F.col("_rank")).alias("_keep_n"),
     )
 
 

@@ -31,7 +31,7 @@ def integer_vectors(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
 
 @dataclass
