@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ _NAME = re.compile(r"[a-z]+")
 FEATURES = (
     "bias", "away_tag", "away_name", "towards_tag", "towards_name", "below_away", "below_towards", "page_towards_outside",
     "text_tag", "heading", "container", "inline", "list", "header", "header_inside", "linked", "half_linked", "empty", "short",
-    "middle", "long", "stops", "share", "small_share",
+    "middle", "long", "stops", "inside", "away", "no_towards", "no_towards_text",
 )
 
 
@@ -142,65 +142,90 @@ def parse(source: str) -> Page:
     return page
 
 
-def _names(attributes: str) -> tuple[set[str], str | None]:
-    names: set[str] = set()
-    main = None
-    if attributes and not attributes.isspace():
-        for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            key = key.lower()
-            if key in ("class", "id", "role", "itemprop"):
-                names.update(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
-            elif key == "data-main":
-                main = a or b or c
-    return names, main
+_PLACE = {name: i for i, name in enumerate(FEATURES)}
 
 
-def features(page: Page) -> tuple[list[list[int]], list[int | None]]:
+@lru_cache(4096)
+def _names(attributes: str) -> tuple[bool, bool, str | None]:
+    """Whether class, id and role name something away from, or towards, the article; the label, if any."""
+    names: set[str] = set()
+    main = None
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        key = key.lower()
+        if key in ("class", "id", "role", "itemprop"):
+            names.update(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
+        elif key == "data-main":
+            main = a or b or c
+    away, towards = bool(names & _AWAY), bool(names & _TOWARDS)
+    if towards and names & _AWAY <= {"header"}:  # the heading of an article, or an article's own name
+        away = False
+    return away, towards and not away, main
+
+
+@lru_cache(512)
+def _of_tag(tag: str) -> tuple[int, ...]:
+    holds = {
+        "bias": True, "away_tag": tag in _AWAY_TAGS, "towards_tag": tag in ("article", "main"), "text_tag": tag in _TEXT_TAGS,
+        "heading": tag in _HEADINGS, "container": tag in ("div", "section", "body", "html", "table", "tr", "tbody"),
+        "inline": tag not in _BLOCK, "list": tag in ("ul", "ol", "li", "dl"),
+    }
+    return tuple(_PLACE[k] for k, v in holds.items() if v)
+
+
+@lru_cache(4096)
+def _of_place(*holds: bool) -> tuple[int, ...]:
+    names = (
+        "away_name", "towards_name", "below_away", "below_towards", "page_towards_outside", "header", "header_inside", "inside",
+        "away", "no_towards", "no_towards_text",
+    )
+    return tuple(_PLACE[k] for k, v in zip(names, holds, strict=True) if v)
+
+
+@lru_cache(1 << 16)
+def _of_text(size: int, linked: int, stops: bool) -> tuple[int, ...]:
+    holds = {
+        "linked": size > 0 and linked > 0.8 * size, "half_linked": size > 0 and linked > 0.4 * size, "empty": size == 0,
+        "short": 0 < size < 25, "middle": 25 <= size < 100, "long": size >= 100, "stops": stops,
+    }
+    return tuple(_PLACE[k] for k, v in holds.items() if v)
+
+
+def features(page: Page) -> tuple[list[tuple[int, ...]], list[int]]:
     """The features that hold for each element, as places in ``FEATURES``, and the ``data-main`` labels."""
-    n = len(page.tags)
-    own, links, stops = [0] * n, [0] * n, [0] * n
+    n, tags, parents = len(page.tags), page.tags, page.parents
+    text, linked, stops = [0] * n, [0] * n, [0] * n
     for item in page.flow:
         if item:
-            element, text = item
-            own[element] += len(text.strip())
-            stops[element] += text.count(".") + text.count(",")
-    text, linked = own[:], [0] * n
+            element, piece = item
+            text[element] += len(piece.strip())
+            stops[element] += piece.count(".") + piece.count(",")
     for i in range(n - 1, 0, -1):
-        if page.tags[i] == "a":
+        if tags[i] == "a":
             linked[i] = text[i]
-        up = page.parents[i]
+        up = parents[i]
         text[up] += text[i]
         linked[up] += linked[i]
         stops[up] += stops[i]
-    away, towards, inside_towards, labels = [False] * n, [False] * n, [False] * n, [None] * n
-    found: list[list[int]] = []
-    names = [_names(a) for a in page.attributes]
-    some_towards = any(t in ("article", "main") for t in page.tags)
-    place = {name: i for i, name in enumerate(FEATURES)}
-    for i, tag in enumerate(page.tags):
-        up = page.parents[i]
-        mine, main = names[i]
-        below_away, below_towards = (away[up], inside_towards[up]) if i else (False, False)
+    away, inside, labels = [False] * n, [False] * n, [0] * n
+    found: list[tuple[int, ...]] = []
+    names = [_names(a) if a else (False, False, None) for a in page.attributes]
+    some_towards = any(t in ("article", "main") for t in tags) or any(t for _, t, _ in names)
+    for i, tag in enumerate(tags):
+        up = parents[i]
+        away_name, towards_name, main = names[i]
+        below_away, below_towards = (away[up], inside[up]) if i else (False, False)
         is_header = tag == "header"
-        away_name, towards_name = bool(mine & _AWAY), bool(mine & _TOWARDS)
-        away_here = tag in _AWAY_TAGS or away_name or (is_header and not below_towards)
-        towards_here = tag in ("article", "main") or (towards_name and not away_name)
+        away_here = away_name or tag in _AWAY_TAGS or (is_header and not below_towards)
         away[i] = below_away or away_here
-        inside_towards[i] = (below_towards or towards_here) and not away_here
+        inside[i] = (below_towards or towards_name or tag in ("article", "main")) and not away_here
         labels[i] = int(main) if main in ("0", "1") else (labels[up] if i else 0)
+        loose_text = not some_towards and not away[i] and (tag in _TEXT_TAGS or tag in _HEADINGS)
         size = text[i]
-        holds = {
-            "bias": True, "away_tag": tag in _AWAY_TAGS, "away_name": away_name, "towards_tag": tag in ("article", "main"),
-            "towards_name": towards_name and not away_name, "below_away": below_away, "below_towards": below_towards,
-            "page_towards_outside": some_towards and not inside_towards[i], "text_tag": tag in _TEXT_TAGS,
-            "heading": tag in _HEADINGS, "container": tag in ("div", "section", "body", "html", "table", "tr", "tbody"),
-            "inline": tag not in _BLOCK, "list": tag in ("ul", "ol", "li", "dl"), "header": is_header and not below_towards,
-            "header_inside": is_header and below_towards, "linked": size > 0 and linked[i] > 0.8 * size,
-            "half_linked": size > 0 and linked[i] > 0.4 * size, "empty": size == 0, "short": 0 < size < 25,
-            "middle": 25 <= size < 100, "long": size >= 100, "stops": stops[i] * 200 >= size > 0,
-            "share": size > 0.5 * text[0], "small_share": size < 0.05 * text[0],
-        }
-        found.append([place[k] for k, v in holds.items() if v])
+        where = _of_place(
+            away_name, towards_name, below_away, below_towards, some_towards and not inside[i], is_header and not below_towards,
+            is_header and below_towards, inside[i], away[i], not some_towards, loose_text,
+        )
+        found.append(_of_tag(tag) + where + _of_text(min(size, 1000), min(linked[i], 1000) if size < 1000 else 1000 * linked[i] // size, stops[i] * 200 >= size > 0))
     return found, labels
 
 
@@ -211,8 +236,8 @@ class Model:
     unary: np.ndarray
     pair: np.ndarray
 
-    def marginals(self, page: Page, found: list[list[int]]) -> tuple[list[float], np.ndarray]:
-        """P(article) of every element, and the expected number of edges by labels of parent and child.
+    def marginals(self, page: Page, found: list[tuple[int, ...]], count_edges: bool = False) -> tuple[list[float], np.ndarray]:
+        """P(article) of every element and, if asked for, the expected number of edges by labels of parent and child.
 
         Sum-product in log odds: messages go up from the leaves, then down from the root.
         """
@@ -238,13 +263,14 @@ class Model:
         for i in range(1, n):
             rest = max(min(belief[parents[i]] - ups[i], 50.0), -50.0)
             belief[i] = below[i] + down_message(rest)
-            mine, up = exp(max(min(below[i], 50.0), -50.0)), exp(rest)
-            joint = np.array([[p00, p01 * mine], [p10 * up, p11 * up * mine]])
-            edges += joint / joint.sum()
+            if count_edges:
+                mine, up = exp(max(min(below[i], 50.0), -50.0)), exp(rest)
+                joint = np.array([[p00, p01 * mine], [p10 * up, p11 * up * mine]])
+                edges += joint / joint.sum()
         return [1 / (1 + exp(-max(min(b, 50.0), -50.0))) for b in belief], edges
 
 
-def train(pages: list[str], rounds: int = 120, step: float = 0.3, decay: float = 0.01) -> Model:
+def train(pages: list[str], rounds: int = 80, step: float = 0.5, decay: float = 0.001) -> Model:
     """Likelihood of labelled pages by adaptive gradient steps; expectations come from message passing."""
     known = []
     for source in pages:
@@ -256,9 +282,9 @@ def train(pages: list[str], rounds: int = 120, step: float = 0.3, decay: float =
     for _ in range(rounds):
         unary, pair = -decay * model.unary, -decay * model.pair
         for page, found, labels in known:
-            marginals, edges = model.marginals(page, found)
+            marginals, edges = model.marginals(page, found, count_edges=True)
             for fs, label, p in zip(found, labels, marginals, strict=True):
-                unary[fs] += label - p
+                unary[list(fs)] += label - p
             seen = np.zeros((2, 2))
             for i in range(1, len(labels)):
                 seen[labels[page.parents[i]], labels[i]] += 1

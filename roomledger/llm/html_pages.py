@@ -58,8 +58,14 @@ _HOLDERS = [
 
 
 def labelled_pages() -> list[str]:
-    """Pages of every kind of surrounding, holder and insertion."""
+    """Pages of every kind of surrounding, holder and insertion, and small ones."""
     pages = []
+    for start, end in _HOLDERS:
+        for inside in _INSIDE[:6]:
+            pages.append(f"{start}<p>{_TEXT}</p>{inside}<p>{_SHORT}</p>{end}")
+        for before, after in _AROUND:
+            pages.append(f"<body>{before}{start}<p>{_LONG}</p>{end}{after}</body>")
+            pages.append(f"<body>{before}<header {_NOT}><p>{_TEXT}</p></header>{start}<h1>{_SHORT}</h1>{_LONG}<ul><li>{_SHORT}<li>one</ul>{end}</body>")
     for i, (before, after) in enumerate(_AROUND * 2):
         for j, (start, end) in enumerate(_HOLDERS):
             inside = _INSIDE[(i * len(_HOLDERS) + j) % len(_INSIDE)]
