@@ -94,7 +94,8 @@ def join_lookup(left: DataFrame, lookup: DataFrame, on: list[str], hot: DataFram
     found = found.withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
     )
-    rest = packed(lookup, "_cold").withColumn("_salt", F.lit(0))
+    # Always 0, but no constant: else the salt would not be a key of the join.
+    rest = packed(lookup, "_cold").withColumn("_salt", F.pmod(F.xxhash64(*on), F.lit(1)).cast("int"))
     found = found.join(rest, [*on, "_salt"], "left")
     either = F.coalesce("_hot", "_cold")
     return found.select(*left.columns, *[either[v].alias(v) for v in values])
