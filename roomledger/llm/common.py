@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +54,22 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, for executors that have no copy of it."""
+    package, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 class Steps:
     """Tables that one job writes to the shared folder between its steps.
 
@@ -61,6 +80,7 @@ class Steps:
 
     def __init__(self, spark: SparkSession, name: str, batch_rows: int = 2000):
         self.spark, self.name, self.batch_rows, self.paths = spark, name, batch_rows, {}
+        ship(spark)
 
     def store(self, df: DataFrame, step: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.name}-{step}")

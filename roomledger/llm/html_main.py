@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .html_pages import labelled_pages
 
 _TOKEN = re.compile(
@@ -324,6 +325,7 @@ def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame
     null or empty html gives an empty text; ids and urls pass through, null or repeated.
     White space in a block becomes one space; character references are decoded once.
     """
+    ship(pages.sparkSession)
     model = model or train(labelled_pages())
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     found = rows.mapInArrow(partial(_extract, model=model), "page_id long, url string, text string")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import ship, text_of
 
 #: Hashed word features, steps a statistic is cut into, and rank of the pairwise weights.
 WORDS, BINS, RANK = 1 << 12, 12, 4
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     of labels for one document the smallest counts. Without both classes the machine
     scores 0.5 everywhere.
     """
+    ship(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = [known.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
