@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from roomledger.operators.features import report_frame
 from roomledger.operators.render import bookings_to_text
+from roomledger.operators.vectors import embed
 from roomledger.plans.cleaning import question_view
+from roomledger.plans.questions import different_texts, question_prompts
 from roomledger.scratch import stored
 from roomledger.sources import country_dimension, read_bookings_tables
 
@@ -110,6 +112,8 @@ class Inputs:
         return groups.select(F.concat_ws("/", F.lit(prefix), *keys).alias("q_id"), text.alias("question"))
 
     @cached_property
-    def meal_questions(self) -> DataFrame:
-        form = next(f for f in QUESTION_FORMS if f[0] == "meal")
-        return stored(self.question_form(*form), "meal-questions")
+    def prompts(self) -> DataFrame:
+        """Prompts for every question that is left for retrieval, over all bookings as texts."""
+        texts = stored(different_texts(self.texts), "texts")
+        corpus = stored(embed(texts).withColumnRenamed("doc_id", "vec_id"), "vectors")
+        return question_prompts(self.questions, corpus, texts)

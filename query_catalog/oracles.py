@@ -394,8 +394,9 @@ oracle(
     "SELECT market_segment, "
     + ", ".join(
         f'sum(CASE WHEN distribution_channel = \'{c}\' THEN revenue END) AS "{c}"'
-        for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+        for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
     )
+    + ", sum(CASE WHEN distribution_channel NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') THEN revenue END) AS other"
     + " FROM f GROUP BY 1",
 )
 oracle(
@@ -706,9 +707,12 @@ oracle(
 )
 oracle(
     "vector_check",
-    "SELECT count(*) AS corpus_rows, count(*) AS query_rows, CAST(min(len(embedding)) AS INT) AS min_dim,"
-    " CAST(max(len(embedding)) AS INT) AS max_dim, CASE WHEN count(*) = 0 THEN 'empty'"
-    " WHEN min(len(embedding)) <> max(len(embedding)) THEN 'dimension mismatch' ELSE 'ok' END AS status FROM embeddings",
+    "SELECT corpus_rows, query_rows, least(lo, own) AS min_dim, greatest(hi, own) AS max_dim, status, \"case\" FROM ("
+    "SELECT count(*) AS corpus_rows, CAST(min(len(embedding)) AS INT) AS lo, CAST(max(len(embedding)) AS INT) AS hi FROM embeddings)"
+    " CROSS JOIN (SELECT n AS query_rows, 64 AS own, CASE WHEN n = 0 THEN 'empty' WHEN d = 64 THEN 'ok' ELSE 'dimension mismatch' END"
+    " AS status, 'same' AS \"case\" FROM turns, dims UNION ALL SELECT n, 32, CASE WHEN d = 32 THEN 'ok' ELSE 'dimension mismatch' END,"
+    " 'shorter' FROM turns, dims UNION ALL SELECT 0, NULL, 'empty', 'none')",
+    turns="SELECT count(*) AS n FROM conversations", dims="SELECT max(len(embedding)) AS d FROM embeddings",
 )
 
 
@@ -719,7 +723,6 @@ def _question_form(prefix: str, keys: list[str], parts: list[str]) -> str:
     return f"SELECT DISTINCT {q_id} AS q_id, {words} AS question FROM bookings WHERE {known}"
 
 
-_MEALS = _question_form(*next(f for f in QUESTION_FORMS if f[0] == "meal"))
 _HEAD, _SEP = text(Q.PROMPT_HEAD + "\n\nContext:\n"), text(Q.CONTEXT_SEPARATOR)
 
 
@@ -728,21 +731,10 @@ def _vectors(spots: str, key: str) -> str:
     entry = ", ".join(f"coalesce(max(w) FILTER (WHERE dim = {i}), 0)" for i in range(64))
     return (
         f"SELECT {key}, [{entry}]::DOUBLE[64] AS v FROM (SELECT {key}, dim,"
-        f" CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM ({spots})) GROUP BY {key}"
+        f" CAST(CAST(s / coalesce(nullif(sqrt(sum(s * s) OVER (PARTITION BY {key})), 0), 1) AS FLOAT) AS DOUBLE) AS w FROM ({spots})) GROUP BY {key}"
     )
 
 
-oracle(
-    "prompts_for_questions",
-    f"SELECT q_id, {_HEAD} || string_agg(text, {_SEP} ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(question)"
-    " || chr(10) || chr(10) || 'Answer:' AS prompt, CAST(NULL AS VARCHAR) AS answer"
-    " FROM near JOIN docs USING (doc_id) JOIN meals USING (q_id) GROUP BY q_id",
-    viewed=_VIEWED, texts=_TEXT_ROWS, docs="SELECT md5(text) AS doc_id, text FROM texts", meals=_MEALS,
-    dv=_vectors(_spots("SELECT doc_id, text FROM docs", "doc_id"), "doc_id"),
-    qv=_vectors(_spots("SELECT q_id, question AS text FROM meals", "q_id"), "q_id"),
-    near="SELECT q_id, doc_id, rank FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY d, doc_id) AS rank"
-    " FROM (SELECT q_id, doc_id, round(array_distance(qv.v, dv.v) ** 2, 9) AS d FROM qv CROSS JOIN dv)) WHERE rank <= 5",
-)
 oracle(
     "prompts_without_context",
     "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 0 THEN md5("
@@ -780,6 +772,41 @@ _ROUTED = (
     f" WHEN {_HAS('most bookings')} AND {_HAS('country')} THEN 'top_countries'"
     " ELSE 'rag' END AS route FROM asked)"
 )
+
+
+def _prompts(texts: str) -> dict[str, str]:
+    """CTEs that end in ``prompts``: the five nearest texts of every question on the rag route, copies counted."""
+    return {
+        "asked": _ASKED, "routed": _ROUTED,
+        "docs": f"SELECT md5(text) AS doc_id, text, count(*) AS copies FROM ({texts}) WHERE text IS NOT NULL GROUP BY text",
+        "open_questions": "SELECT q_id, question FROM routed WHERE route = 'rag'",
+        "dv": _vectors(_spots("SELECT doc_id, text FROM docs", "doc_id"), "doc_id"),
+        "worded": _vectors(_spots("SELECT q_id, question AS text FROM open_questions", "q_id"), "q_id"),
+        "qv": "SELECT q_id, coalesce(v, [0.0 for i in range(64)]::DOUBLE[64]) AS v FROM open_questions LEFT JOIN worded USING (q_id)",
+        "near": "SELECT q_id, doc_id, copies, rank, sum(copies) OVER (PARTITION BY q_id ORDER BY rank) - copies AS before FROM"
+        " (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY d, doc_id) AS rank FROM"
+        " (SELECT q_id, doc_id, round(array_distance(qv.v, dv.v) ** 2, 9) AS d FROM qv CROSS JOIN dv)"
+        " QUALIFY rank <= 5) JOIN docs USING (doc_id)",
+        "places": "SELECT q_id, doc_id, rank, unnest(range(least(copies, 5 - before)::BIGINT)) AS copy FROM near WHERE before < 5",
+        "prompts": f"SELECT q_id, {_HEAD} || string_agg(text, {_SEP} ORDER BY rank, copy) || chr(10) || chr(10) || 'Question: '"
+        " || any_value(question) || chr(10) || chr(10) || 'Answer:' AS prompt, CAST(NULL AS VARCHAR) AS answer"
+        " FROM places JOIN docs USING (doc_id) JOIN open_questions USING (q_id) GROUP BY q_id",
+    }
+
+
+oracle("prompts_for_questions", "SELECT q_id, prompt, answer FROM prompts", viewed=_VIEWED, texts=_TEXT_ROWS, **_prompts("SELECT text FROM texts"))
+oracle(
+    "prompts_with_repeated_texts", "SELECT q_id, prompt, answer FROM prompts",
+    **_prompts("SELECT 'A ' || customer_type || ' guest at the ' || hotel || ' with meal ' || meal AS text FROM bookings"),
+)
+oracle(
+    "nearest_documents",
+    "SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(d, 6) AS dist2 FROM (SELECT *,"
+    " row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT e.vec_id AS query_id, v.doc_id AS vec_id,"
+    " round(array_distance(e.embedding::DOUBLE[64], v.v) ** 2, 9) AS d FROM embeddings e CROSS JOIN dv v)) WHERE rank <= 3",
+    worded=_vectors(_spots("SELECT doc_id, text FROM documents", "doc_id"), "doc_id"),
+    dv="SELECT doc_id, coalesce(v, [0.0 for i in range(64)]::DOUBLE[64]) AS v FROM documents LEFT JOIN worded USING (doc_id)",
+)
 oracle("question_routes", "SELECT q_id, route, month, year, date_text FROM routed", asked=_ASKED, routed=_ROUTED)
 oracle(
     "revenue_answers",
@@ -826,7 +853,7 @@ oracle(
 )
 oracle(
     "all_answers",
-    f"SELECT q_id, route, CASE route WHEN 'revenue' THEN CASE WHEN r.month IS NULL THEN {text(Q.ASK_FOR_MONTH)}"
+    f"SELECT r.q_id, route, prompt, CASE route WHEN 'revenue' THEN CASE WHEN r.month IS NULL THEN {text(Q.ASK_FOR_MONTH)}"
     " WHEN revenue IS NULL THEN 'No revenue data found for ' || r.month || ' ' || r.year || '.'"
     " ELSE 'Total revenue for ' || r.month || ' ' || r.year || ' was ' || format('{:,.2f}', revenue) || '.' END"
     " WHEN 'cancel_location' THEN (SELECT answer FROM a1) WHEN 'cancel_dates' THEN (SELECT answer FROM a2)"
@@ -835,8 +862,8 @@ oracle(
     " 'No cancellation data found for the specific date ' || date_text || '.' ELSE"
     " \"count\" || ' bookings were canceled on ' || date_text || '.' END END AS answer"
     " FROM routed r LEFT JOIN rev ON r.month = rev.month AND r.year = rev.year"
-    " LEFT JOIN per ON date_text = CAST(\"date\" AS VARCHAR)",
-    asked=_ASKED, routed=_ROUTED, rev=_REVENUE, per=_PER_DATE,
+    " LEFT JOIN per ON date_text = CAST(\"date\" AS VARCHAR) LEFT JOIN prompts p ON p.q_id = r.q_id",
+    viewed=_VIEWED, texts=_TEXT_ROWS, **_prompts("SELECT text FROM texts"), rev=_REVENUE, per=_PER_DATE,
     l5=_CANCEL_LOC.format(5), d5=_TOP_DATE.format(5), c5=_TOP_COUNTRY.format(5),
     a1=_top_lines("location", "cancellations", "cancellations", Q.TOP_LOCATIONS).replace("FROM five", "FROM l5"),
     a2=_top_lines('"date"', '"count"', "cancellations", Q.TOP_DATES).replace("FROM five", "FROM d5"),

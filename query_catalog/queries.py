@@ -30,8 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Query name -> survey ids it exercises.
 COVERAGE: dict[str, str] = {}
 
-CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-ROOMS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+#: Channels with a column of their own; the others are added up.
+CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 
 
 def query(ids: str):
@@ -576,7 +576,7 @@ def avg_stay(t):
 
 @query("A31")
 def room_crosstab(t):
-    return reports.room_crosstab(t.facts, ROOMS)
+    return reports.room_crosstab(t.facts)
 
 
 @query("A32")
@@ -758,8 +758,7 @@ def _weights(df: DataFrame) -> DataFrame:
 
 @query("R2")
 def document_vectors(t):
-    cores = t.spark.sparkContext.defaultParallelism
-    return _weights(vectors.embed(t.table("documents"), partitions=cores))
+    return _weights(vectors.embed(t.table("documents")))
 
 
 @query("R3")
@@ -768,8 +767,10 @@ def cached_vectors(t):
     turns = t.table("conversations").select(
         F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "role", "text"
     )
-    vectors.embed_cached(turns.where(F.col("role") == "user"), path)
-    return _weights(vectors.embed_cached(turns, path))
+    vectors.embed_cached(turns.limit(0), path, "hash-32", make_encoder=lambda: vectors.hashing_encoder(32))
+    vectors.embed_cached(turns.where(F.col("role") == "user"), path, "hash-64")
+    vectors.embed_cached(turns.where(F.col("role") == "user"), path, "hash-32", make_encoder=lambda: vectors.hashing_encoder(32))
+    return _weights(vectors.embed_cached(turns, path, "hash-64"))
 
 
 @query("R4 J8 T4 C11")
@@ -783,17 +784,36 @@ def nearest_to_label_centres(t):
     return rounded(vectors.knn(centres, corpus, 5, query_id="label"), "dist2")
 
 
+@query("R4 J8 T4")
+def nearest_documents(t):
+    corpus = stored(vectors.embed(t.table("documents")).withColumnRenamed("doc_id", "vec_id"), "vectors")
+    near = vectors.knn(t.table("embeddings"), corpus, 3, query_id="vec_id", block=100)
+    return rounded(near, "dist2")
+
+
 @query("R5")
 def vector_check(t):
-    return vectors.validate_vectors(t.table("embeddings"), t.table("embeddings"))
+    turns = t.table("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
+    sides = {
+        "same": vectors.embed(turns),
+        "shorter": vectors.embed(turns, make_encoder=lambda: vectors.hashing_encoder(32)),
+        "none": vectors.embed(turns.where("false")),
+    }
+    checks = {name: vectors.validate_vectors(t.table("embeddings"), side) for name, side in sides.items()}
+    return union([df.withColumn("case", F.lit(name)) for name, df in checks.items()])
 
 
 @query("R2 R4 R6 R7 Q8 J7")
 def prompts_for_questions(t):
-    cores = t.spark.sparkContext.defaultParallelism
-    texts = stored(t.texts, "texts")
-    corpus = vectors.embed(texts, partitions=cores).withColumnRenamed("doc_id", "vec_id")
-    prompts = questions.question_prompts(t.meal_questions, corpus, texts)
+    return t.prompts.select("q_id", "prompt", "answer")
+
+
+@query("R4 R6 R7 Q8 J7")
+def prompts_with_repeated_texts(t):
+    kinds = t.spread.select(F.concat(F.lit("A "), "customer_type", F.lit(" guest at the "), "hotel", F.lit(" with meal "), "meal").alias("text"))
+    texts = stored(questions.different_texts(kinds), "kinds")
+    corpus = stored(vectors.embed(texts).withColumnRenamed("doc_id", "vec_id"), "vectors")
+    prompts = questions.question_prompts(t.questions, corpus, texts)
     return prompts.select("q_id", "prompt", "answer")
 
 
@@ -871,5 +891,5 @@ def questions_left_for_retrieval(t):
 def all_answers(t):
     store = scratch_path(t.spark, "insights")
     insights.build_insights(t.bookings, store)
-    answered = questions.answer_from_insights(t.questions, insights.load_insights(t.spark, store))
-    return answered.select("q_id", "route", "answer")
+    answered = questions.answer_all(t.questions, insights.load_insights(t.spark, store), t.prompts)
+    return answered.select("q_id", "route", "answer", "prompt")

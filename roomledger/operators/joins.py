@@ -20,17 +20,14 @@ def semi_join_top_k(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     return df.join(F.broadcast(top), key, "left_semi")
 
 
-def semi_join_min_count(df: DataFrame, key: str, more_than: int = 20, hot: int = 1000) -> DataFrame:
+def semi_join_min_count(df: DataFrame, key: str, more_than: int = 20) -> DataFrame:
     """Rows whose ``key`` occurs more than ``more_than`` times.
 
-    The key set has no fixed bound, so it is not broadcast as a whole. Its ``hot``
-    largest keys are: their rows are picked out where they lie, however many
-    there are, and only rows of the other keys move to a join.
+    The key set has no fixed bound, so it is not broadcast by hint; the rows of a hot
+    key are split by the adaptive skew join.
     """
     often = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > more_than)
-    largest = F.broadcast(often.orderBy(F.desc("count"), key).limit(hot).select(key))
-    others = df.join(largest, key, "left_anti").join(often.select(key), key, "left_semi")
-    return df.join(largest, key, "left_semi").unionByName(others)
+    return df.join(often.select(key).repartition(key), key, "left_semi")
 
 
 def lookup_dimension(
@@ -75,15 +72,10 @@ def lookup_insight(df: DataFrame, insight: DataFrame, on: Sequence[str] | Column
     return df.join(insight, on if isinstance(on, Column) else list(on), "left")
 
 
-def fetch_rows(
-    neighbours: DataFrame, rows: DataFrame, row_id: str = "doc_id", max_neighbours: int | None = None
-) -> DataFrame:
+def fetch_rows(neighbours: DataFrame, rows: DataFrame, row_id: str = "doc_id") -> DataFrame:
     """Rows behind neighbour ids; ids without a row are ignored.
 
-    Callers that know a limit on the neighbour list (queries times k) pass it:
-    up to 100,000 ids the list is broadcast and the rows are not shuffled.
+    A row id may repeat: every row with the id is fetched, and callers that want one
+    row per neighbour group by what they asked for.
     """
-    ids = neighbours.withColumnRenamed("vec_id", row_id)
-    if max_neighbours is not None and max_neighbours <= 100_000:
-        ids = F.broadcast(ids)
-    return rows.join(ids, row_id)
+    return rows.join(neighbours.withColumnRenamed("vec_id", row_id), row_id)

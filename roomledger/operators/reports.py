@@ -152,24 +152,32 @@ def segment_channel_revenue(df: DataFrame) -> DataFrame:
     return sum_by(df, "market_segment", "distribution_channel")
 
 
-def _pivot_values(df: DataFrame, col: str, values: Sequence[str] | None) -> list[str]:
-    """Column values of a pivot: those given, else those found (at most 10,000)."""
-    if values is not None:
-        return list(values)
-    found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(10_001).collect()
-    if len(found) > 10_000:
-        raise ValueError(f"{col} has too many values for columns")
+def pivot_values(df: DataFrame, col: str, limit: int = 10_000) -> list[str]:
+    """The values of a column, to be used as columns; more than ``limit`` are an error."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{col} has more than {limit} values")
     return [row[0] for row in found]
 
 
-def segment_channel_pivot(df: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+def _pivoted(long: DataFrame, key: str, col: str, measure: str, values: Sequence[str] | None, limit: int) -> DataFrame:
+    """One column per value; with ``values`` given, all others are added up in ``other``."""
+    if values is None:
+        return long.groupBy(key).pivot(col, pivot_values(long, col, limit)).agg(F.sum(measure))
+    sums = [F.sum(F.when(F.col(col) == v, F.col(measure))).alias(v) for v in values]
+    rest = F.sum(F.when(~F.col(col).isin(list(values)), F.col(measure))).alias("other")
+    return long.groupBy(key).agg(*sums, rest)
+
+
+def segment_channel_pivot(df: DataFrame, channels: Sequence[str] | None = None, limit: int = 10_000) -> DataFrame:
     """Revenue per market segment, one column per channel; null where none.
 
-    The long sums are aggregated first and only they are pivoted.
+    The long sums are aggregated first and only they are pivoted. Without
+    ``channels`` the channels found become columns, ``limit`` at most; with them, a
+    column ``other`` holds the revenue of all channels that are not listed, so row
+    totals are always those of the long sums.
     """
-    channels = _pivot_values(df, "distribution_channel", channels)
-    long = segment_channel_revenue(df)
-    return long.groupBy("market_segment").pivot("distribution_channel", channels).agg(F.sum("revenue"))
+    return _pivoted(segment_channel_revenue(df), "market_segment", "distribution_channel", "revenue", channels, limit)
 
 
 def revenue_means(df: DataFrame) -> DataFrame:
@@ -269,12 +277,13 @@ def avg_stay(df: DataFrame) -> DataFrame:
     return df.agg(F.avg("total_nights").alias("average_nights"))
 
 
-def room_crosstab(df: DataFrame, assigned: Sequence[str] | None = None) -> DataFrame:
-    """Bookings per reserved room type, one column per assigned type, 0 where none."""
-    assigned = _pivot_values(df, "assigned_room_type", assigned)
+def room_crosstab(df: DataFrame, assigned: Sequence[str] | None = None, limit: int = 10_000) -> DataFrame:
+    """Bookings per reserved room type, one column per assigned type, 0 where none.
+
+    Columns as in :func:`segment_channel_pivot`.
+    """
     counts = count_by(df, "reserved_room_type", "assigned_room_type")
-    wide = counts.groupBy("reserved_room_type").pivot("assigned_room_type", assigned)
-    return wide.agg(F.sum("bookings")).fillna(0)
+    return _pivoted(counts, "reserved_room_type", "assigned_room_type", "bookings", assigned, limit).fillna(0)
 
 
 def booking_changes_impact(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,10 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     import hashlib
     import re
 
-    words = re.compile(r"[^\W_]+")
+    words = re.compile(r"[^\W_]+|\0")
 
     class Codes(dict):
-        """Word to dimension, shifted by ``dim`` for a negative sign."""
+        """Word to dimension, shifted by ``dim`` for a negative sign; -1 ends a text."""
 
         def __missing__(self, word: str) -> int:
             digest = hashlib.md5(word.encode()).hexdigest()
@@ -44,15 +44,15 @@ def hashing_encoder(dim: int = 64) -> Encoder:
                 self[word] = code
             return code
 
-    codes = Codes()
+    codes = Codes({"\0": -1})
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts):
-            found = [codes[word] for word in words.findall((text or "").lower())]
-            if found:
-                counts = np.bincount(found, minlength=2 * dim)
-                row[:] = counts[:dim] - counts[dim:]
+        joined = "\0".join([(text or "").replace("\0", " ") for text in texts]).lower()
+        found = np.fromiter(map(codes.__getitem__, words.findall(joined)), np.int64)
+        ends = found < 0
+        spots = np.cumsum(ends)[~ends] * (2 * dim) + found[~ends]
+        counts = np.bincount(spots, minlength=2 * dim * len(texts)).reshape(len(texts), 2 * dim)
+        out = (counts[:, :dim] - counts[:, dim:]).astype(float)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
 
@@ -65,14 +65,12 @@ def embed(
     text_col: str = "text",
     make_encoder: Callable[[], Encoder] = hashing_encoder,
     batch_size: int = 128,
-    partitions: int | None = None,
 ) -> DataFrame:
     """Embed texts in batches: ``(id, embedding array<float>)``.
 
     ``make_encoder`` runs once per task and returns a function from a list of
-    texts to a 2-D array, so a model is loaded where it is used. Where the input
-    comes in fewer parts than there are cores, ``partitions`` spreads the texts
-    first; encoding costs far more than that shuffle.
+    texts to a 2-D array, so a model is loaded where it is used. The input keeps
+    its parts and its order; nothing is shuffled.
     """
     kind = df.schema[id_col].dataType
     schema = T.StructType(
@@ -90,44 +88,45 @@ def embed(
                 ids = batch.column(0).slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([ids, vectors], [id_col, "embedding"])
 
-    rows = df.select(id_col, text_col)
-    if partitions is not None:
-        rows = rows.repartition(partitions, id_col)
-    return rows.mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def embed_cached(
     df: DataFrame,
     path: str,
+    encoder_id: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     make_encoder: Callable[[], Encoder] = hashing_encoder,
     force: bool = False,
-    partitions: int | None = None,
 ) -> DataFrame:
     """Embed with a Parquet table of known texts: ``(id, embedding)``.
 
-    The table is keyed by a hash of the text. Each run embeds only the different
-    texts it does not know yet and appends them; ``force`` starts over. Equal
-    texts are embedded once, however often they occur. The append is committed as
-    a whole, and one run at a time may write to a path.
+    The table is keyed by ``encoder_id``, which names the model and its version,
+    and a hash of the text. Each run embeds only the different texts this encoder
+    does not know yet and appends them; ``force`` starts over for this encoder and
+    leaves the others alone. Equal texts are embedded once, however often they
+    occur. The append is committed as a whole, and one run at a time may write to
+    a path.
     """
     spark = df.sparkSession
-    schema = "text_hash string, embedding array<float>"
+    schema = "text_hash string, embedding array<float>, encoder_id string"
     rows = df.select(id_col, F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("text_hash"))
     texts = df.select(F.coalesce(text_col, F.lit("")).alias("text")).distinct()
     texts = texts.select(F.sha2("text", 256).alias("text_hash"), "text")
 
+    def known() -> DataFrame:
+        return spark.read.schema(schema).parquet(path).where(F.col("encoder_id") == encoder_id)
+
     mode = "overwrite"
     if not force:
         try:
-            known = spark.read.schema(schema).parquet(path)
-            texts, mode = texts.join(known.select("text_hash"), "text_hash", "left_anti"), "append"
+            texts, mode = texts.join(known().select("text_hash"), "text_hash", "left_anti"), "append"
         except AnalysisException:  # nothing stored yet
             pass
-    embed(texts, "text_hash", "text", make_encoder, partitions=partitions).write.mode(mode).parquet(path)
-    stored = spark.read.schema(schema).parquet(path)
-    return rows.join(stored, "text_hash", "left").select(id_col, "embedding")
+    new = embed(texts, "text_hash", "text", make_encoder).withColumn("encoder_id", F.lit(encoder_id))
+    new.write.partitionBy("encoder_id").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
+    return rows.join(known().drop("encoder_id"), "text_hash", "left").select(id_col, "embedding")
 
 
 def validate_vectors(corpus: DataFrame, queries: DataFrame, col: str = "embedding") -> DataFrame:
@@ -167,36 +166,52 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), lengths[0])
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+def _nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest rows of ``x`` per row of ``q``, by distance and then id.
 
-    A product form finds the candidates with some slack; their distances are
-    then taken directly and rounded, so that equal distances tie exactly.
+    A product in single precision finds the candidates with some slack; their
+    distances are then taken directly and rounded, so that equal distances tie
+    exactly.
     """
     if x.shape[1] != q.shape[1]:
         raise ValueError(f"query dimension {q.shape[1]} differs from corpus dimension {x.shape[1]}")
+    small = np.ascontiguousarray(x.T, dtype=np.float32)
     norms = (x * x).sum(axis=1)
     found = []
     step = max(1, 4_000_000 // max(len(x), 1))
     for at in range(0, len(q), step):
         part = q[at : at + step]
         own = (part * part).sum(axis=1)
-        rough = norms[None, :] - 2.0 * (part @ x.T) + own[:, None]
-        slack = 2e-9 * (1.0 + own + norms.max())
+        rough = norms.astype(np.float32)[None, :] - 2 * (part.astype(np.float32) @ small)
+        # products of d terms, each off by at most 2^-23 of the norms
+        slack = 4e-7 * (x.shape[1] + 4) * (own + norms.max()) + 1e-9
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(part), np.inf)
-        qi, xi = np.nonzero(rough <= (kth + slack)[:, None])
+        qi, xi = np.nonzero(rough <= (kth + 2 * slack)[:, None])
         for low in range(0, len(qi), 100_000):
             a, b = qi[low : low + 100_000], xi[low : low + 100_000]
             dist = np.round(((part[a] - x[b]) ** 2).sum(axis=1), 9)
-            found.append(pd.DataFrame({"query_id": q_ids[at + a], "vec_id": ids[b], "dist2": dist}))
+            found.append(pd.DataFrame({"query": at + a, "vec_id": ids[b], "dist2": dist}))
     return _keep(found, k)
 
 
 def _keep(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """The k best candidates per query."""
     both = pd.concat(frames, ignore_index=True)
-    both = both.sort_values(["query_id", "dist2", "vec_id"], kind="stable")
-    return both.groupby("query_id", sort=False).head(k)
+    both = both.sort_values(["query", "dist2", "vec_id"], kind="stable")
+    return both.groupby("query", sort=False).head(k)
+
+
+def _blocks(queries: DataFrame, size: int) -> list[list[int]]:
+    """Parts of the stored queries, put together to blocks of at most ``size`` rows."""
+    blocks: list[list[int]] = []
+    held = size
+    for part, n in sorted(queries.groupBy("part").count().collect()):
+        if held + n > size:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(part)
+        held += n
+    return blocks
 
 
 def knn(
@@ -206,87 +221,53 @@ def knn(
     query_id: str = "query_id",
     corpus_id: str = "vec_id",
     col: str = "embedding",
-    max_broadcast: int = 4096,
-    corpus_block: int = 50_000,
+    block: int = 4096,
 ) -> DataFrame:
     """Exact k nearest neighbours by squared distance: ``(query_id, rank, vec_id, dist2)``.
 
-    Distances are rounded to nine places and ties go to the smaller id. Up to
-    ``max_broadcast`` queries travel to the tasks as one matrix: each task keeps
-    its own top k, and only these reach the final ranking. More queries than
-    that are cut into blocks, the corpus as well, and each pair of blocks meets
-    in one task; no block grows with the data.
+    Distances are rounded to nine places and ties go to the smaller id. Queries
+    are taken in blocks of at most ``block`` rows. A block travels to the tasks as
+    one matrix, so the corpus stays where it is; each task keeps its own top k of
+    every query, and only these are shuffled. The corpus is read once per block:
+    store it first if it is costly to make.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(col).alias("embedding"))
+    q = q.withColumn("row", F.monotonically_increasing_id())
+    q = stored(q.withColumn("part", F.floor(F.col("row") / min(block, 512))), "queries")
     c = corpus.select(F.col(corpus_id).alias("vec_id"), F.col(col).alias("embedding"))
-    schema = T.StructType(
-        [
-            T.StructField("query_id", q.schema["query_id"].dataType),
-            T.StructField("vec_id", c.schema["vec_id"].dataType),
-            T.StructField("dist2", T.DoubleType()),
-        ]
-    )
-    head = q.limit(max_broadcast + 1).toArrow()
-    if head.num_rows == 0:
-        near = queries.sparkSession.createDataFrame([], schema)
-    elif head.num_rows <= max_broadcast:
-        near = _broadcast_search(head, c, k, schema)
-    else:
-        near = _block_search(q, c, k, schema, max_broadcast, corpus_block)
-    order = Window.partitionBy("query_id").orderBy("dist2", "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "dist2")
-
-
-def _broadcast_search(head: pa.Table, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    head = head.combine_chunks()
-    ids = head.column("query_id").to_pandas().to_numpy()
-    vectors = _matrix(head.column("embedding").chunk(0))
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
+    spark = queries.sparkSession
+    schema = T.StructType([T.StructField("query", T.LongType()), c.schema["vec_id"], T.StructField("dist2", T.DoubleType())])
+    order = Window.partitionBy("query").orderBy("dist2", "vec_id")
+    out = []
+    for parts in _blocks(q, block):
+        own = q.where(F.col("part").isin(parts)).orderBy("row").select("query_id", "embedding").toArrow().combine_chunks()
+        near = _search(spark, own, c, k, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        names = own.column("query_id").to_pylist()
+        ids = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("query", T.LongType()), q.schema["query_id"]]))
+        found = near.join(F.broadcast(ids), "query")  # at most ``block`` rows
+        out.append(stored(found.select("query_id", "rank", "vec_id", "dist2"), "neighbours"))
+    if not out:
+        empty = T.StructType([q.schema["query_id"], T.StructField("rank", T.IntegerType()), c.schema["vec_id"], schema["dist2"]])
+        return spark.createDataFrame([], empty)
+    result = out[0]
+    for more in out[1:]:
+        result = result.unionAll(more)
+    return result
+
+
+def _search(spark: SparkSession, own: pa.Table, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """Candidates of one block of queries: the k nearest of every task."""
+    shared = spark.sparkContext.broadcast(_matrix(own.column("embedding").chunk(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = shared.value
         best = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x_ids = batch.column("vec_id").to_pandas().to_numpy()
-            near = _nearest(q_ids, q, x_ids, _matrix(batch.column("embedding")), k)
+            ids = batch.column("vec_id").to_pandas().to_numpy()
+            near = _nearest(shared.value, ids, _matrix(batch.column("embedding")), k)
             best = near if best is None else _keep([best, near], k)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
     return corpus.mapInArrow(run, schema)
-
-
-def _block_search(
-    q: DataFrame, c: DataFrame, k: int, schema: T.StructType, query_block: int, corpus_block: int
-) -> DataFrame:
-    # both sides are read more than once; the row counts come from file footers
-    q, c = stored(q, "queries"), stored(c, "corpus")
-    q_blocks = -(-q.count() // query_block)
-    c_blocks = max(1, -(-c.count() // corpus_block))
-
-    def blocked(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(key), F.lit(own_n)).alias(own)
-        copies = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
-        return df.select("*", block).select("*", copies)
-
-    left = blocked(q, "query_id", "q_block", q_blocks, "c_block", c_blocks)
-    right = blocked(c, "vec_id", "c_block", c_blocks, "q_block", q_blocks)
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.Table.from_pylist([], schema=out_schema)
-        a, b = a.combine_chunks(), b.combine_chunks()
-        near = _nearest(
-            a.column("query_id").to_pandas().to_numpy(), _matrix(a.column("embedding").chunk(0)),
-            b.column("vec_id").to_pandas().to_numpy(), _matrix(b.column("embedding").chunk(0)), k,
-        )
-        return pa.Table.from_pandas(near, schema=out_schema, preserve_index=False)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out_schema = to_arrow_schema(schema)
-    groups = left.groupBy("q_block", "c_block").cogroup(right.groupBy("q_block", "c_block"))
-    return groups.applyInArrow(meet, schema)

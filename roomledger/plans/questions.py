@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, plain_money, strip
@@ -176,17 +176,33 @@ def answer_from_insights(
 # ---- context, prompt, generated answer -------------------------------------------
 
 
-def retrieve_context(
-    neighbours: DataFrame, texts: DataFrame, max_neighbours: int | None = None
-) -> DataFrame:
-    """Texts of the neighbours in rank order: ``(query_id, context)``.
+def retrieve_context(neighbours: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
+    """Texts of the neighbours in rank order, ``k`` at most: ``(query_id, context)``.
 
-    ``texts`` has ``(doc_id, text)``; each query gathers at most k texts.
+    ``texts`` has ``(doc_id, text)`` and may have ``copies``. A text that occurs
+    several times, as rows or by ``copies``, fills as many places as it occurs;
+    it is gathered once with its number of copies.
+    """
+    if "copies" not in texts.columns:
+        texts = texts.withColumn("copies", F.lit(1))
+    neighbours = neighbours.groupBy("query_id", "vec_id").agg(F.min("rank").alias("rank"))
+    rows = fetch_rows(neighbours, texts.select("doc_id", "text", "copies"), "doc_id")
+    places = rows.groupBy("query_id", "rank").agg(F.min("text").alias("text"), F.sum("copies").alias("copies"))
+    before = F.sum("copies").over(Window.partitionBy("query_id").orderBy("rank")) - F.col("copies")
+    places = places.withColumn("n", F.least(F.col("copies"), k - before).cast("int")).where("n > 0")
+    ordered = F.sort_array(F.collect_list(F.struct("rank", F.array_repeat("text", F.col("n")).alias("texts"))))
+    joined = F.array_join(F.flatten(F.transform(ordered, lambda r: r["texts"])), CONTEXT_SEPARATOR)
+    return places.groupBy("query_id").agg(joined.alias("context"))
+
+
+def different_texts(texts: DataFrame) -> DataFrame:
+    """One row per different text: ``(doc_id, text, copies)``.
+
+    ``doc_id`` is the digest of the text; copies are counted before the shuffle, so
+    a text that fills a third of the rows arrives as one row per task.
     """
-    rows = fetch_rows(neighbours, texts, "doc_id", max_neighbours)
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "text")))
-    joined = F.array_join(F.transform(ordered, lambda r: r["text"]), CONTEXT_SEPARATOR)
-    return rows.groupBy("query_id").agg(joined.alias("context"))
+    counted = texts.where(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("copies"))
+    return counted.select(F.md5("text").alias("doc_id"), "text", "copies")
 
 
 def build_prompts(df: DataFrame, question: str = "question", context: str = "context") -> DataFrame:
@@ -217,16 +233,28 @@ def question_prompts(
     texts: DataFrame,
     k: int = 5,
     make_encoder: Callable[[], Encoder] = hashing_encoder,
-    max_broadcast: int = 4096,
+    block: int = 4096,
 ) -> DataFrame:
     """Prompts for the ``rag`` questions: ``(q_id, question, context, prompt, answer)``.
 
-    ``corpus`` has ``(vec_id, embedding)``, ``texts`` the same ids as ``doc_id``.
+    ``corpus`` has ``(vec_id, embedding)``, ``texts`` the same ids as ``doc_id``; see
+    ``different_texts`` for texts that repeat. Every question that no rule answers
+    comes here, whatever its form.
     """
     asked = route_questions(questions).where(F.col("route") == "rag").select("q_id", "question")
     vectors = embed(asked, "q_id", "question", make_encoder)
-    near = knn(vectors, corpus, k, query_id="q_id", max_broadcast=max_broadcast)
-    few = asked.limit(max_broadcast + 1).count()
-    bound = few * k if few <= max_broadcast else None
-    context = retrieve_context(near, texts, bound).withColumnRenamed("query_id", "q_id")
+    near = knn(vectors, corpus, k, query_id="q_id", block=block)
+    context = retrieve_context(near, texts, k).withColumnRenamed("query_id", "q_id")
     return build_prompts(asked.join(context, "q_id", "left"))
+
+
+def answer_all(questions: DataFrame, insights: dict[str, DataFrame], prompts: DataFrame) -> DataFrame:
+    """Every question with its route and an answer, or the prompt that asks for one.
+
+    ``prompts`` comes from ``question_prompts``; its fixed answer stands where there is
+    no context.
+    """
+    answered = answer_from_insights(questions, insights)
+    given = prompts.select("q_id", "prompt", F.col("answer").alias("_fixed"))
+    found = answered.join(given, "q_id", "left")
+    return found.select(*answered.columns[:-1], F.coalesce("answer", "_fixed").alias("answer"), "prompt")

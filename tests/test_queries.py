@@ -7,9 +7,10 @@ import pytest
 from check_queries import bag, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from query_catalog import ORACLES as SQL
+from query_catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +23,8 @@ def test_entry(spark):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(queries()) - set(SQL) == {"cancellation_importance", "guarded_importance"}
-    assert set(SQL) <= set(queries())
+    assert set(QUERIES) - set(SQL) == {"cancellation_importance", "guarded_importance"}
+    assert set(SQL) <= set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", SQL)

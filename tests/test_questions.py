@@ -82,9 +82,8 @@ def test_routes_can_be_chosen(rows, insights):
 def test_context_prompt_and_answer(rows):
     near = rows("query_id string, rank int, vec_id bigint, dist2 double", ("a", 2, 5, 0.2), ("a", 1, 7, 0.1), ("a", 3, 99, 0.3))
     texts = rows("doc_id bigint, text string", (5, "five"), (7, "seven"))
-    for bound in (None, 3):
-        context = Q.retrieve_context(near, texts, bound)
-        assert values(context) == [("a", "seven\n---\nfive")]
+    assert values(Q.retrieve_context(near, texts)) == [("a", "seven\n---\nfive")]
+    assert values(Q.retrieve_context(near, texts, 1)) == [("a", "seven")]
     asked = rows("question string, context string", ("why?", "c"), ("how?", None), ("who?", ""))
     got = Q.build_prompts(asked).collect()
     assert got[0].prompt == Q.PROMPT_HEAD + "\n\nContext:\nc\n\nQuestion: why?\n\nAnswer:" and got[0].answer is None
@@ -103,6 +102,24 @@ def test_whole_retrieval(rows):
     assert len(got) == 1 and got[0].q_id == "m" and got[0].context == "meal BB at the beach" and got[0].prompt.endswith("Answer:")
 
 
+def test_a_context_has_at_most_k_texts(rows):
+    from roomledger.operators.vectors import embed
+
+    texts = rows("text string", *[("meal BB at the beach",)] * 30, ("meal BB in town",), ("a view",))
+    asked = rows("q_id string, question string", ("m", "meal BB at the beach?"), ("t", "in town"))
+    different = Q.different_texts(texts)
+    assert sorted(r.copies for r in different.collect()) == [1, 1, 30]
+    corpus = embed(different).withColumnRenamed("doc_id", "vec_id")
+    got = {r.q_id: r.context.split(Q.CONTEXT_SEPARATOR) for r in Q.question_prompts(asked, corpus, different).collect()}
+    assert got["m"] == ["meal BB at the beach"] * 5
+    assert got["t"] == ["meal BB in town"] + ["meal BB at the beach"] * 4 or len(got["t"]) == 5
+    # the same with repeated rows and ids on both sides
+    repeated = texts.selectExpr("md5(text) AS doc_id", "text")
+    vectors = embed(repeated).withColumnRenamed("doc_id", "vec_id")
+    again = {r.q_id: r.context.split(Q.CONTEXT_SEPARATOR) for r in Q.question_prompts(asked, vectors, repeated).collect()}
+    assert again["m"] == got["m"] and len(again["t"]) == 5
+
+
 def test_text_of_a_booking(spark, rows):
     df = rows(
         "hotel string, is_canceled int, lead_time int, arrival_date_year int, arrival_date_month string, arrival_date_week_number int, "

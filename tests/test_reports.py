@@ -121,3 +121,16 @@ def test_analytics_json(bookings):
 def test_analytics_without_rows(bookings):
     report = insights.analytics_report(insights.compute_insights(bookings.limit(0)))
     assert values(report) == [("average_adr", 1, None, "N/A")]
+
+
+def test_pivots_lose_no_rows(rows):
+    df = rows("reserved_room_type string, assigned_room_type string, market_segment string, distribution_channel string, revenue double",
+              ("A", "A", "s", "x", 1.0), ("A", "NEW", "s", "odd", 2.0), ("B", "C", "s", "y", 4.0), ("B", "C", "t", "odd", 8.0))
+    found = reports.room_crosstab(df)
+    assert found.columns == ["reserved_room_type", "A", "C", "NEW"]
+    assert sorted(values(found)) == [("A", 1, 0, 1), ("B", 0, 2, 0)]
+    assert sorted(values(reports.room_crosstab(df, ["A"]))) == [("A", 1, 1), ("B", 0, 2)]
+    wide = reports.segment_channel_pivot(df, ["x", "y"])
+    assert wide.columns == ["market_segment", "x", "y", "other"] and sorted(values(wide)) == [("s", 1.0, 4.0, 2.0), ("t", None, None, 8.0)]
+    with pytest.raises(ValueError, match="more than 1"):
+        reports.room_crosstab(df, limit=1)

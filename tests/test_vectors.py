@@ -24,16 +24,15 @@ def brute(queries, corpus, k, ids=None):
     return out
 
 
-@pytest.mark.parametrize("max_broadcast", [4096, 7])
+@pytest.mark.parametrize("block", [4096, 7])
 @pytest.mark.parametrize("copies", [False, True])
-def test_both_searches_equal_brute_force(spark, max_broadcast, copies):
+def test_search_equals_brute_force(spark, block, copies):
     rng = np.random.default_rng(4)
     corpus, queries = rng.normal(size=(500, 8)), rng.normal(size=(25, 8))
     if copies:  # a third of the corpus is one vector, and a query sits on it
         corpus[::3] = corpus[0]
         queries[0] = corpus[0]
-    df = vectors.knn(table(spark, queries, "query_id"), table(spark, corpus, "vec_id").repartition(5), 6,
-                     max_broadcast=max_broadcast, corpus_block=60)
+    df = vectors.knn(table(spark, queries, "query_id"), table(spark, corpus, "vec_id").repartition(5), 6, block=block)
     got = sorted(values(df))
     want = brute(queries, corpus, 6)
     assert [g[:3] for g in got] == [w[:3] for w in want]
@@ -92,11 +91,39 @@ def test_cache_embeds_only_new_texts(spark, tmp_path):
         return make
 
     first = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "b"), (4, None)], "doc_id bigint, text string")
-    got = {r.doc_id: list(r.embedding) for r in vectors.embed_cached(first, path, make_encoder=marking(1)).collect()}
+    got = {r.doc_id: list(r.embedding) for r in vectors.embed_cached(first, path, "m", make_encoder=marking(1)).collect()}
     assert got == {1: [1, 2], 2: [1, 2], 3: [1, 1], 4: [1, 0]}
     assert spark.read.parquet(path).count() == 3
     more = first.union(spark.createDataFrame([(5, "cccc")], "doc_id bigint, text string"))
-    got = {r.doc_id: list(r.embedding) for r in vectors.embed_cached(more, path, make_encoder=marking(2)).collect()}
+    got = {r.doc_id: list(r.embedding) for r in vectors.embed_cached(more, path, "m", make_encoder=marking(2)).collect()}
     assert got[5] == [2, 4] and got[1] == [1, 2]
-    got = {r.doc_id: list(r.embedding) for r in vectors.embed_cached(more, path, make_encoder=marking(3), force=True).collect()}
+    got = {r.doc_id: list(r.embedding) for r in vectors.embed_cached(more, path, "m", make_encoder=marking(3), force=True).collect()}
     assert got[1] == [3, 2] and pd.Series(got).size == 5
+
+
+def test_cache_keeps_encoders_apart(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    df = spark.createDataFrame([(1, "aa"), (2, "b")], "doc_id bigint, text string")
+
+    def of(dim, **options):
+        made = vectors.embed_cached(df, path, f"hash-{dim}", make_encoder=lambda: vectors.hashing_encoder(dim), **options)
+        return {len(r.embedding) for r in made.collect()}
+
+    assert of(8) == {8} and of(16) == {16} and of(8) == {8}
+    assert of(16, force=True) == {16} and of(8) == {8}
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_embedding_keeps_the_parts(spark):
+    df = spark.createDataFrame([(i, "same text") for i in range(64)], "doc_id bigint, text string").repartition(64)
+    made = vectors.embed(df)
+    assert made.rdd.getNumPartitions() == 64
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1  # the test's own
+
+
+def test_repeated_query_ids_are_queries_of_their_own(spark):
+    queries = table(spark, np.array([[0.0, 0], [9, 9]]), "query_id", [1, 1])
+    corpus = table(spark, np.array([[0.0, 1], [0, 2], [9, 8]]), "vec_id")
+    got = sorted(values(vectors.knn(queries, corpus, 2)))
+    assert [(g[0], g[1], g[2]) for g in got] == [(1, 1, 0), (1, 1, 2), (1, 2, 1), (1, 2, 1)]
