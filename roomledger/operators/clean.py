@@ -33,37 +33,33 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object] = FILL_DEFAULTS)
     return df.fillna(present) if present else df
 
 
-def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Those of ``cols`` that hold a null (one aggregate, one row to the driver)."""
-    if not cols:
-        return []
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] > 0]
-
+def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact medians in one row: ``(medians map<string, double>)``; columns without values are left out.
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Exact median per column, one number each; columns without values are left out."""
-    found = {}
-    for c in cols:
-        row = exact_quantiles(df, c, [0.5]).first()
-        if row is not None:
-            found[c] = row["quantiles"][0]
-    return found
+    One pass: the values are stacked with the name of their column and counted before
+    the shuffle.
+    """
+    stacked = ", ".join(f"struct('{c}' AS name, CAST(`{c}` AS double) AS value)" for c in cols)
+    values = df.selectExpr(f"inline(array({stacked}))")
+    found = exact_quantiles(values, "value", [0.5], ["name"])
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("quantiles")[0]))).alias("medians"))
 
 
 def fill_numeric_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Replace nulls of numeric columns by the column's exact median.
 
-    Only columns that hold nulls are touched; a column without any other value
-    keeps its nulls. The median is found by rank over value counts, so no task
-    holds a whole column; it enters the plan as a constant, which filters on the
-    filled column carry down to the scan.
+    A column without any value keeps its nulls. Columns keep their type: the median of a
+    whole-number column is truncated as :func:`to_int` does, so pass it as double where
+    halves matter. Nothing runs while the plan is built: all medians come from one scalar
+    subquery over all columns.
     """
     if cols is None:
         cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    known = medians(df, columns_with_nulls(df, cols))
-    fills = {c: F.coalesce(F.col(c), F.lit(value)) for c, value in known.items()}
-    return df.withColumns(fills) if fills else df
+    if not cols:
+        return df
+    known = df.withColumn("_medians", medians(df, cols).scalar())
+    fill = lambda c: F.coalesce(F.col(c), F.element_at("_medians", F.lit(c)).cast(df.schema[c].dataType))
+    return known.withColumns({c: fill(c) for c in cols}).drop("_medians")
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:

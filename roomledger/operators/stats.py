@@ -1,19 +1,29 @@
 """Distribution statistics.
 
-Everything here starts from value counts: one map-side aggregate turns rows into
-``(value, n)``, and the rest works on distinct values. No whole column, and no
-hot group, ever meets in one task.
+Quantiles and densities start from value counts: one map-side aggregate turns rows
+into ``(value, n)``, and the rest works on distinct values. Histograms and
+correlations are sums over the rows, added up per task. No whole column, and no hot
+group, ever meets in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_number, ratio
 from ..schema import LEAD_TIME_EDGES, LEAD_TIME_LABELS
 
+# Ship the functions of this module inside the tasks, so that executors do not
+# need the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def value_counts(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, value, n)``: how often each non-null value occurs per key."""
@@ -35,37 +45,53 @@ def _cell(value: Column) -> Column:
     return F.coalesce(cell, F.lit(0))
 
 
+#: Steps a coarse cell is cut into; only the values of one such step are ordered.
+_STEPS = 65_536
+
+
 def exact_quantiles(
     df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``(keys, n, quantiles array<double>)``.
 
-    Selection by rank in two steps. Running totals over coarse cells (few rows
-    per key) tell which cells hold the needed ranks; only the values of these
-    cells are then ordered. Ranks are exact and no step sorts a whole group.
+    Selection by rank in three steps. Running totals over coarse cells tell which
+    cells hold the needed ranks; these cells are cut evenly between their own least
+    and greatest value into at most 65,536 steps, and running totals over these tell
+    which steps do; only the values of those are then ordered. Ranks are exact, each
+    step meets a bounded number of groups, and no step sorts a whole group, also
+    where all values lie close together.
     """
     keys = list(keys)
     counts = value_counts(df, col, keys).withColumn("cell", _cell(F.col("value")))
-
-    per_key = Window.partitionBy(*keys)
-    cells = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("cell_n"))
-    cells = cells.select(
-        *keys,
-        "cell",
-        "cell_n",
-        (F.sum("cell_n").over(per_key.orderBy("cell")) - F.col("cell_n")).alias("before"),
-        F.sum("cell_n").over(per_key).alias("total"),
-    )
     wanted = "array({})".format(", ".join(f"{float(p)!r}D" for p in probs))
     needed = f"""array_distinct(flatten(transform({wanted}, p -> array(
         cast(floor((total - 1) * p) AS bigint), cast(ceil((total - 1) * p) AS bigint)))))"""
-    inside = F.expr(f"filter({needed}, r -> r >= before AND r < before + cell_n) AS ranks")
-    chosen = cells.select(*keys, "cell", "before", "total", inside).where("size(ranks) > 0")
-    if not keys:  # at most two cells per probability
-        chosen = F.broadcast(chosen)
 
-    values = counts.join(chosen, [*keys, "cell"])
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy("value"))
+    def holding(cells: DataFrame, ranks: str, *kept: str) -> DataFrame:
+        """Cells with ``before`` and ``cell_n``, those that hold ranks."""
+        inside = F.expr(f"filter({ranks}, r -> r >= before AND r < before + cell_n) AS ranks")
+        found = cells.select(*kept, "before", "total", "lo", "hi", inside).where("size(ranks) > 0")
+        return found if keys else F.broadcast(found)  # at most two cells per probability
+
+    measures = [F.sum("n").alias("cell_n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    per_key = Window.partitionBy(*keys)
+    cells = counts.groupBy(*keys, "cell").agg(*measures)
+    cells = cells.withColumns({
+        "before": F.sum("cell_n").over(per_key.orderBy("cell")) - F.col("cell_n"),
+        "total": F.sum("cell_n").over(per_key),
+    })
+    chosen = holding(cells, needed, *keys, "cell")
+
+    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    step = F.when(F.col("hi") > F.col("lo"), F.floor(share * (_STEPS - 1))).otherwise(F.lit(0))
+    inner = counts.join(chosen, [*keys, "cell"]).withColumn("step", step.cast("int"))
+    steps = inner.groupBy(*keys, "cell", "step").agg(*measures, *[F.first(c).alias(c) for c in ("before", "total", "ranks")])
+    per_cell = Window.partitionBy(*keys, "cell").orderBy("step")
+    steps = steps.withColumn("before", F.col("before") + F.sum("cell_n").over(per_cell) - F.col("cell_n"))
+    ends = holding(steps, "ranks", *keys, "cell", "step").drop("lo", "hi")
+
+    values = inner.select(*keys, "cell", "step", "value", "n").join(ends, [*keys, "cell", "step"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "cell", "step").orderBy("value"))
     hits = values.withColumn("upto", upto).select(
         *keys, "total", "value", F.expr("explode(filter(ranks, r -> r >= upto - n AND r < upto)) AS rank")
     )
@@ -84,12 +110,13 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over [min, max]: ``(bin, bin_start, bin_end, n)``.
 
     All bins are listed, the last one includes its end, and a constant column
-    gets the range half a unit to either side.
+    gets the range half a unit to either side. Rows are counted by bin, so a task
+    sends at most one row per bin to the shuffle.
     """
-    counts = value_counts(df, col)
+    values = df.select(clean_number(F.col(col)).alias("value")).where(F.col("value").isNotNull())
     low, high = F.min("value"), F.max("value")
     same = low == high
-    span = counts.agg(
+    span = values.agg(
         F.struct(
             F.when(same, low - 0.5).otherwise(low).alias("lo"),
             F.when(same, high + 0.5).otherwise(high).alias("hi"),
@@ -105,7 +132,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
         .otherwise(guess)
     )
     index = F.greatest(F.least(settled, F.lit(bins - 1)), F.lit(0)).cast("int")
-    filled = counts.withColumn("span", span).groupBy(index.alias("bin")).agg(F.sum("n").alias("n"))
+    filled = values.withColumn("span", span).groupBy(index.alias("bin")).agg(F.count("*").alias("n"))
 
     axis = df.sparkSession.range(bins, numPartitions=1)
     axis = axis.select(F.col("id").cast("int").alias("bin"), span.alias("span"))
@@ -212,24 +239,56 @@ def kde(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     return sums.select("point", x.alias("x"), (F.col("weight") / scale).alias("density"))
 
 
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and pair of columns: rows with both, means, and centred sums."""
+    parts, n_cols = [], 0
+    for batch in batches:
+        n_cols = batch.num_columns
+        parts.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+        if sum(map(len, parts)) >= 100_000:
+            yield _sums_of(np.concatenate(parts))
+            parts = []
+    if n_cols and sum(map(len, parts)):
+        yield _sums_of(np.concatenate(parts))
+
+
+def _sums_of(x: np.ndarray) -> pa.RecordBatch:
+    known = ~np.isnan(x)
+    middle = np.array([c[k].mean() if k.any() else 0.0 for c, k in zip(x.T, known.T)])
+    x, m = np.where(known, x - middle, 0.0), known.astype(float)
+    n, sums, squares, products = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+    a, b = np.nonzero((n > 0) & (np.arange(len(n))[:, None] <= np.arange(len(n))))
+    n, sa, sb = n[a, b], sums[a, b], sums[b, a]
+    columns = {
+        "a": a, "b": b, "n": n, "mean_a": middle[a] + sa / n, "mean_b": middle[b] + sb / n,
+        "aa": squares[a, b] - sa * sa / n, "bb": squares[b, a] - sb * sb / n, "ab": products[a, b] - sa * sb / n,
+    }
+    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair: ``(col_a, col_b, corr)``.
 
     Each pair uses the rows where both values are known; a constant column gives
-    null. A row is spread over its pairs and summed up before the shuffle, which
-    then carries one row per pair and task.
+    null. One pass: tasks take products of column blocks, centred on the block's
+    means, and send one row per pair and block; blocks are then put together.
     """
     cols = [c for c in cols if c in df.columns]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    numbers = df.select(*[clean_number(F.col(c)).alias(c) for c in cols])
-    spread = ", ".join(f"struct({i} AS pair, `{a}` AS x, `{b}` AS y)" for i, (a, b) in enumerate(pairs))
-    rows = numbers.selectExpr(f"inline(array({spread}))").dropna()
-    deviations = F.stddev_pop("x") * F.stddev_pop("y")
-    found = rows.groupBy("pair").agg(ratio(F.covar_pop("x", "y"), deviations).alias("corr"))
+    numbers = df.select(*[clean_number(F.col(c)).cast("double").alias(c) for c in cols])
+    schema = "a long, b long, n double, mean_a double, mean_b double, aa double, bb double, ab double"
+    parts = numbers.mapInArrow(_pair_sums, schema)
+    pair = Window.partitionBy("a", "b")
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair)
+    off_a, off_b = F.col("mean_a") - mean("mean_a"), F.col("mean_b") - mean("mean_b")
+    parts = parts.withColumns({"off_a": off_a, "off_b": off_b})
+    whole = lambda c, x, y: F.sum(F.col(c) + F.col("n") * F.col(x) * F.col(y))
+    deviations = F.sqrt(whole("aa", "off_a", "off_a")) * F.sqrt(whole("bb", "off_b", "off_b"))
+    found = parts.groupBy("a", "b").agg(ratio(whole("ab", "off_a", "off_b"), deviations).alias("corr"))
     both_ways = ", ".join(
-        f"struct({i} AS pair, '{x}' AS col_a, '{y}' AS col_b)"
-        for i, (a, b) in enumerate(pairs)
-        for x, y in sorted({(a, b), (b, a)})
+        f"struct({i}L AS a, {j}L AS b, '{x}' AS col_a, '{y}' AS col_b)"
+        for i, p in enumerate(cols)
+        for j, q in list(enumerate(cols))[i:]
+        for x, y in sorted({(p, q), (q, p)})
     )
     names = df.sparkSession.range(1, numPartitions=1).selectExpr(f"inline(array({both_ways}))")
-    return names.join(found, "pair", "left").select("col_a", "col_b", "corr")
+    return names.join(found, ["a", "b"], "left").select("col_a", "col_b", "corr")

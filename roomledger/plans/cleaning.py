@@ -37,27 +37,26 @@ def preprocess(*frames: DataFrame, max_adr: float = 500) -> DataFrame:
 def stage_counts(*frames: DataFrame, max_adr: float = 500) -> DataFrame:
     """Rows after each stage of :func:`preprocess`: ``(step, stage, rows)``.
 
-    The merged table is aggregated once; both filters are counted on the way.
+    Equal rows are grouped once, with the number of copies from each export; all counts
+    follow from these groups.
     """
-    parts = [
-        clean_file(df).agg(F.lit(i).alias("step"), F.lit(f"file {i}").alias("stage"), F.count("*").alias("rows"))
-        for i, df in enumerate(frames, 1)
-    ]
-    loaded = clean.union_by_name(*parts)
-    at = len(frames)
-    merged = clean.add_total_nights(merge_files(*frames))
+    marked = [clean_file(df).withColumn("_file", F.lit(i)) for i, df in enumerate(frames, 1)]
+    union = clean.union_by_name(*marked)
+    rows = [c for c in union.columns if c != "_file"]
+    per_file = [F.count_if(F.col("_file") == i).alias(f"_from_{i}") for i in range(1, len(frames) + 1)]
+    merged = clean.add_total_nights(union.groupBy(*rows).agg(*per_file))
     kept = F.col("total_nights") > 0
-    totals = merged.agg(
-        F.count("*").alias("deduplicated"),
-        F.count_if(kept).alias("with nights"),
-        F.count_if(kept & (F.col("adr") < max_adr)).alias("below rate limit"),
-    )
-    later = [
-        F.struct(F.lit(at + 2 + i).alias("step"), F.lit(c).alias("stage"), F.col(c).alias("rows"))
-        for i, c in enumerate(totals.columns)
-    ]
-    union = loaded.agg(F.lit(at + 1).alias("step"), F.lit("union").alias("stage"), F.sum("rows").alias("rows"))
-    return loaded.unionByName(union).unionByName(totals.select(F.inline(F.array(*later))))
+    counts = [F.coalesce(F.sum(f"_from_{i}"), F.lit(0)) for i in range(1, len(frames) + 1)]
+    stages = {f"file {i}": n for i, n in enumerate(counts, 1)}
+    stages["union"] = sum(counts[1:], counts[0])
+    stages |= {
+        "deduplicated": F.count("*"),
+        "with nights": F.count_if(kept),
+        "below rate limit": F.count_if(kept & (F.col("adr") < max_adr)),
+    }
+    totals = merged.agg(*[n.alias(name) for name, n in stages.items()])
+    entries = [F.struct(F.lit(i).alias("step"), F.lit(c).alias("stage"), F.col(c).alias("rows")) for i, c in enumerate(stages, 1)]
+    return totals.select(F.inline(F.array(*entries)))
 
 
 def question_view(df: DataFrame) -> DataFrame:

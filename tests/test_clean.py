@@ -20,7 +20,7 @@ def test_numeric_agent_becomes_text_when_filled(rows):
 def test_median_interpolates_and_touches_only_gaps(rows):
     df = rows("x int, y double, z int, s string", (1, 1.0, 1, "a"), (2, None, 2, None), (None, 4.0, 3, "b"), (4, 9.5, 4, "c"), (9, 0.0, 5, "d"))
     out = clean.fill_numeric_median(df)
-    assert [f.dataType.simpleString() for f in out.schema] == ["double", "double", "int", "string"]
+    assert [f.dataType.simpleString() for f in out.schema] == ["int", "double", "int", "string"]
     assert unordered(out.select("x", "y")) == [(1.0, 1.0), (2.0, 2.5), (3.0, 4.0), (4.0, 9.5), (9.0, 0.0)]
 
 
@@ -149,3 +149,13 @@ def test_frequent_keys_with_a_hot_one(rows):
     data = [("H", i) for i in range(50)] + [("A", 1), ("A", 1), ("B", 1), (None, 1), (None, 2)]
     kept = joins.semi_join_min_count(rows("country string, x int", *data), "country", 1)
     assert unordered(kept) == sorted([d for d in data if d[0] in ("H", "A")], key=repr)
+
+
+def test_no_job_runs_while_the_plan_is_built(rows):
+    df = rows("x int, y double, s string, stays_in_weekend_nights int, stays_in_week_nights int, adr double", (1, None, "a", 1, 2, 3.0))
+    tracker = df.sparkSession.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    filled = clean.fill_numeric_median(df)
+    counts = stage_counts(df, df)
+    assert len(tracker.getJobIdsForGroup()) == before
+    assert filled.count() == 1 and counts.count() == 6

@@ -120,3 +120,30 @@ def test_nan_is_missing(rows):
     df = rows("x double", (float("nan"),), (1.0,), (None,))
     assert unordered(stats.value_counts(df, "x")) == [(1.0, 1)]
     assert df.select(F.count("x")).first()[0] == 2
+
+
+def test_quantiles_of_values_in_one_coarse_cell(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("100.0D + id * 1e-7D AS x", "id % 3 AS k")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.77, 1.0]
+    assert df.select(stats._cell(F.col("x"))).distinct().count() <= 2
+    got = stats.exact_quantiles(df, "x", probs).first()
+    values_ = np.sort(100.0 + np.arange(n) * 1e-7)
+    assert got.n == n and list(got.quantiles) == pytest.approx(list(np.quantile(values_, probs)), abs=1e-12)
+    per_key = {r.k: list(r.quantiles) for r in stats.exact_quantiles(df, "x", probs, ["k"]).collect()}
+    for k in range(3):
+        assert per_key[k] == pytest.approx(list(np.quantile(values_[k::3], probs)), abs=1e-12)
+
+
+def test_correlations_put_blocks_together(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(1e6, 1, size=(5000, 3))
+    x[:, 1] += x[:, 0]
+    rows_ = [tuple(None if rng.random() < 0.1 else float(v) for v in row) for row in x]
+    df = spark.createDataFrame(rows_, "a double, b double, c double").repartition(7)
+    got = {(r.col_a, r.col_b): r["corr"] for r in stats.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    data = np.array(rows_, dtype=float)
+    for i, p in enumerate("abc"):
+        for j, q in enumerate("abc"):
+            both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+            assert got[p, q] == pytest.approx(np.corrcoef(data[both, i], data[both, j])[0, 1], abs=1e-9)
