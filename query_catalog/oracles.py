@@ -302,6 +302,12 @@ oracle(
     " (SELECT arrival_date FROM bookings GROUP BY 1 HAVING count(*) > 20) GROUP BY ALL",
 )
 
+oracle(
+    "frequent_country_rows",
+    "SELECT country, customer_type, count(*) AS n FROM bookings WHERE country IN"
+    " (SELECT country FROM bookings GROUP BY 1 HAVING count(*) > 20) GROUP BY ALL",
+)
+
 # ---- insights -------------------------------------------------------------------
 
 oracle("revenue_insights", _REVENUE)
@@ -426,6 +432,16 @@ oracle(
     "SELECT country, bookings, round(rate, 6) AS cancel_rate FROM (SELECT country, count(*) AS bookings,"
     " avg(is_canceled) * 100 AS rate FROM shown GROUP BY 1 HAVING count(*) > 100 ORDER BY rate DESC, country LIMIT 10)",
 )
+oracle(
+    "cancel_rate_over_20_bookings",
+    "SELECT country, bookings, round(rate, 6) AS cancel_rate FROM (SELECT country, count(*) AS bookings,"
+    " avg(is_canceled) * 100 AS rate FROM shown GROUP BY 1 HAVING count(*) > 20 ORDER BY rate DESC, country LIMIT 10)",
+)
+oracle(
+    "cancel_rate_of_hotels",
+    "SELECT hotel, round(avg(is_canceled) * 100, 6) AS plain, round(avg(is_canceled) * 100, 6) AS cancel_rate FROM f"
+    " WHERE hotel IS NOT NULL GROUP BY 1",
+)
 oracle(
     "top_countries",
     "SELECT country, count(*) AS booking_count FROM shown GROUP BY 1 ORDER BY booking_count DESC, country LIMIT 10",

@@ -394,6 +394,11 @@ def frequent_arrival_rows(t):
     return tally(joins.semi_join_min_count(t.bookings, "arrival_date", 20), "arrival_date", "hotel")
 
 
+@query("J2")
+def frequent_country_rows(t):
+    return tally(joins.semi_join_min_count(t.bookings, "country", 20), "country", "customer_type")
+
+
 # ---- insights ------------------------------------------------------------------
 
 
@@ -449,14 +454,7 @@ def overview_metrics(t):
 def bookings_by_column(t):
     cols = ["hotel", "is_canceled", "reservation_status", "customer_type", "reserved_room_type",
             "market_segment", "distribution_channel"]
-    return union(
-        [
-            reports.bookings_by(t.facts, c).select(
-                F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), "bookings"
-            )
-            for c in cols
-        ]
-    )
+    return reports.bookings_by_columns(t.facts, cols)
 
 
 @query("A12")
@@ -511,14 +509,19 @@ def cancellation_metrics(t):
 
 @query("A22")
 def cancel_rate_by_column(t):
-    rates = [
-        reports.cancel_rate_by(t.facts, c).select(F.lit(c).alias("column_name"), F.col(c).alias("value"), "cancel_rate")
-        for c in ("hotel", "customer_type", "deposit_type")
+    rates = reports.cancel_rates_by_columns(t.facts, ["hotel", "customer_type", "deposit_type"])
+    rows = [
+        F.struct("column_name", "value", "cancel_rate"),
+        F.when(F.col("column_name") == "hotel",
+               F.struct(F.lit("hotel, checked flag").alias("column_name"), "value", F.col("checked_rate").alias("cancel_rate"))),
     ]
-    checked = reports.clean_cancel_rate_by(t.facts).select(
-        F.lit("hotel, checked flag").alias("column_name"), F.col("hotel").alias("value"), "cancel_rate"
-    )
-    return rounded(union([*rates, checked]), "cancel_rate")
+    return rounded(rates.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull()))), "cancel_rate")
+
+
+@query("A22")
+def cancel_rate_of_hotels(t):
+    plain = reports.cancel_rate_by(t.facts, "hotel").withColumnRenamed("cancel_rate", "plain")
+    return rounded(plain.join(reports.clean_cancel_rate_by(t.facts), "hotel"), "plain", "cancel_rate")
 
 
 @query("A23 J1 T3")
@@ -532,6 +535,12 @@ def top_cancel_rate_countries(t):
     return rounded(reports.top_cancel_rate_countries(shown, 100), "cancel_rate")
 
 
+@query("A24 J2")
+def cancel_rate_over_20_bookings(t):
+    shown = clean.fill_display_defaults(t.facts)
+    return rounded(reports.top_cancel_rate_countries(shown, 20), "cancel_rate")
+
+
 @query("A25 T3")
 def top_countries(t):
     return reports.top_countries(clean.fill_display_defaults(t.facts))
@@ -556,17 +565,8 @@ def country_summary(t):
 def mean_by_column(t):
     pairs = [("customer_type", "adr"), ("customer_type", "total_of_special_requests"),
              ("customer_type", "lead_time"), ("market_segment", "revenue"), ("distribution_channel", "revenue")]
-    return rounded(
-        union(
-            [
-                reports.mean_by(t.facts, key, measure).select(
-                    F.lit(f"{key}/{measure}").alias("report"), F.col(key).alias("value"), F.col(measure).alias("mean")
-                )
-                for key, measure in pairs
-            ]
-        ),
-        "mean",
-    )
+    means = reports.means_by_columns(t.facts, pairs)
+    return rounded(means.select(F.concat_ws("/", "column_name", "measure").alias("report"), "value", "mean"), "mean")
 
 
 @query("A30")

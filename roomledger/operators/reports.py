@@ -61,11 +61,32 @@ def mean_by(df: DataFrame, key: str, measure: str, null_keys: str = "drop") -> D
     return grouped(df, [key], [F.avg(measure).alias(measure)], null_keys)
 
 
+def means_by_columns(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Means of several measures by several columns, in one pass: ``(column_name, measure, value, mean)``."""
+    keys, measures = dict.fromkeys(k for k, _ in pairs), dict.fromkeys(m for _, m in pairs)
+    wide = per_column(df, list(keys), *[F.avg(m).alias(m) for m in measures])
+    wanted = [F.struct(F.lit(k).alias("of"), F.lit(m).alias("measure"), F.col(m).alias("mean")) for k, m in pairs]
+    long = wide.select("column_name", "value", F.inline(F.array(*wanted))).where(F.col("of") == F.col("column_name"))
+    return long.select("column_name", "measure", "value", "mean")
+
+
 def sum_by(df: DataFrame, *keys: str, measure: str = "revenue", null_keys: str = "drop") -> DataFrame:
     """Sum of a measure per key."""
     return grouped(df, keys, [total(measure).alias(measure)], null_keys)
 
 
+def per_column(df: DataFrame, cols: Sequence[str], *aggs: Column) -> DataFrame:
+    """Aggregates per value of each of several columns, in one pass: ``(column_name, value, ...)``.
+
+    A row meets its groups of all columns in the task that reads it and is combined
+    there; values are given as text, rows without a value are left out.
+    """
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
+    spread = df.select("*", F.explode(F.array(*pairs)).alias("_pair"))
+    keys = [F.col("_pair.column_name").alias("column_name"), F.col("_pair.value").alias("value")]
+    return spread.where(F.col("_pair.value").isNotNull()).groupBy(*keys).agg(*aggs)
+
+
 def top(df: DataFrame, by: str, key: str, k: int) -> DataFrame:
     """The ``k`` rows with the largest ``by``; ties go to the smaller key."""
     return df.orderBy(F.desc(by), key).limit(k)
@@ -89,6 +110,11 @@ def bookings_by(df: DataFrame, col: str) -> DataFrame:
     return count_by(df, col).orderBy(F.desc("bookings"), col)
 
 
+def bookings_by_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Bookings per value of every column: ``(column_name, value, bookings)``."""
+    return per_column(df, cols, F.count("*").alias("bookings"))
+
+
 def status_share(df: DataFrame, col: str = "reservation_status") -> DataFrame:
     """Bookings per value and their share of all in percent."""
     counts = count_by(df, col)
@@ -206,6 +232,12 @@ def cancel_rate_by(df: DataFrame, col: str) -> DataFrame:
     return grouped(df, [col], [percent().alias("cancel_rate")])
 
 
+def cancel_rates_by_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Cancellation rate per value of every column, over all rows and over those whose flag is a number."""
+    marked = df.withColumn("_flag", clean_number(F.col("is_canceled")))
+    return per_column(marked, cols, percent().alias("cancel_rate"), percent("_flag").alias("checked_rate"))
+
+
 def clean_cancel_rate_by(df: DataFrame, col: str = "hotel") -> DataFrame:
     """Cancellation rate over the rows whose flag is a number."""
     flags = df.withColumn("is_canceled", clean_number(F.col("is_canceled")))

@@ -2,36 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import money, month_number, plain_money
-from ..operators.filters import canceled_only
-from ..operators.reports import count_by, grouped, top
+from ..functions import money, month_number, plain_money, ratio
+from ..operators.reports import top
 from ..schema import INSIGHT_SCHEMAS
+from ..scratch import stored
 from ..sources.insights import insight_exists, read_insight, write_insight
 
 
-def revenue_insights(df: DataFrame) -> DataFrame:
-    """Revenue per year and month in calendar order; unknown months come first."""
+#: Key columns of the sums, and which of them each level groups by.
+_KEYS = ("arrival_date_year", "arrival_date_month", "country", "reservation_status_date")
+_LEVELS = {"month": _KEYS[:2], "country": _KEYS[2:3], "date": _KEYS[3:], "all": ()}
+
+
+def insight_sums(df: DataFrame, levels: Sequence[str] = tuple(_LEVELS)) -> DataFrame:
+    """All counts and sums the insights need, from one pass: ``(level, keys, measures)``.
+
+    One aggregate over grouping sets, combined in each task before the shuffle. Null
+    keys are groups of their own.
+    """
     nights = F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights")
-    sums = grouped(
-        df,
-        ["arrival_date_year", "arrival_date_month"],
-        [F.sum(F.col("adr") * nights).alias("revenue")],
-        null_keys="keep",
+    level_of = {sum(1 << (len(_KEYS) - 1 - i) for i, k in enumerate(_KEYS) if k not in _LEVELS[name]): name for name in levels}
+    level = F.coalesce(*[F.when(F.grouping_id() == bits, name) for bits, name in level_of.items()])
+    sets = [[F.col(k) for k in _LEVELS[name]] for name in levels]
+    return df.groupingSets(sets, *_KEYS).agg(
+        level.alias("level"),
+        F.count("*").alias("bookings"),
+        F.count_if(F.col("is_canceled") == 1).alias("cancellations"),
+        F.sum(F.col("adr") * nights).alias("revenue"),
+        F.sum("adr").alias("adr_sum"),
+        F.count("adr").alias("adr_count"),
     )
+
+
+def _level(sums: DataFrame, name: str) -> DataFrame:
+    return sums.where(F.col("level") == name)
+
+
+def _revenue(sums: DataFrame) -> DataFrame:
     month = F.coalesce(month_number(F.col("month")), F.lit(0))
-    named = sums.select(
+    named = _level(sums, "month").select(
         F.col("arrival_date_month").alias("month"), F.col("arrival_date_year").alias("year"), "revenue"
     )
     return named.orderBy("year", month)
 
 
+def _locations(sums: DataFrame, k: int = 10) -> DataFrame:
+    counts = _level(sums, "country").where("cancellations > 0")
+    return top(counts.select(F.col("country").alias("location"), "cancellations"), "cancellations", "location", k)
+
+
+def _average_adr(sums: DataFrame) -> DataFrame:
+    return _level(sums, "all").agg(ratio(F.sum("adr_sum"), F.sum("adr_count")).alias("average_adr"))
+
+
+def _countries(sums: DataFrame, k: int = 10) -> DataFrame:
+    return top(_level(sums, "country").select("country", F.col("bookings").alias("count")), "count", "country", k)
+
+
+def _dates(sums: DataFrame) -> DataFrame:
+    counts = _level(sums, "date").where("cancellations > 0")
+    return counts.select(F.col("reservation_status_date").alias("date"), F.col("cancellations").alias("count"))
+
+
+def revenue_insights(df: DataFrame) -> DataFrame:
+    """Revenue per year and month in calendar order; unknown months come first."""
+    return _revenue(insight_sums(df, ["month"]))
+
+
 def cancellation_insights(df: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` country codes with the most cancellations."""
-    counts = count_by(canceled_only(df), "country", name="cancellations", null_keys="keep")
-    return top(counts.withColumnRenamed("country", "location"), "cancellations", "location", k)
+    return _locations(insight_sums(df, ["country"]), k)
 
 
 def average_adr_insight(df: DataFrame) -> DataFrame:
@@ -41,13 +86,12 @@ def average_adr_insight(df: DataFrame) -> DataFrame:
 
 def top_booking_countries(df: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` country codes with the most bookings."""
-    return top(count_by(df, "country", name="count", null_keys="keep"), "count", "country", k)
+    return _countries(insight_sums(df, ["country"]), k)
 
 
 def cancellations_per_date(df: DataFrame) -> DataFrame:
     """Cancellations per status date, all dates."""
-    counts = count_by(canceled_only(df), "reservation_status_date", name="count", null_keys="keep")
-    return counts.withColumnRenamed("reservation_status_date", "date")
+    return _dates(insight_sums(df, ["date"]))
 
 
 def cancellation_by_date(df: DataFrame, k: int = 10) -> DataFrame:
@@ -55,29 +99,34 @@ def cancellation_by_date(df: DataFrame, k: int = 10) -> DataFrame:
     return top(cancellations_per_date(df), "count", "date", k)
 
 
+#: Every insight from the shared sums.
 INSIGHTS = {
-    "revenue_insights": revenue_insights,
-    "cancellation_insights": cancellation_insights,
-    "average_adr_insight": average_adr_insight,
-    "top_booking_countries": top_booking_countries,
-    "cancellation_by_date": cancellation_by_date,
-    "cancellations_per_date": cancellations_per_date,
+    "revenue_insights": _revenue,
+    "cancellation_insights": _locations,
+    "average_adr_insight": _average_adr,
+    "top_booking_countries": _countries,
+    "cancellation_by_date": lambda sums: top(_dates(sums), "count", "date", 10),
+    "cancellations_per_date": _dates,
 }
 
 
 def compute_insights(df: DataFrame) -> dict[str, DataFrame]:
-    """All insight tables, unevaluated."""
-    return {name: build(df) for name, build in INSIGHTS.items()}
+    """All insight tables from one pass over the bookings, whose sums are stored."""
+    sums = stored(insight_sums(df), "insight-sums")
+    return {name: build(sums) for name, build in INSIGHTS.items()}
 
 
 def build_insights(df: DataFrame, store: str, force: bool = False) -> list[str]:
-    """Store the insight tables that are missing, or all; returns the names written."""
-    written = []
-    for name, build in INSIGHTS.items():
-        if force or not insight_exists(df.sparkSession, store, name):
-            write_insight(build(df), store, name)
-            written.append(name)
-    return written
+    """Store the insight tables that are missing, or all; returns the names written.
+
+    The bookings are read once, however many tables are written.
+    """
+    wanted = [name for name in INSIGHTS if force or not insight_exists(df.sparkSession, store, name)]
+    if wanted:
+        sums = stored(insight_sums(df), "insight-sums")
+        for name in wanted:
+            write_insight(INSIGHTS[name](sums), store, name)
+    return wanted
 
 
 def load_insights(spark: SparkSession, store: str) -> dict[str, DataFrame]:

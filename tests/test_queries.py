@@ -61,3 +61,22 @@ def test_no_cross_joins(spark):
     for name in ("revenue_insights", "price_sensitivity", "densities", "histograms", "all_answers", "nearest_to_label_centres"):
         text = plan(queries()[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def scans_of(df, table):
+    """How often the executed plan reads a table."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    return sum("FileScan parquet" in line and f"{table}.parquet" in line for line in final.splitlines())
+
+
+def test_reports_and_insights_read_the_bookings_once(spark):
+    from roomledger.plans import insights
+    from roomledger.sources import read_bookings_tables
+
+    for name in ("bookings_by_column", "cancel_rate_by_column", "mean_by_column"):
+        assert scans_of(QUERIES[name](spark, SF), "lineitem") == 1, name
+    assert scans_of(insights.insight_sums(read_bookings_tables(spark, SF)), "lineitem") == 1
+    assert scans_of(QUERIES["analytics_report"](spark, SF), "lineitem") == 0  # only the stored sums
+    assert scans_of(QUERIES["frequent_arrival_rows"](spark, SF), "lineitem") <= 2
