@@ -1,19 +1,39 @@
 """DuckDB SQL with the same result as each registered query.
 
-Written independently of the operators; only the booking view itself is shared.
+Written independently of the operators; only the booking view, the country names and
+the month names are shared. Texts and patterns are spelt out here a second time.
 """
 
 from __future__ import annotations
 
-from roomledger.plans import questions as Q
 from roomledger.schema import COUNTRY_NAMES, CORRELATION_COLUMNS, LEAD_TIME_EDGES, LEAD_TIME_LABELS, MONTHS, RAW_TYPES
-from roomledger.operators.render import SENTENCES
 from roomledger.sources.star import BOOKING_COLUMNS
 
 from .inputs import DIRT, EXPORTS, QUESTION_FORMS
 
 ORACLES: dict[str, str] = {}
 
+# ---- expected texts and patterns -------------------------------------------------
+
+MONTH_YEAR_PATTERN = (
+    "(january|jan|february|feb|march|mar|april|apr|may|june|jun|july|jul|august|aug|september|sep|october|oct"
+    "|november|nov|december|dec)[ \\t\\n\\r\\f\\v]+([0-9]{4})"
+)
+DATE_PATTERN = "([0-9]{4}-[0-9]{2}-[0-9]{2})"
+ASK_FOR_MONTH = "For revenue, please specify the full month and year (e.g., 'total revenue for July 2017')."
+ASK_FOR_DATE = "Please specify the date for cancellations in YYYY-MM-DD format."
+TOP_LOCATIONS = "Top 5 locations with highest booking cancellations:\n"
+TOP_DATES = "Top 5 dates with the most cancellations:\n"
+TOP_COUNTRIES = "Top 5 countries with the most bookings:\n"
+NO_CONTEXT = "I couldn't find relevant information in the dataset to answer that question."
+NO_GENERATION = "The LLaMA model could not generate an answer based on the provided context."
+PROMPT_START = (
+    "Use the following context extracted from hotel booking data to answer the question. Provide a concise answer based *only* on "
+    "the context given. Do not add information not present in the context. If the context doesn't contain the answer, say so."
+    "\n\nContext:\n"
+)
+
+
 
 def text(value: str) -> str:
     """A SQL string literal."""
@@ -653,6 +673,13 @@ oracle(
     ),
 )
 
+oracle(
+    "planted_importance",
+    "SELECT 8 AS features, 1.0::DOUBLE AS total, 'lead_time' AS first, true AS none_negative, report"
+    " FROM (VALUES ('forest'), ('guarded')) v(report) WHERE (SELECT count(DISTINCT is_canceled) FROM f) = 2"
+    " UNION ALL SELECT 0, 0.0, 'not enough rows', true, 'few'",
+)
+
 # ---- text and vectors ---------------------------------------------------------------
 
 _VIEWED = (
@@ -662,21 +689,19 @@ _VIEWED = (
 )
 
 
-def _sentence() -> str:
-    parts = []
-    for i, piece in enumerate("".join(SENTENCES).replace("}", "{").split("{")):
-        if i % 2 == 0:
-            parts.append(text(piece))
-        elif piece.endswith("?"):
-            parts.append(f"CASE WHEN {piece[:-1]} = 1 THEN 'Yes' ELSE 'No' END")
-        elif piece == "country_name":
-            parts.append("coalesce(name, country)")
-        else:
-            parts.append(f"coalesce(CAST({piece} AS VARCHAR), 'unknown')")
-    return " || ".join(parts)
-
-
-_TEXT_ROWS = f"SELECT {_sentence()} AS text FROM viewed LEFT JOIN names ON country = code"
+_TEXT_ROWS = """SELECT format('Hotel: {}. Canceled: {}. Lead time: {} days. Arrival: {}-{}-{} (Week {}). '
+    || 'Stay: {} weeknights, {} weekend nights. Guests: {} adults, {} children, {} babies. Meal: {}. Country: {}. '
+    || 'Market segment: {}, Channel: {}. Repeated guest: {}. '
+    || 'Previous cancellations: {}, Previous bookings not canceled: {}. Room reserved: {}, Assigned: {}. '
+    || 'Booking changes: {}. Deposit type: {}. Agent: {}, Company: {}. Waiting list days: {}. Customer type: {}. ADR: {}. '
+    || 'Parking spaces: {}. Special requests: {}. Reservation status: {} on {}. Total nights: {}. Revenue: {}.',
+    hotel, CASE is_canceled WHEN '1' THEN 'Yes' ELSE 'No' END, lead_time, arrival_date_day_of_month, arrival_date_month,
+    arrival_date_year, arrival_date_week_number, stays_in_week_nights, stays_in_weekend_nights, adults, children, babies, meal,
+    coalesce(name, country), market_segment, distribution_channel, CASE is_repeated_guest WHEN '1' THEN 'Yes' ELSE 'No' END,
+    previous_cancellations, previous_bookings_not_canceled, reserved_room_type, assigned_room_type, booking_changes,
+    deposit_type, agent, company, days_in_waiting_list, customer_type, adr, required_car_parking_spaces,
+    total_of_special_requests, reservation_status, reservation_status_date, total_nights, revenue) AS text
+  FROM (SELECT coalesce(CAST(COLUMNS(*) AS VARCHAR), 'unknown') FROM viewed) LEFT JOIN names ON country = code"""
 oracle(
     "booking_texts",
     "SELECT md5(text) AS doc_id, CAST(length(text) AS INT) AS n_chars, substr(text, 500, 60) AS tail FROM texts",
@@ -739,7 +764,7 @@ def _question_form(prefix: str, keys: list[str], parts: list[str]) -> str:
     return f"SELECT DISTINCT {q_id} AS q_id, {words} AS question FROM bookings WHERE {known}"
 
 
-_HEAD, _SEP = text(Q.PROMPT_HEAD + "\n\nContext:\n"), text(Q.CONTEXT_SEPARATOR)
+_HEAD, _SEP = text(PROMPT_START), text("\n---\n")
 
 
 def _vectors(spots: str, key: str) -> str:
@@ -755,11 +780,11 @@ oracle(
     "prompts_without_context",
     "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 0 THEN md5("
     f"{_HEAD} || text || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:') END AS prompt,"
-    f" CASE WHEN role <> 'assistant' OR length(text) = 0 THEN {text(Q.NO_CONTEXT)} END AS answer FROM conversations",
+    f" CASE WHEN role <> 'assistant' OR length(text) = 0 THEN {text(NO_CONTEXT)} END AS answer FROM conversations",
 )
 oracle(
     "extracted_answers",
-    "SELECT conv_id, turn, CASE WHEN answer = '' THEN " + text(Q.NO_GENERATION) + " ELSE answer END AS answer FROM ("
+    "SELECT conv_id, turn, CASE WHEN answer = '' THEN " + text(NO_GENERATION) + " ELSE answer END AS answer FROM ("
     "SELECT conv_id, turn, CASE WHEN turn > 1 THEN '' ELSE regexp_replace(last, '^\\s+|\\s+$', '', 'g') END AS answer"
     " FROM (SELECT *, CASE WHEN contains(text, 'Answer:') THEN split_part(text, 'Answer:', -1) ELSE text END AS last"
     " FROM conversations))",
@@ -772,13 +797,13 @@ _ASKED = (
     + "".join(" UNION ALL " + _question_form(*form) for form in QUESTION_FORMS)
 )
 _HAS = "contains(lower(question), '{}')".format
-_MONTH_PATTERN = text(Q.MONTH_YEAR_PATTERN)
+_MONTH_PATTERN = text(MONTH_YEAR_PATTERN)
 _SHORT = f"substr(regexp_extract(lower(question), {_MONTH_PATTERN}, 1), 1, 3)"
 _ROUTED = (
     "SELECT *, CASE WHEN route = 'revenue' THEN CASE " + _SHORT + " "
     + " ".join(f"WHEN '{m[:3].lower()}' THEN '{m}'" for m in MONTHS)
     + f" END END AS month, CASE WHEN route = 'revenue' THEN TRY_CAST(regexp_extract(lower(question), {_MONTH_PATTERN}, 2) AS INT)"
-    f" END AS year, CASE WHEN route = 'cancel_on_date' THEN nullif(regexp_extract(question, {text(Q.DATE_PATTERN)}, 1), '') END"
+    f" END AS year, CASE WHEN route = 'cancel_on_date' THEN nullif(regexp_extract(question, {text(DATE_PATTERN)}, 1), '') END"
     " AS date_text FROM (SELECT *, CASE"
     f" WHEN {_HAS('total revenue')} THEN 'revenue'"
     f" WHEN {_HAS('highest booking cancellations')} AND ({_HAS('location')} OR {_HAS('country')}) THEN 'cancel_location'"
@@ -826,7 +851,7 @@ oracle(
 oracle("question_routes", "SELECT q_id, route, month, year, date_text FROM routed", asked=_ASKED, routed=_ROUTED)
 oracle(
     "revenue_answers",
-    f"SELECT q_id, CASE WHEN r.month IS NULL THEN {text(Q.ASK_FOR_MONTH)}"
+    f"SELECT q_id, CASE WHEN r.month IS NULL THEN {text(ASK_FOR_MONTH)}"
     " WHEN revenue IS NULL THEN 'No revenue data found for ' || r.month || ' ' || r.year || '.'"
     " ELSE 'Total revenue for ' || r.month || ' ' || r.year || ' was ' || format('{:,.2f}', revenue) || '.' END AS answer"
     " FROM routed r LEFT JOIN rev ON r.month = rev.month AND r.year = rev.year WHERE route = 'revenue'",
@@ -841,11 +866,11 @@ def _top_lines(label: str, count: str, unit: str, head: str) -> str:
 
 for _name, _route, _lines, _five in (
     ("cancel_location_answers", "cancel_location",
-     _top_lines("location", "cancellations", "cancellations", Q.TOP_LOCATIONS), _CANCEL_LOC.format(5)),
+     _top_lines("location", "cancellations", "cancellations", TOP_LOCATIONS), _CANCEL_LOC.format(5)),
     ("cancel_date_answers", "cancel_dates",
-     _top_lines('"date"', '"count"', "cancellations", Q.TOP_DATES), _TOP_DATE.format(5)),
+     _top_lines('"date"', '"count"', "cancellations", TOP_DATES), _TOP_DATE.format(5)),
     ("top_country_answers", "top_countries",
-     _top_lines("country", '"count"', "bookings", Q.TOP_COUNTRIES), _TOP_COUNTRY.format(5)),
+     _top_lines("country", '"count"', "bookings", TOP_COUNTRIES), _TOP_COUNTRY.format(5)),
     ("average_adr_answers", "avg_adr",
      "SELECT 'The overall average daily rate (ADR) across all bookings is approximately ' || format('{:.2f}', adr)"
      " || '.' AS answer FROM five", "SELECT avg(adr) AS adr FROM bookings"),
@@ -856,7 +881,7 @@ for _name, _route, _lines, _five in (
     )
 oracle(
     "cancellations_on_date_answers",
-    f"SELECT q_id, CASE WHEN date_text IS NULL THEN {text(Q.ASK_FOR_DATE)} WHEN \"count\" IS NULL THEN"
+    f"SELECT q_id, CASE WHEN date_text IS NULL THEN {text(ASK_FOR_DATE)} WHEN \"count\" IS NULL THEN"
     " 'No cancellation data found for the specific date ' || date_text || '.' ELSE"
     " \"count\" || ' bookings were canceled on ' || date_text || '.' END AS answer FROM routed LEFT JOIN per"
     " ON date_text = CAST(\"date\" AS VARCHAR) WHERE route = 'cancel_on_date'",
@@ -869,21 +894,21 @@ oracle(
 )
 oracle(
     "all_answers",
-    f"SELECT r.q_id, route, prompt, CASE route WHEN 'revenue' THEN CASE WHEN r.month IS NULL THEN {text(Q.ASK_FOR_MONTH)}"
+    f"SELECT r.q_id, route, prompt, CASE route WHEN 'revenue' THEN CASE WHEN r.month IS NULL THEN {text(ASK_FOR_MONTH)}"
     " WHEN revenue IS NULL THEN 'No revenue data found for ' || r.month || ' ' || r.year || '.'"
     " ELSE 'Total revenue for ' || r.month || ' ' || r.year || ' was ' || format('{:,.2f}', revenue) || '.' END"
     " WHEN 'cancel_location' THEN (SELECT answer FROM a1) WHEN 'cancel_dates' THEN (SELECT answer FROM a2)"
     " WHEN 'top_countries' THEN (SELECT answer FROM a3) WHEN 'avg_adr' THEN (SELECT answer FROM a4)"
-    f" WHEN 'cancel_on_date' THEN CASE WHEN date_text IS NULL THEN {text(Q.ASK_FOR_DATE)} WHEN \"count\" IS NULL THEN"
+    f" WHEN 'cancel_on_date' THEN CASE WHEN date_text IS NULL THEN {text(ASK_FOR_DATE)} WHEN \"count\" IS NULL THEN"
     " 'No cancellation data found for the specific date ' || date_text || '.' ELSE"
     " \"count\" || ' bookings were canceled on ' || date_text || '.' END END AS answer"
     " FROM routed r LEFT JOIN rev ON r.month = rev.month AND r.year = rev.year"
     " LEFT JOIN per ON date_text = CAST(\"date\" AS VARCHAR) LEFT JOIN prompts p ON p.q_id = r.q_id",
     viewed=_VIEWED, texts=_TEXT_ROWS, **_prompts("SELECT text FROM texts"), rev=_REVENUE, per=_PER_DATE,
     l5=_CANCEL_LOC.format(5), d5=_TOP_DATE.format(5), c5=_TOP_COUNTRY.format(5),
-    a1=_top_lines("location", "cancellations", "cancellations", Q.TOP_LOCATIONS).replace("FROM five", "FROM l5"),
-    a2=_top_lines('"date"', '"count"', "cancellations", Q.TOP_DATES).replace("FROM five", "FROM d5"),
-    a3=_top_lines("country", '"count"', "bookings", Q.TOP_COUNTRIES).replace("FROM five", "FROM c5"),
+    a1=_top_lines("location", "cancellations", "cancellations", TOP_LOCATIONS).replace("FROM five", "FROM l5"),
+    a2=_top_lines('"date"', '"count"', "cancellations", TOP_DATES).replace("FROM five", "FROM d5"),
+    a3=_top_lines("country", '"count"', "bookings", TOP_COUNTRIES).replace("FROM five", "FROM c5"),
     a4="SELECT 'The overall average daily rate (ADR) across all bookings is approximately ' || format('{:.2f}', avg(adr))"
     " || '.' AS answer FROM bookings",
 )

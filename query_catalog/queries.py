@@ -717,14 +717,39 @@ def correlations(t):
     return rounded(stats.correlation_matrix(constant, [*CORRELATION_COLUMNS, "constant"]), "corr")
 
 
+#: Levels of the forest's trees in both reports.
+FOREST_DEPTH = 5
+
+
 @query("M1")
 def cancellation_importance(t):
-    return ml.cancellation_feature_importance(t.facts)
+    return ml.cancellation_feature_importance(t.facts, max_depth=FOREST_DEPTH)
 
 
 @query("M2")
 def guarded_importance(t):
-    return ml.guarded_feature_importance(filters.dashboard_filter(t.facts, hotels=["City Hotel"]))
+    return ml.guarded_feature_importance(filters.dashboard_filter(t.facts, hotels=["City Hotel"]), max_depth=FOREST_DEPTH)
+
+
+def _importance_facts(table: DataFrame) -> DataFrame:
+    """What must hold of importances: how many, their sum, the order, and the first feature."""
+    order = F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False)
+    return table.agg(
+        F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+        order[0]["feature"].alias("first"), F.min("importance").alias("least"),
+    ).select("features", "total", "first", (F.col("least") >= 0).alias("none_negative"))
+
+
+@query("M1 M2")
+def planted_importance(t):
+    planted = t.facts.withColumn("lead_time", F.when(F.col("is_canceled") == 1, F.col("lead_time") + 1000).otherwise(F.col("lead_time")))
+    forest = _importance_facts(ml.cancellation_feature_importance(planted, trees=5, max_depth=FOREST_DEPTH))
+    guarded = _importance_facts(ml.guarded_feature_importance(planted, trees=5, max_depth=FOREST_DEPTH).drop("reason"))
+    few = ml.guarded_feature_importance(planted.limit(50)).select(F.col("reason").alias("first"))
+    return union([
+        forest.withColumn("report", F.lit("forest")), guarded.withColumn("report", F.lit("guarded")),
+        few.select(F.lit(0).cast("long").alias("features"), F.lit(0.0).alias("total"), "first", F.lit(True).alias("none_negative"), F.lit("few").alias("report")),
+    ])
 
 
 # ---- text and vectors -------------------------------------------------------------
