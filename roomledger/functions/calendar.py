@@ -33,3 +33,8 @@ def arrival_date(year: Column, month: Column, day: Column) -> Column:
     """Date from its parts; parts that form no date give null."""
     zero = F.lit(0)
     return F.try_make_timestamp_ntz(year, month, day, zero, zero, zero).cast("date")
+
+
+def two_digits(number: Column) -> Column:
+    """A whole number as text with at least two digits, ``07``."""
+    return F.when(number.isNotNull(), F.format_string("%02d", number))

@@ -1,4 +1,8 @@
-"""Row filters. All are plain predicates, so they reach the file scan."""
+"""Row filters. All are plain predicates.
+
+On stored booking tables they reach the Parquet scan. On the star schema only the
+date range does: hotel and customer type are computed there from other columns.
+"""
 
 from __future__ import annotations
 

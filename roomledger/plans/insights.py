@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import money, month_number, plain_money, ratio
+from ..functions import money, month_number, plain_money, ratio, two_digits
 from ..operators.reports import top
 from ..schema import INSIGHT_SCHEMAS
 from ..scratch import stored
@@ -44,7 +44,7 @@ def _level(sums: DataFrame, name: str) -> DataFrame:
 
 
 def _revenue(sums: DataFrame) -> DataFrame:
-    month = F.coalesce(month_number(F.col("month")), F.lit(0))
+    month = two_digits(F.coalesce(month_number(F.col("month")), F.lit(0)))
     named = _level(sums, "month").select(
         F.col("arrival_date_month").alias("month"), F.col("arrival_date_year").alias("year"), "revenue"
     )

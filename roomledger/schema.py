@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 _INT, _DBL, _STR, _DATE = T.IntegerType(), T.DoubleType(), T.StringType(), T.DateType()
 
+# ---- fixed values: column names and types in file order, defaults, names, bins ----
+
 #: The 32 columns of a raw booking export, in file order.
 RAW_TYPES: dict[str, T.DataType] = {
     "hotel": _STR,
@@ -67,7 +69,6 @@ INSIGHT_SCHEMAS: dict[str, str] = {
     "cancellations_per_date": "date date, count bigint",
 }
 
-# ---- fixed values -----------------------------------------------------------
 
 #: English month names in calendar order; the position is the month number.
 MONTHS = (

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folders: dict[str, str] = {}
+#: Paths each application has handed out and not removed yet.
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/roomledger/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/roomledger/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Remove what this application has written to the shared folder; returns how many paths.
+
+    Results that were not written elsewhere read these tables, so the owner of a job calls
+    this when it has what it wants. Other applications' tables stay.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(hadoop.Path, paths):
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import DERIVED_TYPES, NA_TOKENS, RAW_TYPES, booking_schema
 
@@ -15,9 +16,15 @@ def read_bookings_csv(spark: SparkSession, path: str, multiline: bool = False) -
     missing-value tokens become null and known columns get their declared type.
     Column names are matched after stripping and other columns stay text. Only
     the header is read here; Spark does not scan the file to infer types. Fields
-    with line breaks need ``multiline``, which makes each file one task.
+    with line breaks need ``multiline``, which makes each file one task. All files
+    of a folder must have the same columns in the same order: a file whose header
+    differs is an error; read such files one by one and merge them by name.
     """
-    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline).csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline}
+    names = spark.read.options(**options).csv(path).columns
+    # every header is checked against these names when its file is read
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    raw = spark.read.schema(schema).options(**options, enforceSchema=False).csv(path)
     known = {**RAW_TYPES, **DERIVED_TYPES}
     columns = []
     for name in raw.columns:

@@ -53,3 +53,10 @@ def test_calendar_labels(rows):
     d = F.col("d")
     got = values(df.select(fn.month_year(d), fn.quarter_label(d), fn.month_name(d)))
     assert got == [("2017-07", "2017Q3", "July"), ("2016-01", "2016Q1", "January"), (None, None, None)]
+
+
+def test_two_digits(rows):
+    from roomledger.functions import two_digits
+
+    df = rows("n int", (7,), (12,), (0,), (None,))
+    assert [r[0] for r in df.select(two_digits(F.col("n"))).collect()] == ["07", "12", "00", None]

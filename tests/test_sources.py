@@ -70,3 +70,22 @@ def test_importance_refusals(spark, rows):
     assert ml.guarded_feature_importance(small).first().reason == "not enough rows"
     none = rows("adr double, is_canceled int", (None, 0))
     assert ml.guarded_feature_importance(none).first().reason == "no complete rows"
+
+
+def test_csv_files_with_other_columns_are_an_error(spark, tmp_path):
+    import pytest
+
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    (folder / "a.csv").write_text("hotel,lead_time\nCity Hotel,5\n")
+    (folder / "b.csv").write_text("lead_time,hotel\n7,Resort Hotel\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_bookings_csv(spark, str(folder)).collect()
+
+
+def test_scratch_tables_are_removed(spark, rows):
+    from roomledger.scratch import remove_scratch, stored
+
+    df = stored(rows("a int", (1,)), "t")
+    assert df.count() == 1
+    assert remove_scratch(spark) >= 1 and remove_scratch(spark) == 0
