@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Steps, hot_rows, join_lookup, text_of
+from .common import Steps, fresh, hot_rows, join_lookup, text_of
 
 #: Copies of one text meet in so many salted groups before they meet globally.
 SALTS = 32
@@ -42,7 +42,7 @@ def _best_id(rank: Column) -> Column:
 
 def _keys(docs: DataFrame) -> DataFrame:
     text = text_of("text")
-    return docs.withColumn("_norm", normalised(text)).withColumn("_n", F.length(text))
+    return docs.select("doc_id", normalised(text).alias("_norm"), F.length(text).alias("_n"))
 
 
 def winners(docs: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def winners(docs: DataFrame) -> DataFrame:
     salts' winners meet globally, again by whole text. Should two texts have one digest,
     the job fails instead of mixing them.
     """
-    rows = _keys(docs.select("doc_id", "text"))
+    rows = _keys(docs)
     rows = rows.select(
         F.sha2("_norm", 256).alias("text_sha256"), "_norm", _rank(F.col("_n"), F.col("doc_id")).alias("_rank"),
         F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"),
@@ -83,7 +83,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     steps = Steps(docs.sparkSession, "exact")
     groups = steps.store(winners(docs), "winners")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    rows = _keys(docs.select("doc_id", "text"))
+    rows = _keys(docs)
     rows = rows.select("doc_id", F.sha2("_norm", 256).alias("text_sha256"), "_n")
     spread = F.coalesce("doc_id", F.lit(0))
     found = join_lookup(rows, groups, ["text_sha256"], hot_rows(groups, "group_size", total), spread)
@@ -96,18 +96,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Decides as ``exact_groups``. Of rows that agree in doc_id and text but not in other
-    columns, the first by those columns stays.
+    Decides as ``exact_groups``, for null texts, null ids and empty tables too. Of rows
+    that agree in doc_id and text but not in other columns, the first by those columns
+    stays. Columns of any name are carried along unchanged.
     """
     steps = Steps(docs.sparkSession, "exact")
     groups = steps.store(winners(docs), "winners")
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
-    keys = groups.select(F.col("text_sha256").alias("_sha"), name("keep_id"), F.col("_keep_n").cast("int").alias("_n"))
-    rows = _keys(docs).withColumn("_sha", F.sha2("_norm", 256)).withColumn("_id", name("doc_id")).drop("_norm")
-    kept = rows.join(keys, ["_sha", "_id", "_n"], "left_semi")
+    key = fresh("key", docs.columns)
+    sha, doc, n = f"{key}_sha", f"{key}_id", f"{key}_n"
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(doc)
+    keys = groups.select(F.col("text_sha256").alias(sha), name("keep_id"), F.col("_keep_n").cast("int").alias(n))
+    text = text_of("text")
+    rows = docs.select("*", F.sha2(normalised(text), 256).alias(sha), name("doc_id"), F.length(text).alias(n))
+    kept = rows.join(keys, [sha, doc, n], "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    same = Window.partitionBy("_sha", "_id", "_n").orderBy(*(others or [F.lit(0)]))
-    return kept.withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*docs.columns)
+    same = Window.partitionBy(sha, doc, n).orderBy(*(others or [F.lit(0)]))
+    return kept.withColumn(key, F.row_number().over(same)).where(F.col(key) == 1).select(*docs.columns)
 
 
 SQL = r"""

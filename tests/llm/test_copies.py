@@ -40,9 +40,9 @@ def test_exact_groups(spark):
 
 
 def test_deduplicate_keeps_columns_and_one_row_of_each(spark):
-    df = spark.createDataFrame([(d, t, f"s{i}", 1) for i, (d, t) in enumerate(ROWS)], "doc_id long, text string, source string, _n int").repartition(3)
-    found = exact_dedup.deduplicate(df)
-    assert found.columns == df.columns
+    df = spark.createDataFrame([(d, t, f"s{i}", 1, "x") for i, (d, t) in enumerate(ROWS)], "doc_id long, text string, source string, _n int, key string")
+    found = exact_dedup.deduplicate(df.repartition(3))
+    assert found.columns == df.columns and {(r["_n"], r["key"]) for r in found.collect()} == {(1, "x")}
     assert sorted((r[0], len(r[1] or ""), r[2]) for r in found.collect() if r[0] is not None) == sorted(
         [(3, 3, "s1"), (9, 3, "s3"), (6, 100_001, "s11"), (7, 1, "s8"), (11, 3, "s12")]
     )
