@@ -11,6 +11,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -71,35 +72,40 @@ class Permutation:
         return self._walk(slot, True)
 
 
+def _binary(values: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary column whose values lie one after the other in one buffer."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values)])
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int) -> Iterator[pa.RecordBatch]:
     part, place = TaskContext.get().partitionId(), 0
-    encoder = word_encoder(path)
+    encoder, last = word_encoder(path), end.to_bytes(4, "little")
     for batch in batches:
-        docs, pieces, ids = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = np.frombuffer(encoder.encode(text.as_py()) + end.to_bytes(4, "little"), "<u4").astype(ID).tobytes()
-            step = length * ID.itemsize
-            for piece, at in enumerate(range(0, len(found), step)):
-                docs.append(doc_id)
-                pieces.append(piece)
-                ids.append(found[at : at + step])
-        n = len(docs)
+        found = [encoder.encode(text.as_py()) + last for text in batch.column(1)]
+        sizes = np.array([len(f) // 4 for f in found], np.int64)
+        ids = np.frombuffer(b"".join(found), "<u4").astype(ID)
+        pieces = -(-sizes // length)  # of each document
+        n, first = int(pieces.sum()), np.cumsum(pieces) - pieces
+        doc = np.repeat(np.arange(len(sizes)), pieces)
+        piece = np.arange(n) - first[doc]
+        ends = (np.cumsum(sizes) - sizes)[doc] + np.minimum((piece + 1) * length, sizes[doc])
         arrays = [
-            pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(docs, pa.int64()),
-            pa.array(pieces, pa.int32()), pa.array(ids, pa.binary()),
+            pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), batch.column(0).take(pa.array(doc)),
+            pa.array(piece.astype(np.int32)), _binary(ids.tobytes(), ends * ID.itemsize),
         ]
         place += n
         yield pa.RecordBatch.from_arrays(arrays, ["part", "place", "doc_id", "piece", "ids"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch], order: Permutation, length: int, pad: int) -> Iterator[pa.RecordBatch]:
-    fill = np.full(length, pad, ID).tobytes()
     for batch in batches:
         slot = order.slot(batch.column(0).to_numpy() + batch.column(1).to_numpy())
-        ids = batch.column(4).to_pylist()
-        lengths = [len(x) // ID.itemsize for x in ids]
-        records = [x + fill[len(x) :] for x in ids]
-        arrays = [pa.array(slot), batch.column(2), batch.column(3), pa.array(lengths, pa.int32()), pa.array(records, pa.binary())]
+        lengths = pc.binary_length(batch.column(4)).to_numpy() // ID.itemsize
+        records = np.full((batch.num_rows, length), pad, ID)
+        records[np.arange(length) < lengths[:, None]] = np.frombuffer(b"".join(batch.column(4).to_pylist()), ID)
+        ends = np.arange(1, batch.num_rows + 1) * length * ID.itemsize
+        arrays = [pa.array(slot), batch.column(2), batch.column(3), pa.array(lengths.astype(np.int32)), _binary(records.tobytes(), ends)]
         yield pa.RecordBatch.from_arrays(arrays, ["slot", "doc_id", "piece", "length", "record"])
 
 
