@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import Steps, join_counted, text_of, word_count
 
+#: A schema table may have so many rows; it is sent to every task.
+MOST_FIELDS = 100_000
 #: What the schema of a tool may ask of an argument.
 SCHEMA = "name string, field string, kind string, required boolean, least double, most double"
 
@@ -26,9 +28,13 @@ def call_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
     Problems: unknown tool, arguments that are no JSON object, and by field: missing,
     unexpected, wrong kind (an integer is a number too), out of range (numbers by value,
-    strings by length). ``schemas`` is a stated table; its keys are few and unique.
+    strings by length). ``schemas`` is a stated table of at most ``MOST_FIELDS`` rows with
+    unique keys; more are an error. It is broadcast, as a few tools hold all the calls.
     """
-    tools = schemas.select("name").distinct().withColumn("_known", F.lit(True))
+    if schemas.limit(MOST_FIELDS + 1).count() > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} schema fields")
+    schemas = F.broadcast(schemas)
+    tools = F.broadcast(schemas.select("name").distinct().withColumn("_known", F.lit(True)))
     parsed = calls.select("call_key", "name", F.try_parse_json(F.coalesce("arguments", F.lit(""))).alias("_v"))
     parsed = parsed.join(tools, "name", "left")
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
@@ -50,35 +56,73 @@ def call_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         .when((F.col("_size") < F.col("least")) | (F.col("_size") > F.col("most")), "out of range")
     )
     by_field = checked.select("call_key", F.concat("field", F.lit(": "), problem).alias("problem")).where("problem IS NOT NULL")
-    required = objects.select("call_key", "name").join(schemas.where("required").select("name", "field"), "name")
+    required = objects.select("call_key", "name").join(F.broadcast(schemas.where("required").select("name", "field")), "name")
     missing = required.join(given.select("call_key", "field"), ["call_key", "field"], "left_anti")
     missing = missing.select("call_key", F.concat("field", F.lit(": missing")).alias("problem"))
     return whole.unionByName(by_field).unionByName(missing)
 
 
+def _anchors(steps: Steps, ids: DataFrame, needs: DataFrame) -> DataFrame:
+    """(call_id, anchor, steps) for calls with at most one need: where the chain of needs ends.
+
+    A chain ends at a call that needs nothing or several others. Jumps along the chain are
+    doubled each round, so a chain of n calls takes about log2(n) rounds. Calls on a
+    cycle, or behind one, find no end and are left out.
+    """
+    counted = needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needed").alias("needed"))
+    known = ids.join(counted, "call_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ends = known.where("n <> 1").select("call_id", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("steps"))
+    jumps = known.where("n = 1").select("call_id", F.col("needed").alias("to"), F.lit(1).cast("long").alias("steps"))
+    found, jumps = steps.store(ends, "ends-0"), steps.store(jumps, "jumps-0")
+    done, k = [found], 0
+    while True:
+        arrive = join_counted(jumps, found.select(F.col("call_id").alias("to"), "anchor", F.col("steps").alias("rest")), "to", F.col("call_id"))
+        arrive = steps.store(arrive, f"arrive-{k}")
+        found = arrive.where("anchor IS NOT NULL").select("call_id", "anchor", (F.col("steps") + F.col("rest")).alias("steps"))
+        found = steps.store(found, f"ends-{k + 1}")
+        done.append(found)
+        away = arrive.where("anchor IS NULL").select("call_id", "to", "steps")
+        if away.isEmpty() or found.isEmpty():  # all have arrived, or the others go round in circles
+            break
+        k += 1
+        over = away.select(F.col("call_id").alias("to"), F.col("to").alias("_next"), F.col("steps").alias("_more"))
+        hop = join_counted(away, over, "to", F.col("call_id"))
+        hop = hop.select("call_id", F.coalesce("_next", "to").alias("to"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"))
+        jumps = steps.store(hop, f"jumps-{k}")
+        found = ids.sparkSession.read.schema(done[0].schema).parquet(*[steps.paths[f"ends-{i}"] for i in range(len(done))])
+    return ids.sparkSession.read.schema(done[0].schema).parquet(*[steps.paths[f"ends-{i}"] for i in range(len(done))])
+
+
 def topological_levels(steps: Steps, ids: DataFrame, needs: DataFrame) -> DataFrame:
     """(call_id, level): 0 for calls that need no other, else one more than the last they need.
 
-    Each round takes the calls all of whose needs have a level; a round's tables are
-    written, so the plan stays short. Calls on a cycle, or behind one, get no level.
+    Chains of calls with one need each are followed by doubling; then a round for every
+    level of calls with several needs takes those all of whose needs have a level. Calls
+    on a cycle, or behind one, get no level.
     """
     needs = needs.join(ids, "call_id", "left_semi")
     needs = needs.join(ids.withColumnRenamed("call_id", "needed"), "needed", "left_semi").select("call_id", "needed").distinct()
-    left, open_needs, levels, k = ids, steps.store(needs, "needs-0"), [], 0
-    while True:
-        ready = left.join(open_needs, "call_id", "left_anti")
-        ready = steps.store(ready.withColumn("level", F.lit(k)), f"level-{k}")
-        if ready.isEmpty():
-            break
-        levels.append(ready)
-        left = left.join(ready, "call_id", "left_anti")
-        rest = open_needs.join(ready.select(F.col("call_id").alias("needed")), "needed", "left_anti")
-        open_needs = steps.store(rest.select("call_id", "needed"), f"needs-{k + 1}")
-        left = steps.store(left, f"left-{k + 1}")
-        k += 1
-    if not levels:
-        return ids.withColumn("level", F.lit(0)).limit(0)
-    return ids.sparkSession.read.schema(levels[0].schema).parquet(*[steps.paths[f"level-{i}"] for i in range(len(levels))])
+    needs = steps.store(needs, "needs")
+    ends = steps.store(_anchors(steps, ids, needs), "chains")
+    several = steps.store(needs.groupBy("call_id").count().where("count > 1").select("call_id", "count"), "several")
+    roots = ends.where("call_id = anchor").join(several, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level"))
+    settled = steps.store(roots, "settled-0")
+    if not several.isEmpty():
+        links = needs.join(several, "call_id")
+        links = join_counted(links, ends.withColumnRenamed("call_id", "needed"), "needed", F.col("call_id"))
+        links = steps.store(links.select("call_id", "count", "anchor", "steps"), "links")
+        k = 0
+        while True:
+            reached = links.join(settled.withColumnRenamed("call_id", "anchor"), "anchor")
+            ready = reached.groupBy("call_id", "count").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("level") + F.col("steps") + 1).alias("level"))
+            ready = ready.where("n = count").select("call_id", "level").join(settled, "call_id", "left_anti")
+            ready = steps.store(ready, f"ready-{k}")
+            if ready.isEmpty():
+                break
+            k += 1
+            settled = steps.store(settled.unionByName(ready), f"settled-{k}")
+    levels = join_counted(ends, settled.withColumnRenamed("call_id", "anchor"), "anchor", F.col("call_id"))
+    return levels.where("level IS NOT NULL").select("call_id", (F.col("level") + F.col("steps")).cast("int").alias("level"))
 
 
 def canonical(json: Column) -> Column:

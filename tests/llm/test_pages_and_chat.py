@@ -120,3 +120,27 @@ def test_levels_and_conversations_with_gaps(spark):
     assert len(found) == 6 and sum(r["linked"] for r in found) == 3
     assert {r["problems"] for r in found if r["call_id"] == "1/0" and r["kind"] == "call"} == {"text: out of range; words: out of range"}
     assert chat.conversation_events(df.limit(0)).collect() == []
+
+
+def test_levels_of_long_chains_and_graphs(spark):
+    import random
+
+    random.seed(1)
+    edges = [(f"c{i}", f"c{i - 1}") for i in range(1, 300)] + [("x", "y"), ("y", "z"), ("z", "x"), ("behind", "x"), ("hub2", "c299")]
+    nodes = [f"n{i}" for i in range(60)]
+    for i in range(1, 60):
+        edges += [(nodes[i], nodes[j]) for j in random.sample(range(i), min(i, random.choice([0, 1, 1, 2, 3])))]
+    edges += [(f"leaf{i}", "c150") for i in range(50)] + [("mixed", "x"), ("mixed", "c3")]
+    needs = {}
+    for a, b in edges:
+        needs.setdefault(a, set()).add(b)
+    names = sorted({n for e in edges for n in e})
+    levels: dict = {}
+    while True:
+        new = {n: 1 + max((levels[m] for m in needs.get(n, ())), default=-1) for n in names if n not in levels and all(m in levels for m in needs.get(n, ()))}
+        if not new:
+            break
+        levels |= new
+    ids = spark.createDataFrame([(n,) for n in names], "call_id string")
+    found = chat.topological_levels(Steps(spark, "t"), ids, spark.createDataFrame(edges, "call_id string, needed string"))
+    assert {r["call_id"]: r["level"] for r in found.collect()} == levels
