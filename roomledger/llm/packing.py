@@ -245,7 +245,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     empty table gives no pieces. Only documents longer than the capacity are cut.
     """
     path = path or vocabulary_path()
-    steps = Steps(docs.sparkSession, "pack")
+    steps = Steps(docs.sparkSession, "pack", batch_rows=500)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text_of("text").alias("text"))
     pieces = steps.store(cut_documents(rows, path, capacity), "pieces")
     return pack_pieces(pieces, capacity).select(

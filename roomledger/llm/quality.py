@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import Steps, ship, text_of
 
 #: Hashed word features, steps a statistic is cut into, and rank of the pairwise weights.
 WORDS, BINS, RANK = 1 << 12, 12, 4
@@ -59,7 +59,7 @@ def statistics(raw: bytes, words: list[bytes]) -> list[float]:
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
         bucket = zlib.crc32(word.lower()) % WORDS
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = bucket
         return bucket
 
@@ -195,6 +195,12 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], machine: Machine, column: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents predicted to be of quality 1, with their columns."""
+    """The documents predicted to be of quality 1, with their columns.
+
+    Null and empty texts are scored as empty; an empty table stays empty. Rows travel whole
+    to the scoring tasks, so the result is written by small batches that bound their memory.
+    """
+    steps = Steps(docs.sparkSession, "quality", batch_rows=500)
     machine = train(docs, labels, sample)
-    return docs.mapInArrow(partial(_keep_batches, machine=machine, column=docs.columns.index("text")), docs.schema)
+    keep = partial(_keep_batches, machine=machine, column=docs.columns.index("text"))
+    return steps.store(docs.mapInArrow(keep, docs.schema), "kept")

@@ -193,7 +193,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     A null text counts as empty (fingerprint zero). A null doc_id belongs to its group but
     names none; a group of null ids alone has a null component_id. Repeated rows are kept.
     """
-    steps = Steps(docs.sparkSession, "near")
+    steps = Steps(docs.sparkSession, "near", batch_rows=500)
     rows = _near(steps, _rows(docs))
     first = steps.store(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "first")
     found = join_counted(rows, first, "label", F.col("row_id"))
@@ -203,7 +203,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def near_deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group, with all columns: the smallest doc_id, null ids last."""
     key = fresh("row", docs.columns)
-    steps = Steps(docs.sparkSession, "near")
+    steps = Steps(docs.sparkSession, "near", batch_rows=500)
     whole = steps.store(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
     rows = _near(steps, _rows(whole, key))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
