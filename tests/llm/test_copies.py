@@ -146,3 +146,38 @@ def test_components(spark, links):
         assert nodes == {frozenset(range(50)), frozenset({100, 101})}
     else:
         assert nodes == set()
+
+
+def test_near_deduplicate_by_similarity_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 150, 400]))] for _ in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    line = " ".join(f"same{i}" for i in range(12))
+    for i in range(300):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(1 + len(words) // 25)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(words) + (f" {line}" if i % 3 == 0 else "")))
+    passage = "again and again " * 400
+    rows += [(2001, passage + " ".join(base[0])), (2002, passage + " ".join(base[1])), (2003, ""), (2004, None), (2005, "Two words"), (2006, "two WORDS")]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    wide = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                wide += (simhash.fingerprint(rows[i][1] or "") ^ simhash.fingerprint(rows[j][1] or "")).bit_count() > 3
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    groups = defaultdict(list)
+    for x, (d, _) in zip(label, rows, strict=True):
+        groups[x].append(d)
+    assert wide > 100
+    monkeypatch.setattr(simhash, "TREE", 16)
+    found = simhash.near_deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), by_similarity=True)
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(map(min, groups.values()))
