@@ -73,10 +73,11 @@ def _windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return text[inside], start[inside], dealt[inside], own[inside]
 
 
-def _earlier(own: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window, the smallest doc that has an equal one."""
-    order = np.lexsort((doc, own))
-    first = np.concatenate([[True], own[order][1:] != own[order][:-1]])
+def _earlier(group: np.ndarray, own: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window, the smallest doc that has an equal one (group and own hash)."""
+    order = np.lexsort((doc, own, group))
+    first = np.ones(len(own), bool)
+    first[1:] = (own[order][1:] != own[order][:-1]) | (group[order][1:] != group[order][:-1])
     found = np.empty(len(own), np.int64)
     found[order] = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
     return found
@@ -105,7 +106,7 @@ def _deal(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         if not len(text):
             continue
         doc = docs[text]
-        first = _earlier(own, doc)
+        first = _earlier(dealt, own, doc)
         here, away = np.flatnonzero(first < doc), np.flatnonzero(first == doc)
         at = _breaks(text[here], first[here], start[here]) if len(here) else here
         sizes = np.diff(np.append(at, len(here)))
@@ -118,8 +119,8 @@ def _deal(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             continue
         at = _breaks(text[away], dealt[away], start[away])
         ends = np.append(at, len(away))
-        short = own[away].astype(np.uint32)
-        blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(short.tobytes())])
+        blob = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer((8 * ends).tobytes()), pa.py_buffer(own[away].tobytes())])
+        blob = blob.cast(pa.binary())
         sizes = np.diff(ends)
         at = away[at]
         arrays = [dealt[at].view(np.int64), doc[at], start[at].astype(np.int32), sizes.astype(np.int32)]
@@ -135,12 +136,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
         several = np.flatnonzero(np.bincount(group)[group] > 1)
         blobs = table.column("own").combine_chunks().take(pa.array(several))
-        own = np.frombuffer(b"".join(blobs.to_pylist()), np.uint32).astype(np.uint64)
+        own = np.frombuffer(b"".join(blobs.to_pylist()), np.uint64)
         row = np.repeat(np.arange(len(several)), n[several])
         place = np.arange(len(row)) - np.repeat(np.cumsum(n[several]) - n[several], n[several])
-        key = (group[several][row].astype(np.uint64) << np.uint64(32)) | own
         docs, starts = doc[several][row], start[several][row] + place
-        first = _earlier(key, docs) if len(key) else docs
+        first = _earlier(group[several][row], own, docs) if len(own) else docs
         late = np.flatnonzero(first < docs)
         at = _breaks(row[late], first[late], starts[late]) if len(late) else late
         sizes = np.diff(np.append(at, len(late)))

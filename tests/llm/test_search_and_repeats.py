@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from roomledger.llm import substring_dedup, topk
@@ -94,3 +96,28 @@ def test_automaton_spans_equal_brute_force():
             if any(t[j : j + n] == asked[i : i + n] for t in texts for j in range(len(t) - n + 1)):
                 covered |= set(range(i, i + n))
         assert {p for a, b in automaton.spans(asked, n) for p in range(a, b)} == covered
+
+
+def dealt_and_met(batches, width):
+    """Suspects (doc, first) of batches of (doc, text), without Spark."""
+    made = [pa.record_batch([pa.array([d for d, _ in b], pa.int64()), pa.array([t for _, t in b])], ["doc", "text"]) for b in batches]
+    table = pa.Table.from_batches(list(substring_dedup._deal(iter(made), width))).sort_by("h")
+    found = substring_dedup._meet(iter(table.combine_chunks().to_batches()))
+    return sorted((r["doc"], r["first"]) for b in found for r in b.to_pylist())
+
+
+def test_a_window_with_a_colliding_short_hash_hides_no_earlier_document():
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    runs = [" ".join(word() for _ in range(5)) for _ in range(20_000)]
+    _, _, dealt, _ = substring_dedup._windows(runs, 5)
+    run, least = runs[int(dealt.argmin())], dealt.min()
+    texts = [" ".join([run, *(word() for _ in range(8))]) for _ in range(250_000)]
+    _, _, dealt, own = substring_dedup._windows(texts, 13)
+    same = np.flatnonzero(dealt == least)
+    short = own[same].astype(np.uint32)
+    order = np.argsort(short, kind="stable")
+    pair = np.flatnonzero(short[order][1:] == short[order][:-1])[0]
+    x, y = (texts[same[order[pair + i]]] for i in (0, 1))
+    assert x != y
+    assert dealt_and_met([[(1, x)], [(2, y)], [(3, y)]], 13) == [(3, 2)]
