@@ -2,7 +2,7 @@
 
 1. ``shared_windows`` finds which documents can share a window at all, by hashes: each
    window goes to the smallest hash of the word runs inside it, so equal windows meet in
-   one task, and only hashes are shuffled.
+   one task, and only hashes are shuffled. Windows of a hot run go on by their own hash.
 2. ``verified_spans`` sends each suspected stretch to the earlier document it was seen in.
    That document's suffix automaton decides word by word: matching statistics of the
    stretch give the maximal spans that really occur in it.
@@ -28,6 +28,9 @@ WINDOW = 13
 RUN = 5
 #: Stretches that one copy of a reference automaton serves, about.
 SERVED = 512
+#: Documents that hot dealing hashes are counted in, about, and the stretches there that make one hot: those of a
+#: run that is left hold about HOT / SAMPLED of the documents, or few more.
+SAMPLED, HOT = 20_000, 20
 _MIX, _RUN_BASE, _WINDOW_BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -97,14 +100,34 @@ _DEALT = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()
 _SUSPECTS = "doc long, start int, n int, first long"
 
 
-def _deal(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Dealing hash of each stretch of windows that share it."""
+    for batch in batches:
+        text, start, dealt, _ = _windows(batch.column(1).to_pylist(), width)
+        at = _breaks(text, dealt, start) if len(text) else text
+        yield pa.RecordBatch.from_arrays([pa.array(dealt[at].view(np.int64))], ["h"])
+
+
+def hot_runs(rows: DataFrame, width: int = WINDOW) -> np.ndarray:
+    """Dealing hashes with many stretches, in order, counted in a sample. They steer only where windows meet."""
+    every = max(1, rows.count() // SAMPLED)
+    sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0)
+    counts = sample.mapInArrow(partial(_runs, width=width), "h long").groupBy("h").count().where(F.col("count") >= HOT)
+    return np.sort(np.array([r["h"] for r in counts.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _deal(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stretches of windows with one dealing hash, and stretches that already repeat an earlier
-    document of the same batch (``first`` is set): a text that fills a batch leaves it once."""
+    document of the same batch (``first`` is set): a text that fills a batch leaves it once.
+    Windows with a hot dealing hash get another one, made of it and their own."""
     for batch in batches:
         docs = batch.column(0).to_numpy()
         text, start, dealt, own = _windows(batch.column(1).to_pylist(), width)
         if not len(text):
             continue
+        if len(hot):
+            spread = hot[np.minimum(np.searchsorted(hot, dealt), len(hot) - 1)] == dealt
+            dealt[spread] ^= own[spread] * _MIX
         doc = docs[text]
         first = _earlier(dealt, own, doc)
         here, away = np.flatnonzero(first < doc), np.flatnonzero(first == doc)
@@ -172,7 +195,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_windows(rows: DataFrame, width: int = WINDOW) -> DataFrame:
     """Suspects (doc, start, n, first): n windows from ``start`` on whose hashes ``first`` has too, first < doc."""
-    dealt = rows.mapInArrow(partial(_deal, width=width), "h long, doc long, start int, n int, first long, own binary")
+    dealt = rows.mapInArrow(partial(_deal, width=width, hot=hot_runs(rows, width)), "h long, doc long, start int, n int, first long, own binary")
     dealt = dealt.repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(_meet, _SUSPECTS)
 

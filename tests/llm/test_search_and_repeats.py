@@ -101,7 +101,7 @@ def test_automaton_spans_equal_brute_force():
 def dealt_and_met(batches, width):
     """Suspects (doc, first) of batches of (doc, text), without Spark."""
     made = [pa.record_batch([pa.array([d for d, _ in b], pa.int64()), pa.array([t for _, t in b])], ["doc", "text"]) for b in batches]
-    table = pa.Table.from_batches(list(substring_dedup._deal(iter(made), width))).sort_by("h")
+    table = pa.Table.from_batches(list(substring_dedup._deal(iter(made), width, np.zeros(0, np.uint64)))).sort_by("h")
     found = substring_dedup._meet(iter(table.combine_chunks().to_batches()))
     return sorted((r["doc"], r["first"]) for b in found for r in b.to_pylist())
 
@@ -121,3 +121,23 @@ def test_a_window_with_a_colliding_short_hash_hides_no_earlier_document():
     x, y = (texts[same[order[pair + i]]] for i in (0, 1))
     assert x != y
     assert dealt_and_met([[(1, x)], [(2, y)], [(3, y)]], 13) == [(3, 2)]
+
+
+def test_windows_of_a_hot_run_do_not_meet_in_one_task(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    runs = [" ".join(word() for _ in range(5)) for _ in range(20_000)]
+    _, _, dealt, _ = substring_dedup._windows(runs, 5)
+    run = runs[int(dealt.argmin())]
+    rows = [(i, " ".join([*(word() for _ in range(8)), run, *(word() for _ in range(8))])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(40)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 10_000)
+    hot = substring_dedup.hot_runs(df, 13)
+    assert len(hot) == 1
+    made = substring_dedup._deal(iter([pa.record_batch([[d for d, _ in rows[:300]], [t for _, t in rows[:300]]], ["doc", "text"])]), 13, hot)
+    _, counts = np.unique(pa.Table.from_batches(list(made)).column("h").to_numpy(), return_counts=True)
+    assert counts.max() == 1
+    found = substring_dedup.remove_repeats(df.withColumnRenamed("doc", "doc_id"), 13).collect()
+    assert {r["doc_id"] for r in found if r["n_removed"]} == {d for d, _ in rows[300:]}
+    assert all(r["n_removed"] in (0, 21) for r in found)
