@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomledger.scratch import scratch_path
+
 from .common import Steps, text_of
 from .tokens import vocabulary_path, word_encoder
 
@@ -186,7 +188,32 @@ def read_from(folder: str, slot: int, shard: int = SHARD, length: int = LENGTH)
         number, place = number + 1, 0
 
 
-def order_digests(docs: DataFrame) -> DataFrame:
-    """The training order with a digest of each record."""
-    ordered = training_order(docs)
-    return ordered.select("slot", "shard", "place", "doc_id", "piece", "length", F.crc32("record").alias("record_crc32"))
+def _from_shards(batches: Iterator[pa.RecordBatch], folder: str, length: int) -> Iterator[pa.RecordBatch]:
+    """The index rows with the digest of what their shard has at their place."""
+    system, root = fs.FileSystem.from_uri(folder)
+    stride, number, at, stream = length * ID.itemsize, None, 0, None
+    for batch in batches:
+        crc = []
+        for shard, place in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if shard != number or place < at:
+                if stream is not None:
+                    stream.close()
+                number, at = shard, 0
+                stream = system.open_input_stream(posixpath.join(root, f"shard-{shard:08d}.bin"), buffer_size=1 << 20)
+            if place > at:
+                stream.read((place - at) * stride)
+            record, at = stream.read(stride), place + 1
+            if len(record) != stride:
+                raise ValueError(f"shard {shard} has no whole record at {place}")
+            crc.append(zlib.crc32(record))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(crc, pa.int64())], [*batch.schema.names[:6], "record_crc32"])
+    if stream is not None:
+        stream.close()
+
+
+def order_digests(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """Writes the shards to the shared folder; the training order with a digest of each record as its shard holds it."""
+    folder = scratch_path(docs.sparkSession, "shards")
+    index = write_shards(training_order(docs, length=length, shard=shard), folder)
+    read = partial(_from_shards, folder=folder, length=length)
+    return index.mapInArrow(read, index.schema)

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 
 from roomledger.llm import packing, training_order
 from roomledger.llm.tokens import vocabulary_path, word_encoder
+from roomledger.scratch import shared_folder
 
 ODD = ["", None, "One two, three.", "é́ İstanbul ΑΣ Σ. x's we'll 12ab \x1c a b ﬁ <|endoftext|> end", "É!! Ünï. ß, Straße?", "漢字 and 🙂", "word " * 30_000]
 
@@ -115,3 +117,14 @@ def test_shards_round_trip(spark, tmp_path):
         if d not in (None, 3):
             assert [i for k in sorted(pieces[d]) for i in pieces[d][k]] == ids_of(t)
     assert training_order.training_order(df.limit(0)).collect() == []
+
+
+def test_order_digests_come_from_written_shards(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").repartition(3)
+    before = set(Path(shared_folder(spark)).glob("roomledger/shards-*"))
+    found = sorted(training_order.order_digests(df, length=8, shard=50).collect())
+    (folder,) = set(Path(shared_folder(spark)).glob("roomledger/shards-*")) - before
+    records = list(training_order.read_from(str(folder), 0, shard=50, length=8))
+    assert len({r["shard"] for r in found}) > 10 and [r["slot"] for r in found] == list(range(len(records)))
+    assert [r["record_crc32"] for r in found] == [zlib.crc32(x.tobytes()) for x in records]
+    assert training_order.order_digests(df.limit(0)).collect() == []
