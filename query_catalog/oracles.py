@@ -68,6 +68,10 @@ _CTES = {
 }
 
 
+#: Steps that several others read, or that a plan would otherwise compute again for each row.
+_COSTLY = {"routed", "docs", "open_questions", "asked_texts", "dv", "qv", "near", "places", "prompts", "rev", "per", "l5", "d5", "c5"}
+
+
 def oracle(name: str, sql: str, **ctes: str) -> None:
     """Register SQL; the shared views it mentions, and ``ctes``, go in front."""
     import re
@@ -85,7 +89,8 @@ def oracle(name: str, sql: str, **ctes: str) -> None:
     for cte in _CTES:
         if re.search(rf"\b(FROM|JOIN) {cte}\b", body):
             need(cte)
-    parts = [f"{c} AS ({_CTES[c]})" for c in needed] + [f"{c} AS ({s})" for c, s in ctes.items()]
+    parts = [f"{c} AS ({_CTES[c]})" for c in needed]
+    parts += [f"{c} AS {'MATERIALIZED ' if c in _COSTLY else ''}({s})" for c, s in ctes.items()]
     ORACLES[name] = ("WITH " + ", ".join(parts) + " " if parts else "") + sql
 
 
@@ -822,16 +827,18 @@ def _prompts(texts: str) -> dict[str, str]:
         "docs": f"SELECT md5(text) AS doc_id, text, count(*) AS copies FROM ({texts}) WHERE text IS NOT NULL GROUP BY text",
         "open_questions": "SELECT q_id, question FROM routed WHERE route = 'rag'",
         "dv": _vectors(_spots("SELECT doc_id, text FROM docs", "doc_id"), "doc_id"),
-        "worded": _vectors(_spots("SELECT q_id, question AS text FROM open_questions", "q_id"), "q_id"),
-        "qv": "SELECT q_id, coalesce(v, [0.0 for i in range(64)]::DOUBLE[64]) AS v FROM open_questions LEFT JOIN worded USING (q_id)",
-        "near": "SELECT q_id, doc_id, copies, rank, sum(copies) OVER (PARTITION BY q_id ORDER BY rank) - copies AS before FROM"
-        " (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY d, doc_id) AS rank FROM"
-        " (SELECT q_id, doc_id, round(array_distance(qv.v, dv.v) ** 2, 9) AS d FROM qv CROSS JOIN dv)"
+        "asked_texts": "SELECT DISTINCT md5(coalesce(question, '')) AS t_id, question AS text FROM open_questions",
+        "worded": _vectors(_spots("SELECT t_id, text FROM asked_texts", "t_id"), "t_id"),
+        "qv": "SELECT t_id, coalesce(v, [0.0 for i in range(64)]::DOUBLE[64]) AS v FROM asked_texts LEFT JOIN worded USING (t_id)",
+        "near": "SELECT t_id, doc_id, copies, rank, sum(copies) OVER (PARTITION BY t_id ORDER BY rank) - copies AS before FROM"
+        " (SELECT t_id, doc_id, row_number() OVER (PARTITION BY t_id ORDER BY d, doc_id) AS rank FROM"
+        " (SELECT t_id, doc_id, round(array_distance(qv.v, dv.v) ** 2, 9) AS d FROM qv CROSS JOIN dv)"
         " QUALIFY rank <= 5) JOIN docs USING (doc_id)",
-        "places": "SELECT q_id, doc_id, rank, unnest(range(least(copies, 5 - before)::BIGINT)) AS copy FROM near WHERE before < 5",
-        "prompts": f"SELECT q_id, {_HEAD} || string_agg(text, {_SEP} ORDER BY rank, copy) || chr(10) || chr(10) || 'Question: '"
-        " || any_value(question) || chr(10) || chr(10) || 'Answer:' AS prompt, CAST(NULL AS VARCHAR) AS answer"
-        " FROM places JOIN docs USING (doc_id) JOIN open_questions USING (q_id) GROUP BY q_id",
+        "places": "SELECT t_id, doc_id, rank, unnest(range(least(copies, 5 - before)::BIGINT)) AS copy FROM near WHERE before < 5",
+        "contexts": f"SELECT t_id, string_agg(text, {_SEP} ORDER BY rank, copy) AS context FROM places JOIN docs USING (doc_id) GROUP BY t_id",
+        "prompts": f"SELECT q_id, {_HEAD} || context || chr(10) || chr(10) || 'Question: '"
+        " || question || chr(10) || chr(10) || 'Answer:' AS prompt, CAST(NULL AS VARCHAR) AS answer"
+        " FROM open_questions JOIN contexts ON t_id = md5(coalesce(question, ''))",
     }
 
 
@@ -848,6 +855,18 @@ oracle(
     worded=_vectors(_spots("SELECT doc_id, text FROM documents", "doc_id"), "doc_id"),
     dv="SELECT doc_id, coalesce(v, [0.0 for i in range(64)]::DOUBLE[64]) AS v FROM documents LEFT JOIN worded USING (doc_id)",
 )
+oracle(
+    "nearest_embeddings",
+    "SELECT query_id, CAST(rank AS INT) AS rank, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank"
+    " FROM (SELECT a.vec_id AS query_id, b.vec_id, round(array_distance(a.e, b.e) ** 2, 9) AS d FROM es a CROSS JOIN es b)) WHERE rank <= 5",
+    es="SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings",
+)
+oracle("cells_skip_pairs", "SELECT count(*) AS n_vectors, true AS fewer FROM embeddings")
+oracle(
+    "approximate_recall",
+    "SELECT k::INTEGER AS k, (SELECT count(*) FROM embeddings) * least(k, (SELECT count(*) FROM embeddings)) AS n_neighbours, true AS enough"
+    " FROM (VALUES (1), (5), (10)) t(k)",
+)
 oracle("question_routes", "SELECT q_id, route, month, year, date_text FROM routed", asked=_ASKED, routed=_ROUTED)
 oracle(
     "revenue_answers",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger import functions as fn
-from roomledger.operators import clean, features, filters, joins, ml, reports, stats, vectors
+from roomledger.operators import cells, clean, features, filters, joins, ml, reports, stats, vectors
 from roomledger.plans import cleaning, insights, questions
 from roomledger.schema import COUNTRY_NAMES, CORRELATION_COLUMNS, RAW_TYPES
 from roomledger.scratch import scratch_path, stored
@@ -783,7 +783,7 @@ def _weights(df: DataFrame) -> DataFrame:
 
 @query("R2")
 def document_vectors(t):
-    return _weights(vectors.embed(t.table("documents")))
+    return _weights(vectors.embed(t.table("documents"), spread=t.spark.sparkContext.defaultParallelism))
 
 
 @query("R3")
@@ -811,11 +811,44 @@ def nearest_to_label_centres(t):
 
 @query("R4 J8 T4")
 def nearest_documents(t):
-    corpus = stored(vectors.embed(t.table("documents")).withColumnRenamed("doc_id", "vec_id"), "vectors")
+    spread = t.spark.sparkContext.defaultParallelism
+    corpus = stored(vectors.embed(t.table("documents"), spread=spread).withColumnRenamed("doc_id", "vec_id"), "vectors")
     near = vectors.knn(t.table("embeddings"), corpus, 3, query_id="vec_id", block=100)
     return rounded(near, "dist2")
 
 
+@query("R4 J8 T4")
+def nearest_embeddings(t):
+    index = cells.build_cells(t.table("embeddings"))
+    near = cells.search_cells(t.table("embeddings"), index, 5, query_id="vec_id").neighbours
+    return rounded(near, "dist2", places=4).drop("dist2")
+
+
+@query("R4 J8")
+def cells_skip_pairs(t):
+    embeddings = t.table("embeddings")
+    found = cells.search_cells(embeddings, cells.build_cells(embeddings), 5, query_id="vec_id")
+    counts = embeddings.agg(F.count("*").alias("n_vectors"), (F.count("*") * F.count("*")).alias("pairs"))
+    return counts.select("n_vectors", (F.lit(found.compared) < F.col("pairs")).alias("fewer"))
+
+
+@query("R4 J8")
+def approximate_recall(t):
+    embeddings = t.table("embeddings")
+    index = cells.build_cells(embeddings)
+    probes = max(8, len(index.centres) // 8)
+    near = [
+        cells.search_cells(embeddings, index, 10, query_id="vec_id", probes=p).neighbours.select("query_id", "vec_id", "rank")
+        for p in (None, probes)
+    ]
+    exact, found = near[0].withColumnRenamed("rank", "exact_rank"), near[1]
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    k = F.explode(F.array(*map(F.lit, (1, 5, 10)))).alias("k")
+    each = both.select("*", k).where("exact_rank <= k").groupBy("k")
+    each = each.agg(F.count("*").alias("n_neighbours"), F.count(F.when(F.col("rank") <= F.col("k"), 1)).alias("hits"))
+    return each.select("k", "n_neighbours", (F.col("hits") >= 0.9 * F.col("n_neighbours")).alias("enough"))
+
+
 @query("R5")
 def vector_check(t):
     turns = t.table("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")

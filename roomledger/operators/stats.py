@@ -1,7 +1,6 @@
 """Distribution statistics.
 
-Quantiles and densities start from value counts: one map-side aggregate turns rows
-into ``(value, n)``, and the rest works on distinct values. Histograms and
+Quantiles are selected by rank between values of a sketch. Histograms, densities and
 correlations are sums over the rows, added up per task. No whole column, and no hot
 group, ever meets in one task.
 """
@@ -10,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +33,13 @@ def value_counts(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame
     return rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
 
 
-def _cell(value: Column) -> Column:
-    """Coarse position of a value that never decreases as the value grows.
-
-    Cells are about 0.2 % wide in relative terms and their number is limited by
-    the range of doubles, whatever the data holds.
-    """
-    size = F.least(F.abs(value) * 1e6, F.lit(1e308))
-    cell = (F.signum(value) * F.floor(F.log1p(size) * 512)).cast("long")
-    # never null, so that joining on it adds no filter and both uses share one scan
-    return F.coalesce(cell, F.lit(0))
+#: Size of a quantile sketch over all rows, and of one for each key.
+SKETCH, KEY_SKETCH = 65_535, 4096
 
 
-#: Steps a coarse cell is cut into; only the values of one such step are ordered.
-_STEPS = 65_536
+def _pad(k: int) -> float:
+    """Four times the rank error, as a share of the rows, that a sketch of size ``k`` keeps to in 99 of 100 cases."""
+    return 4 * 2.296 / k**0.9021
 
 
 def exact_quantiles(
@@ -54,47 +47,59 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``(keys, n, quantiles array<double>)``.
 
-    Selection by rank in three steps. Running totals over coarse cells tell which
-    cells hold the needed ranks; these cells are cut evenly between their own least
-    and greatest value into at most 65,536 steps, and running totals over these tell
-    which steps do; only the values of those are then ordered. Ranks are exact, each
-    step meets a bounded number of groups, and no step sorts a whole group, also
-    where all values lie close together.
+    Selection by rank in two scans. The first builds a mergeable quantile sketch per key,
+    whose error is known; two of its values bracket every wanted rank. The second counts
+    the rows between brackets and keeps the values inside them, counted per value, so only
+    these, 0.2 % of the rows a probability without keys and 2 % with keys, are put in
+    order. Counts are exact, so quantiles are. A bracket that misses its rank, which its
+    width all but rules out, fails the job instead of giving a wrong value.
     """
-    keys = list(keys)
-    counts = value_counts(df, col, keys).withColumn("cell", _cell(F.col("value")))
-    wanted = "array({})".format(", ".join(f"{float(p)!r}D" for p in probs))
+    keys, probs = list(keys), [float(p) for p in probs]
+    size = KEY_SKETCH if keys else SKETCH
+    rows = df.select(*keys, clean_number(F.col(col)).cast("double").alias("value"))
+    for name in (*keys, "value"):
+        rows = rows.where(F.col(name).isNotNull())
+    ends = [F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")]
+    sketch = rows.groupBy(*keys).agg(F.kll_sketch_agg_double("value", size).alias("s"), *ends)
+
+    pad = _pad(size)
+
+    def at(rank: float) -> Column:
+        if rank <= 0:
+            return F.col("lo")
+        if rank >= 1:
+            return F.col("hi")
+        return F.kll_sketch_get_quantile_double("s", F.lit(rank))
+
+    def bracket(p: float) -> Column:
+        # one pad for the sketch's error and one for whole ranks; of few rows, all are put in order
+        few = F.col("n") * pad < 2
+        low, high = at(p - 2 * pad), at(p + 2 * pad)
+        if p in (0.0, 1.0):
+            low = high = at(p)
+            few = F.lit(False)
+        return F.struct(F.when(few, F.col("lo")).otherwise(low).alias("low"), F.when(few, F.col("hi")).otherwise(high).alias("high"))
+
+    brackets = F.array(*map(bracket, sorted(probs))).alias("brackets")
+    if keys:
+        counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("n")).join(sketch.select(*keys, brackets), keys)
+    else:
+        counted = rows.select("value", F.lit(1).alias("n"), sketch.select(F.struct(brackets)).scalar().alias("_")).select("value", "n", "_.brackets")
+    # the bracket that holds the value, or the next one above it
+    place = F.size(F.filter("brackets", lambda b: b["high"] < F.col("value")))
+    inside = F.col("value") >= F.get("brackets", F.col("place"))["low"]
+    counted = counted.withColumn("place", place).select(*keys, "place", F.when(inside, F.col("value")).alias("value"), "n")
+    counted = counted.groupBy(*keys, "place", "value").agg(F.sum("n").alias("n"))
+
+    wanted = "array({})".format(", ".join(f"{p!r}D" for p in probs))
     needed = f"""array_distinct(flatten(transform({wanted}, p -> array(
         cast(floor((total - 1) * p) AS bigint), cast(ceil((total - 1) * p) AS bigint)))))"""
-
-    def holding(cells: DataFrame, ranks: str, *kept: str) -> DataFrame:
-        """Cells with ``before`` and ``cell_n``, those that hold ranks."""
-        inside = F.expr(f"filter({ranks}, r -> r >= before AND r < before + cell_n) AS ranks")
-        found = cells.select(*kept, "before", "total", "lo", "hi", inside).where("size(ranks) > 0")
-        return found if keys else F.broadcast(found)  # at most two cells per probability
-
-    measures = [F.sum("n").alias("cell_n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
     per_key = Window.partitionBy(*keys)
-    cells = counts.groupBy(*keys, "cell").agg(*measures)
-    cells = cells.withColumns({
-        "before": F.sum("cell_n").over(per_key.orderBy("cell")) - F.col("cell_n"),
-        "total": F.sum("cell_n").over(per_key),
-    })
-    chosen = holding(cells, needed, *keys, "cell")
-
-    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    step = F.when(F.col("hi") > F.col("lo"), F.floor(share * (_STEPS - 1))).otherwise(F.lit(0))
-    inner = counts.join(chosen, [*keys, "cell"]).withColumn("step", step.cast("int"))
-    steps = inner.groupBy(*keys, "cell", "step").agg(*measures, *[F.first(c).alias(c) for c in ("before", "total", "ranks")])
-    per_cell = Window.partitionBy(*keys, "cell").orderBy("step")
-    steps = steps.withColumn("before", F.col("before") + F.sum("cell_n").over(per_cell) - F.col("cell_n"))
-    ends = holding(steps, "ranks", *keys, "cell", "step").drop("lo", "hi")
-
-    values = inner.select(*keys, "cell", "step", "value", "n").join(ends, [*keys, "cell", "step"])
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "cell", "step").orderBy("value"))
-    hits = values.withColumn("upto", upto).select(
-        *keys, "total", "value", F.expr("explode(filter(ranks, r -> r >= upto - n AND r < upto)) AS rank")
-    )
+    # rows that lie before a bracket have no value and come first
+    ranked = counted.withColumns({"upto": F.sum("n").over(per_key.orderBy("place", "value")), "total": F.sum("n").over(per_key)})
+    known = F.coalesce("value", F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    hits = ranked.select(*keys, "total", "value", F.expr(f"filter({needed}, r -> r >= upto - n AND r < upto) AS ranks")).where("size(ranks) > 0")
+    hits = hits.select(*keys, "total", known.alias("value"), F.explode("ranks").alias("rank"))
     # at most 2 * len(probs) entries per key
     found = hits.groupBy(*keys).agg(
         F.first("total").alias("total"),
@@ -210,32 +215,41 @@ def box_stats(df: DataFrame, key: str, col: str) -> DataFrame:
     )
 
 
+def _grid_sums(batches: Iterator[pa.RecordBatch], grid: int) -> Iterator[pa.RecordBatch]:
+    """point and weight: the task's rows (value, lo, hi, width) summed up at every point of the grid."""
+    total = np.zeros(grid)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+        lo, hi, width = (batch.column(i)[0].as_py() for i in (1, 2, 3))
+        x = lo + np.arange(grid) * (hi - lo) / (grid - 1)
+        for at in range(0, len(value), 4096):
+            z = (x[:, None] - value[None, at : at + 4096]) / width
+            total += np.exp(-0.5 * z * z) @ n[at : at + 4096]
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(grid, dtype=np.int32)), pa.array(total)], ["point", "weight"])
+
+
 def kde(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     """Gaussian density on an even grid over [min, max]: ``(point, x, density)``.
 
-    The bandwidth is the sample deviation times ``n ** -0.2``. Distinct values
-    carry their counts as weights; a column without spread gives no rows.
+    The bandwidth is the sample deviation times ``n ** -0.2``. Each task adds its rows up
+    to one vector over the grid and sends that alone; a column without spread gives no
+    rows.
     """
-    counts = value_counts(df, col)
-    value, n = F.col("value"), F.col("n")
-    mean = counts.agg((F.sum(value * n) / F.sum(n))).scalar()
-    stats = counts.agg(
+    values = df.select(clean_number(F.col(col)).cast("double").alias("value")).where(F.col("value").isNotNull())
+    stats = values.agg(
         F.struct(
-            F.min(value).alias("lo"),
-            F.max(value).alias("hi"),
-            F.sum(n).alias("n"),
-            ratio(F.sum(n * (value - mean) * (value - mean)), F.sum(n) - 1).alias("variance"),
+            F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").cast("double").alias("n"), F.var_samp("value").alias("variance")
         )
     ).scalar()
-    spread, total = F.col("stats.hi") - F.col("stats.lo"), F.col("stats.n").cast("double")
-    width = F.sqrt("stats.variance") * F.pow(total, F.lit(-0.2))
-    x = F.col("stats.lo") + F.col("point") * spread / (grid - 1)
-    distance = (x - value) / width
-    points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
-    weights = counts.select("value", "n", stats.alias("stats")).where("stats.variance > 0")
-    weights = weights.select("value", "n", "stats", points)
-    sums = weights.groupBy("point", "stats").agg(F.sum(n * F.exp(distance * distance * -0.5)).alias("weight"))
-    scale = total * width * F.sqrt(F.lit(2.0) * F.pi())
+    width = F.sqrt("stats.variance") * F.pow(F.col("stats.n"), F.lit(-0.2))
+    rows = values.withColumn("stats", stats).where("stats.variance > 0").select("value", "stats.lo", "stats.hi", width.alias("width"))
+    sums = rows.mapInArrow(partial(_grid_sums, grid=grid), "point int, weight double").groupBy("point").agg(F.sum("weight").alias("weight"))
+    sums = sums.withColumn("stats", stats)
+    x = F.col("stats.lo") + F.col("point") * (F.col("stats.hi") - F.col("stats.lo")) / (grid - 1)
+    scale = F.col("stats.n") * width * F.sqrt(F.lit(2.0) * F.pi())
     return sums.select("point", x.alias("x"), (F.col("weight") / scale).alias("density"))
 
 

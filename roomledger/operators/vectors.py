@@ -65,12 +65,14 @@ def embed(
     text_col: str = "text",
     make_encoder: Callable[[], Encoder] = hashing_encoder,
     batch_size: int = 128,
+    spread: int | None = None,
 ) -> DataFrame:
     """Embed texts in batches: ``(id, embedding array<float>)``.
 
     ``make_encoder`` runs once per task and returns a function from a list of
     texts to a 2-D array, so a model is loaded where it is used. The input keeps
-    its parts and its order; nothing is shuffled.
+    its parts and its order, and nothing is shuffled; only an input of fewer files
+    than ``spread`` is dealt over that many tasks first.
     """
     kind = df.schema[id_col].dataType
     schema = T.StructType(
@@ -88,7 +90,10 @@ def embed(
                 ids = batch.column(0).slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([ids, vectors], [id_col, "embedding"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    rows = df.select(id_col, text_col)
+    if spread and len(df.inputFiles()) < spread:
+        rows = rows.repartition(spread)
+    return rows.mapInArrow(run, schema)
 
 
 def embed_cached(
@@ -201,19 +206,6 @@ def _keep(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
     return both.groupby("query", sort=False).head(k)
 
 
-def _blocks(queries: DataFrame, size: int) -> list[list[int]]:
-    """Parts of the stored queries, put together to blocks of at most ``size`` rows."""
-    blocks: list[list[int]] = []
-    held = size
-    for part, n in sorted(queries.groupBy("part").count().collect()):
-        if held + n > size:
-            blocks.append([])
-            held = 0
-        blocks[-1].append(part)
-        held += n
-    return blocks
-
-
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -225,34 +217,31 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest neighbours by squared distance: ``(query_id, rank, vec_id, dist2)``.
 
-    Distances are rounded to nine places and ties go to the smaller id. Queries
-    are taken in blocks of at most ``block`` rows. A block travels to the tasks as
-    one matrix, so the corpus stays where it is; each task keeps its own top k of
-    every query, and only these are shuffled. The corpus is read once per block:
-    store it first if it is costly to make.
+    Distances are rounded to nine places and ties go to the smaller id. Up to ``block``
+    queries travel to the tasks as one matrix, so the corpus stays where it is; each task
+    keeps its own top k of every query, and only these are shuffled. More queries go
+    through a cell index of the corpus (``cells``), which is read a fixed number of times.
+    Store the corpus first if it is costly to make.
     """
+    from . import cells
+
+    if queries.limit(block + 1).count() > block:
+        index = cells.build_cells(corpus, corpus_id, col)
+        return cells.search_cells(queries, index, k, query_id, col).neighbours
     q = queries.select(F.col(query_id).alias("query_id"), F.col(col).alias("embedding"))
-    q = q.withColumn("row", F.monotonically_increasing_id())
-    q = stored(q.withColumn("part", F.floor(F.col("row") / min(block, 512))), "queries")
     c = corpus.select(F.col(corpus_id).alias("vec_id"), F.col(col).alias("embedding"))
     spark = queries.sparkSession
     schema = T.StructType([T.StructField("query", T.LongType()), c.schema["vec_id"], T.StructField("dist2", T.DoubleType())])
-    order = Window.partitionBy("query").orderBy("dist2", "vec_id")
-    out = []
-    for parts in _blocks(q, block):
-        own = q.where(F.col("part").isin(parts)).orderBy("row").select("query_id", "embedding").toArrow().combine_chunks()
-        near = _search(spark, own, c, k, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        names = own.column("query_id").to_pylist()
-        ids = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("query", T.LongType()), q.schema["query_id"]]))
-        found = near.join(F.broadcast(ids), "query")  # at most ``block`` rows
-        out.append(stored(found.select("query_id", "rank", "vec_id", "dist2"), "neighbours"))
-    if not out:
+    own = q.toArrow().combine_chunks()  # at most ``block`` rows
+    if not own.num_rows:
         empty = T.StructType([q.schema["query_id"], T.StructField("rank", T.IntegerType()), c.schema["vec_id"], schema["dist2"]])
         return spark.createDataFrame([], empty)
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionAll(more)
-    return result
+    order = Window.partitionBy("query").orderBy("dist2", "vec_id")
+    near = _search(spark, own, c, k, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = own.column("query_id").to_pylist()
+    ids = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("query", T.LongType()), q.schema["query_id"]]))
+    found = near.join(F.broadcast(ids), "query")  # at most ``block`` rows
+    return stored(found.select("query_id", "rank", "vec_id", "dist2"), "neighbours")
 
 
 def _search(spark: SparkSession, own: pa.Table, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:

@@ -50,12 +50,20 @@ def remove_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 
     For results that several later passes read: they are not computed again, and
-    losing executors does not lose them.
+    losing executors does not lose them. ``batch_rows`` bounds the rows that travel to
+    Python together while it is written, for wide rows.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, setting = scratch_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch_rows:
+        spark.conf.set(setting, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,22 +12,50 @@ from pyspark.sql import types as T
 from ..schema import DERIVED_TYPES, NA_TOKENS, RAW_TYPES, booking_schema
 
 
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by the names in their first line, which alone is read here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream, codec = place.getFileSystem(conf).open(place), codecs.getCodec(place)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+        reader.close()
+        if line is not None:
+            found.setdefault(tuple(next(csv.reader([line.removeprefix("\ufeff")]))), []).append(unquote(file))
+    return found
+
+
 def read_bookings_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Read a booking CSV with a header row.
+    """Read a booking CSV, or a folder of them, with header rows.
 
     Every field arrives as text, so one bad value cannot change a column's type;
     missing-value tokens become null and known columns get their declared type.
     Column names are matched after stripping and other columns stay text. Only
-    the header is read here; Spark does not scan the file to infer types. Fields
-    with line breaks need ``multiline``, which makes each file one task. All files
-    of a folder must have the same columns in the same order: a file whose header
-    differs is an error; read such files one by one and merge them by name.
+    the headers are read here; Spark does not scan the files to infer types. Fields
+    with line breaks need ``multiline``, which makes each file one task. Files with
+    different headers are read in groups of one header each and put together by name;
+    a column that a file lacks is null there.
     """
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline}
-    names = spark.read.options(**options).csv(path).columns
-    # every header is checked against these names when its file is read
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    raw = spark.read.schema(schema).options(**options, enforceSchema=False).csv(path)
+    groups = _headers(spark, path)
+    frames = []
+    for names, files in groups.items() if len(groups) > 1 else [(None, [path])]:
+        names = names or spark.read.options(**options).csv(path).columns
+        # every header is checked against these names when its file is read
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        frames.append(_typed(spark.read.schema(schema).options(**options, enforceSchema=False).csv(files)))
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.unionByName(frame, allowMissingColumns=True)
+    return result
+
+
+def _typed(raw: DataFrame) -> DataFrame:
     known = {**RAW_TYPES, **DERIVED_TYPES}
     columns = []
     for name in raw.columns:

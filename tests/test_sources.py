@@ -72,15 +72,42 @@ def test_importance_refusals(spark, rows):
     assert ml.guarded_feature_importance(none).first().reason == "no complete rows"
 
 
-def test_csv_files_with_other_columns_are_an_error(spark, tmp_path):
-    import pytest
+def test_csv_files_with_different_headers_meet_by_name(spark, tmp_path):
+    import gzip
 
-    folder = tmp_path / "exports"
+    folder = tmp_path / "exports of all"
     folder.mkdir()
     (folder / "a.csv").write_text("hotel,lead_time\nCity Hotel,5\n")
-    (folder / "b.csv").write_text("lead_time,hotel\n7,Resort Hotel\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_bookings_csv(spark, str(folder)).collect()
+    (folder / "b.csv").write_text('lead_time,"hotel",note\n7,"Resort, Hotel",x\n8,Inn,\n')
+    (folder / "c.csv").write_text("hotel,lead_time\nNA,6\n")
+    (folder / "d.csv.gz").write_bytes(gzip.compress(b"note,hotel\ny,Z\n"))
+    (folder / "empty.csv").write_text("")
+    got = read_bookings_csv(spark, str(folder))
+    assert dict(got.dtypes)["lead_time"] == "int"
+    one_by_one = [read_bookings_csv(spark, str(folder / name)) for name in ("a.csv", "b.csv", "c.csv", "d.csv.gz")]
+    want = one_by_one[0]
+    for frame in one_by_one[1:]:
+        want = want.unionByName(frame, allowMissingColumns=True)
+    assert unordered(got.select(*want.columns)) == unordered(want) and got.count() == 5
+
+
+def test_a_failing_write_leaves_the_insight_readable(spark, rows, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    store = str(tmp_path)
+    write_insight(rows("average_adr double", (1.0,)), store, "average_adr_insight")
+    held = read_insight(spark, store, "average_adr_insight")
+    broken = rows("average_adr double", (3.0,)).withColumn("average_adr", F.raise_error(F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        write_insight(broken, store, "average_adr_insight")
+    assert values(read_insight(spark, store, "average_adr_insight")) == [(1.0,)]
+    write_insight(rows("average_adr double", (2.0,)), store, "average_adr_insight")
+    assert values(held) == [(1.0,)] and values(read_insight(spark, store, "average_adr_insight")) == [(2.0,)]
+    write_insight(rows("average_adr double", (4.0,)), store, "average_adr_insight")
+    assert values(read_insight(spark, store, "average_adr_insight")) == [(4.0,)]
+    done = [p for p in (tmp_path / "average_adr_insight").iterdir() if (p / "_SUCCESS").exists()]
+    assert len(done) == 2
 
 
 def test_scratch_tables_are_removed(spark, rows):

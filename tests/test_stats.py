@@ -122,11 +122,10 @@ def test_nan_is_missing(rows):
     assert df.select(F.count("x")).first()[0] == 2
 
 
-def test_quantiles_of_values_in_one_coarse_cell(spark):
+def test_quantiles_of_even_values_close_together(spark):
     n = 100_000
     df = spark.range(n).selectExpr("100.0D + id * 1e-7D AS x", "id % 3 AS k")
     probs = [0.0, 0.001, 0.25, 0.5, 0.77, 1.0]
-    assert df.select(stats._cell(F.col("x"))).distinct().count() <= 2
     got = stats.exact_quantiles(df, "x", probs).first()
     values_ = np.sort(100.0 + np.arange(n) * 1e-7)
     assert got.n == n and list(got.quantiles) == pytest.approx(list(np.quantile(values_, probs)), abs=1e-12)
@@ -147,3 +146,28 @@ def test_correlations_put_blocks_together(spark):
         for j, q in enumerate("abc"):
             both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
             assert got[p, q] == pytest.approx(np.corrcoef(data[both, i], data[both, j])[0, 1], abs=1e-9)
+
+
+def test_quantiles_of_many_values_close_together(spark):
+    df = spark.range(1_000_000).selectExpr("1000 + (id * 7919 % 1000000) * 1e-9 AS x", "id % 3 AS k")
+    probs = [0, 0.001, 0.25, 0.5, 0.999, 1]
+    want = np.quantile(1000 + np.arange(1_000_000) * 1e-9, probs)
+    assert stats.exact_quantiles(df, "x", probs).first().quantiles == pytest.approx(list(want), abs=1e-13)
+    x = 1000 + (np.arange(1_000_000) * 7919 % 1_000_000) * 1e-9
+    for r in stats.exact_quantiles(df, "x", probs, ["k"]).collect():
+        assert r.quantiles == pytest.approx(list(np.quantile(x[r.k::3], probs)), abs=1e-13)
+
+
+def test_only_values_between_brackets_are_put_in_order(spark):
+    df = spark.range(300_000).selectExpr("rand(1) AS x")
+    found = stats.exact_quantiles(df, "x", [0.25, 0.5, 0.75])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert found.first().n == 300_000
+
+
+def test_density_sends_one_vector_a_task(spark):
+    df = spark.range(50_000).selectExpr("rand(2) AS x").repartition(4)
+    plan = stats.kde(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    assert stats.kde(df, "x", 50).count() == 50

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from conftest import values
 
-from roomledger.operators import vectors
+from roomledger.operators import cells, vectors
 
 
 def table(spark, matrix, name, ids=None):
@@ -127,3 +127,31 @@ def test_repeated_query_ids_are_queries_of_their_own(spark):
     corpus = table(spark, np.array([[0.0, 1], [0, 2], [9, 8]]), "vec_id")
     got = sorted(values(vectors.knn(queries, corpus, 2)))
     assert [(g[0], g[1], g[2]) for g in got] == [(1, 1, 0), (1, 1, 2), (1, 2, 1), (1, 2, 1)]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_cells_find_the_nearest_and_skip_pairs(spark, copies):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 20
+    corpus = centres[rng.integers(12, size=4000)] + rng.normal(size=(4000, 8))
+    if copies:  # a third is one vector
+        corpus[::3] = corpus[0]
+    queries = np.concatenate([corpus[:40], rng.normal(size=(5, 8)) * 30])
+    index = cells.build_cells(table(spark, corpus, "vec_id").repartition(5))
+    assert index.blocks.agg({"n": "sum"}).first()[0] == 4000 and index.blocks.agg({"n": "max"}).first()[0] <= cells.BLOCK
+    found = cells.search_cells(table(spark, queries, "query_id"), index, 6)
+    got, want = sorted(values(found.neighbours)), brute(queries, corpus, 6)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert found.compared < 0.6 * 45 * 4000
+    near = cells.search_cells(table(spark, queries, "query_id"), index, 6, probes=4)
+    hits = {g[0::2] for g in values(near.neighbours)} & {w[0::2] for w in want}
+    assert near.compared < found.compared * 2 and len(hits) >= 0.8 * len(want)
+
+
+def test_cells_of_few_vectors(spark):
+    some = table(spark, np.eye(3), "vec_id", ["c", "b", "a"])
+    found = cells.search_cells(table(spark, np.eye(3)[:1], "query_id"), cells.build_cells(some), 5)
+    assert [r[2] for r in sorted(values(found.neighbours))] == ["c", "a", "b"]
+    assert cells.search_cells(some, cells.build_cells(some.limit(0)), 2, query_id="vec_id").neighbours.count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        cells.search_cells(table(spark, np.eye(2), "query_id"), cells.build_cells(some)).neighbours.collect()
