@@ -78,8 +78,8 @@ class Steps:
     step reads.
     """
 
-    def __init__(self, spark: SparkSession, name: str, batch_rows: int = 2000):
-        self.spark, self.name, self.batch_rows, self.paths = spark, name, batch_rows, {}
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int = 2000, codec: str = "snappy"):
+        self.spark, self.name, self.batch_rows, self.codec, self.paths = spark, name, batch_rows, codec, {}
         ship(spark)
 
     def store(self, df: DataFrame, step: str) -> DataFrame:
@@ -89,7 +89,7 @@ class Steps:
             spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
             spark__sql__execution__arrow__maxRecordsPerBatch=str(self.batch_rows),
         ):
-            df.write.parquet(path)
+            df.write.option("compression", self.codec).parquet(path)
         self.paths[step] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -97,8 +97,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
     Decides as ``exact_groups``, for null texts, null ids and empty tables too. Of rows
-    that agree in doc_id and text but not in other columns, the first by those columns
-    stays. Columns of any name are carried along unchanged.
+    that agree in doc_id and text but not in other columns, the first by their JSON text
+    stays. Columns of any name and type are carried along unchanged.
     """
     steps = Steps(docs.sparkSession, "exact")
     groups = steps.store(winners(docs), "winners")
@@ -110,7 +110,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = docs.select("*", F.sha2(normalised(text), 256).alias(sha), name("doc_id"), F.length(text).alias(n))
     kept = rows.join(keys, [sha, doc, n], "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    same = Window.partitionBy(sha, doc, n).orderBy(*(others or [F.lit(0)]))
+    # As JSON, for columns that have no order of their own.
+    same = Window.partitionBy(sha, doc, n).orderBy(F.to_json(F.struct(*others)) if others else F.lit(""))
     return kept.withColumn(key, F.row_number().over(same)).where(F.col(key) == 1).select(*docs.columns)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
@@ -49,13 +50,17 @@ _AWAY = set(
     "meta byline complementary contentinfo".split()
 )
 _TOWARDS = set("article content main post entry story body text prose".split())
+#: As the last word of a name these say what an element is, whatever stands before.
+_IS_ARTICLE = {"article", "post", "story", "prose"}
+#: Names with such words tell of a state of the page, and not what the element is.
+_STATE_FIRST, _STATE_LAST = set("has have no with without is not hide show".split()), set("open closed on off enabled disabled active visible hidden".split())
 _TEXT_TAGS = {"p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}
 _HEADINGS = {f"h{i}" for i in range(1, 7)}
 _NAME = re.compile(r"[a-z]+")
 FEATURES = (
     "bias", "away_tag", "away_name", "towards_tag", "towards_name", "below_away", "below_towards", "page_towards_outside",
     "text_tag", "heading", "container", "inline", "list", "header", "header_inside", "linked", "half_linked", "empty", "short",
-    "middle", "long", "stops", "inside", "away", "no_towards", "no_towards_text",
+    "middle", "long", "stops", "inside", "away", "no_towards", "no_towards_text", "linked_list", "loose",
 )
 
 
@@ -77,11 +82,16 @@ def parse(source: str) -> Page:
     page = Page(["html"], [-1], [""])
     tags, parents, attributes, flow = page.tags, page.parents, page.attributes, page.flow
     stack, at, n, hidden = [0], 0, len(source), 0
+    depths: dict[str, list[int]] = defaultdict(list, html=[0])  # where each tag is open on the stack
     find = _TOKEN.search
 
+    def last(names: set[str]) -> int:
+        return max((depths[name][-1] for name in names if depths[name]), default=0)
+
     def close(depth: int) -> None:
         nonlocal hidden
         for element in stack[depth:]:
+            depths[tags[element]].pop()
             if tags[element] in _BLOCK:
                 flow.append(None)
             hidden -= tags[element] in _HIDDEN
@@ -102,27 +112,30 @@ def parse(source: str) -> Page:
             continue
         tag = tag.lower()
         if match[1] or match[4]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] == tag), 0)
+            depth = last({tag})
             if depth and tag not in _BLOCK and any(tags[e] in _BLOCK for e in stack[depth:]):
                 hidden -= tag in _HIDDEN
                 del stack[depth]
+                depths.clear()
+                for i, element in enumerate(stack):
+                    depths[tags[element]].append(i)
             elif depth:
                 close(depth)
             continue
-        if tag in ("html", "body") and any(tags[e] == tag for e in stack):
+        if tag == "html" and not attributes[0]:
+            attributes[0] = match[3] or match[6] or ""
+        if tag in ("html", "body") and depths[tag]:
             continue
         if tag in _ENDS_P or tag in _CLOSES:
-            closed, scope = _CLOSES.get(tag, ((), ()))
-            for i in range(len(stack) - 1, 0, -1):
+            closed, scope = _CLOSES.get(tag, (set(), set()))
+            ends = closed | {"p"} if tag in _ENDS_P else closed
+            while (i := last(ends)) > last(scope | _P_SCOPE - closed):
                 name = tags[stack[i]]
-                if name in closed or (name == "p" and tag in _ENDS_P):
-                    close(i)
-                    if name != "p":
-                        break
-                elif name in scope or (name in _P_SCOPE and name not in closed):
+                close(i)
+                if name != "p":
                     break
-        if tag == "body" and any(tags[e] == "head" for e in stack):
-            close(next(i for i, e in enumerate(stack) if tags[e] == "head"))
+        if tag == "body" and depths["head"]:
+            close(depths["head"][-1])
         elif tag in _BLOCK and hidden and tags[stack[-1]] == "head":
             close(len(stack) - 1)
         if tag in _BLOCK:
@@ -138,6 +151,7 @@ def parse(source: str) -> Page:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = stop.end() if stop else n
             continue
+        depths[tag].append(len(stack))
         stack.append(len(tags) - 1)
         hidden += tag in _HIDDEN
     return page
@@ -146,20 +160,35 @@ def parse(source: str) -> Page:
 _PLACE = {name: i for i, name in enumerate(FEATURES)}
 
 
+def _kind(name: str) -> tuple[bool, bool]:
+    """Whether a name, such as a class, says that its element is something away from, or is, the article."""
+    words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    if not words or (len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST)):
+        return False, False
+    away, towards = not _AWAY.isdisjoint(words), not _TOWARDS.isdisjoint(words)
+    if words[-1] in _IS_ARTICLE or (towards and _AWAY.intersection(words) == {"header"}):
+        away = False
+    return away, towards and not away
+
+
 @lru_cache(4096)
-def _names(attributes: str) -> tuple[bool, bool, str | None]:
-    """Whether class, id and role name something away from, or towards, the article; the label, if any."""
-    names: set[str] = set()
-    main = None
+def _names(tag: str, attributes: str) -> tuple[bool, bool, str | None]:
+    """Whether class, id and role name something away from, or towards, the article; the label, if any.
+
+    The names of a page, a main part or an article say where it is used: only an article
+    that has a whole name of its own such as ``comment`` is away.
+    """
+    kinds, main, whole = [], None, set()
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id", "role", "itemprop"):
-            names.update(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
+            whole.update((a or b or c).lower().split())
+            kinds += map(_kind, (a or b or c).split())
         elif key == "data-main":
             main = a or b or c
-    away, towards = bool(names & _AWAY), bool(names & _TOWARDS)
-    if towards and names & _AWAY <= {"header"}:  # the heading of an article, or an article's own name
-        away = False
+    away, towards = any(k[0] for k in kinds), any(k[1] for k in kinds)
+    if tag in ("html", "body", "main", "article"):
+        away, towards = tag == "article" and not _AWAY.isdisjoint(whole), towards and tag not in ("html", "body")
     return away, towards and not away, main
 
 
@@ -177,7 +206,7 @@ def _of_tag(tag: str) -> tuple[int, ...]:
 def _of_place(*holds: bool) -> tuple[int, ...]:
     names = (
         "away_name", "towards_name", "below_away", "below_towards", "page_towards_outside", "header", "header_inside", "inside",
-        "away", "no_towards", "no_towards_text",
+        "away", "no_towards", "no_towards_text", "linked_list", "loose",
     )
     return tuple(_PLACE[k] for k, v in zip(names, holds, strict=True) if v)
 
@@ -207,14 +236,22 @@ def features(page: Page) -> tuple[list[tuple[int, ...]], list[int]]:
         text[up] += text[i]
         linked[up] += linked[i]
         stops[up] += stops[i]
-    away, inside, labels = [False] * n, [False] * n, [0] * n
+    own = [0] * n
+    for item in page.flow:
+        if item:
+            own[item[0]] += len(item[1].strip())
+    no_text_tags = not any(text[i] and (t in _TEXT_TAGS or t in _HEADINGS) for i, t in enumerate(tags))
+    away, in_tag, inside, labels = [False] * n, [False] * n, [False] * n, [0] * n
     found: list[tuple[int, ...]] = []
-    names = [_names(a) if a else (False, False, None) for a in page.attributes]
+    names = [_names(t, a) if a else (False, False, None) for t, a in zip(tags, page.attributes, strict=True)]
     some_towards = any(t in ("article", "main") for t in tags) or any(t for _, t, _ in names)
     for i, tag in enumerate(tags):
         up = parents[i]
         away_name, towards_name, main = names[i]
         below_away, below_towards = (away[up], inside[up]) if i else (False, False)
+        if tag in ("article", "main", "body"):  # names of what is around it do not tell
+            below_away = i > 0 and in_tag[up]
+        in_tag[i] = (i > 0 and in_tag[up]) or tag in _AWAY_TAGS
         is_header = tag == "header"
         away_here = away_name or tag in _AWAY_TAGS or (is_header and not below_towards)
         away[i] = below_away or away_here
@@ -225,6 +262,7 @@ def features(page: Page) -> tuple[list[tuple[int, ...]], list[int]]:
         where = _of_place(
             away_name, towards_name, below_away, below_towards, some_towards and not inside[i], is_header and not below_towards,
             is_header and below_towards, inside[i], away[i], not some_towards, loose_text,
+            tag in ("ul", "ol", "menu", "li") and size > 0 and linked[i] > 0.8 * size, not some_towards and not away[i] and own[i] > (0 if no_text_tags else 80),
         )
         found.append(_of_tag(tag) + where + _of_text(min(size, 1000), min(linked[i], 1000) if size < 1000 else 1000 * linked[i] // size, stops[i] * 200 >= size > 0))
     return found, labels
@@ -322,7 +360,9 @@ def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame
     """page_id, url, text and n_chars of every page.
 
     The model is trained on the labelled pages of ``html_pages`` unless one is given. A
-    null or empty html gives an empty text; ids and urls pass through, null or repeated.
+    null or empty html gives an empty text; ids and urls pass through, null or repeated;
+    an empty table gives no rows. A page's work grows with its length, however deep it is
+    nested.
     White space in a block becomes one space; character references are decoded once.
     """
     ship(pages.sparkSession)

@@ -57,9 +57,41 @@ _HOLDERS = [
 ]
 
 
-def labelled_pages() -> list[str]:
-    """Pages of every kind of surrounding, holder and insertion, and small ones."""
+_TEASERS = "".join(f'<article><h3><a href="/t{i}">{_SHORT}</a></h3><p>{_SHORT}</p></article>' for i in range(3))
+#: Names of a theme, which say nothing of the element that has them.
+_THEMES = ["single right-sidebar", "comments-open has-sidebar", "page with-comments no-header", "archive search-results tags-x"]
+
+
+def _other_pages() -> list[str]:
+    """Pages with names of a theme, without names, without tags, and with lists of links that have no name."""
     pages = []
+    for theme in _THEMES:
+        for start, end in _HOLDERS[:2]:
+            pages.append(f'<body class="{theme}">{start}<p>{_TEXT}</p><p>{_SHORT}</p><p>{_LONG}</p>{end}<footer {_NOT}>{_SHORT}</footer></body>')
+        pages.append(f'<body class="{theme}"><div class="search-page"><article class="{theme}" data-main=1><h1>{_SHORT}</h1>{_paragraphs(3)}</article></div></body>')
+        pages.append(f'<body class="{theme}"><div class="{theme.split()[-1]}-article" data-main=1>{_paragraphs(3)}</div><aside {_NOT}>{_TEASERS}</aside></body>')
+    for menu in (f"<ul {_NOT}>" + _menu(5)[4:], f"<ol {_NOT}>" + _menu(4)[4:-5] + "</ol>", f"<div {_NOT}>{_menu(3)}</div>"):
+        pages.append(f"<body>{menu}<article data-main=1>{_paragraphs(3)}{_LISTS}</article>{menu}</body>")
+        pages.append(f"<body>{menu}<div data-main=1><h1>{_SHORT}</h1>{_paragraphs(4)}{_LISTS}</div>{menu}</body>")
+        pages.append(f"<article data-main=1>{_paragraphs(2)}{menu}{_paragraphs(2)}{_LISTS}</article>")
+        pages.append(f"<html data-main=1><body>{_paragraphs(3)}{_LISTS}{menu}</body></html>")
+    for text in (_TEXT, _SHORT, f"{_LONG}<br>{_TEXT}<br><br>{_SHORT}", f"{_LONG}<b>{_SHORT}</b> {_TEXT}"):
+        pages.append(f"<html data-main=1>{text}")
+        pages.append(f"<html data-main=1><body>{text}</body></html>")
+        pages.append(f"<html data-main=1><body><nav {_NOT}>{_menu(4)}</nav>{text}<br>{_TEXT}<footer {_NOT}>{_SHORT}</footer></body></html>")
+    for before, after in _AROUND:
+        for inside in _INSIDE[::3]:
+            pages.append(f"<body>{before}<main data-main=1><p>{_LONG}</p>{inside}<p>{_SHORT}</p></main>{after}</body>")
+            pages.append(f"<body><header {_NOT}><p>{_LONG}</p></header><main data-main=1><p>{_TEXT}</p>{inside}<p>{_SHORT}</p></main>{after}</body>")
+    for _ in range(2):
+        pages.append(f'<body><article data-main=1>{_paragraphs(3)}</article><div {_NOT} class="comments"><article class="comment"><p>{_TEXT}</p></article></div></body>')
+        pages.append(f'<body><main data-main=1>{_paragraphs(3)}</main><aside {_NOT} class="related">{_TEASERS}</aside><section {_NOT} class="more-posts popular">{_TEASERS}</section></body>')
+    return pages
+
+
+def labelled_pages() -> list[str]:
+    """Pages of every kind of surrounding, holder and insertion, small ones, and those of ``_other_pages``."""
+    pages = _other_pages()
     for start, end in _HOLDERS:
         for inside in _INSIDE[:6]:
             pages.append(f"{start}<p>{_TEXT}</p>{inside}<p>{_SHORT}</p>{end}")

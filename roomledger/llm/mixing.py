@@ -25,9 +25,10 @@ def golden_point(n: Column) -> Column:
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, source and size (words) of every document."""
+    """row_id, doc_id, source, text_id (a hash of the text) and size (words) of every document."""
+    text = text_of("text")
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", word_count(text_of("text")).alias("size")
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", F.xxhash64(text).alias("text_id"), word_count(text).alias("size")
     )
 
 
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     known = known.where(F.col("epoch") * F.col("source_size") < F.col("target"))
     digest = F.md5(F.concat_ws("/", "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     known = known.withColumn("_key", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
-    stream = running_total(known, ["sid", "epoch"], ["_key", "row_id"], F.col("_key") / float(2**52), F.col("n_rows"), "size", "_at")
+    stream = running_total(known, ["sid", "epoch"], ["_key", "doc_id", "text_id", "row_id"], F.col("_key") / float(2**52), F.col("n_rows"), "size", "_at")
     stream = stream.withColumn("_a", F.col("epoch") * F.col("source_size") + F.col("_at"))
     stream = stream.withColumn("_b", F.col("_a") + F.col("size"))
     edge = lambda r: F.floor(F.col("target") * r / F.col("n_slots") + 0.5)
@@ -133,34 +134,72 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and the words the mix takes."""
+    """One row per document: doc_id, size, source_size, target, taken, first_slot and slot_words.
+
+    ``taken`` counts the words that the mix takes, ``first_slot`` is the first slot of the
+    schedule that they are in (null for none), ``slot_words`` the sum of their slots, a
+    slot counting as often as it has words of the document. Nulls, ties and repeated rows
+    as in ``mix``.
+    """
     pieces, rows, sources = mix(docs, **options)
-    taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    slot_words = F.sum(F.col("slot") * F.col("words")).alias("slot_words")
+    taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), slot_words)
     n_rows = sources.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     named = lambda df: df.withColumn("_null", F.col("source").isNull()).fillna({"source": ""})
     lookup = named(sources).select("source", "_null", "n_rows", "source_size", "target")
     found = join_lookup(named(rows), lookup, ["source", "_null"], hot_rows(lookup, "n_rows", n_rows), F.col("row_id"))
     found = found.join(taken, "row_id", "left")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", "slot_words")]
+    return found.select("doc_id", "size", "source_size", "target", zero[0], "first_slot", zero[1])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with their columns, as often as the mix takes them.
+    """The documents of the mix in the order of its slots, with their columns, as often as the mix takes them.
 
-    Only the documents at the end of a source's last block are taken in part; such a part
-    counts as a whole document from one half on.
+    A copy stands where its first words are in the schedule; partitions are ranges of
+    slots. Only the documents at the end of a source's last block are taken in part; such
+    a part counts as a whole document from one half on.
+
+    Nulls are handled as in ``mix``. Rows that agree in doc_id, text and source are dealt
+    the places of these rows in the order of their other columns, so the result does not
+    depend on how the input is split. An empty table stays empty; columns of any name are
+    carried along unchanged.
     """
-    key = fresh("row", docs.columns)
-    steps = Steps(docs.sparkSession, "mixed")
-    whole = steps.store(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
-    pieces, rows, _ = mix(whole.select(F.col(key).alias("doc_id"), "source", "text"), **options)
-    taken = pieces.groupBy("row_id").agg(F.sum("words").alias("_taken"))
-    copies = rows.join(taken, "row_id").select(
-        F.col("doc_id").alias(key), F.round(F.col("_taken") / F.col("size")).cast("int").alias(f"{key}_copies")
+    spark = docs.sparkSession
+    key = fresh("key", docs.columns)
+    steps = Steps(spark, "mixed")
+    pieces, rows, sources = mix(docs, **options)
+    n_slots = pieces.agg(F.coalesce(F.max("slot") + 1, F.lit(1))).first()[0]
+    copies = pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias("words"), F.min(F.struct("slot", "place")).alias("at"))
+    same = ["doc_id", "text_id", "source"]
+    named = lambda df: df.withColumn("doc_id", _named("doc_id")).withColumn("source", _named("source"))
+    often = steps.store(named(rows).groupBy(*same).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    copies = copies.join(rows, "row_id").where(F.col("words") * 2 >= F.col("size"))
+    copies = steps.store(named(copies).select(*same, "row_id", "at.slot", "at.place"), "copies")
+    names = {c: f"{key}_{c}" for c in (*same, "rank", "slot", "place")}
+    whole = docs.select(
+        "*", _named("doc_id").alias(names["doc_id"]), F.xxhash64(text_of("text")).alias(names["text_id"]), _named("source").alias(names["source"])
     )
-    found = whole.join(copies.where(F.col(f"{key}_copies") > 0), key)
-    copy = F.explode(F.sequence(F.lit(1), F.col(f"{key}_copies")))
-    return found.withColumn(f"{key}_copy", copy).select(*docs.columns)
+    renamed = lambda df: df.select(*[F.col(c).alias(names[c]) for c in df.columns])
+    keys = [names[c] for c in same]
+    one = whole.join(renamed(copies.join(often, same, "left_anti").drop("row_id")), keys)
+    repeated = whole.join(renamed(often.select(*same)), keys, "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    repeated = repeated.withColumn(names["rank"], F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    ranks = named(rows).join(often, same, "left_semi").select(*same, "row_id", F.row_number().over(Window.partitionBy(*same).orderBy("row_id")).alias("rank"))
+    ranks = renamed(copies.join(ranks, [*same, "row_id"]).drop("row_id"))
+    more = repeated.join(ranks, [*keys, names["rank"]])
+    chosen = [*docs.columns, names["slot"], names["place"]]
+    n_parts = max(1, min(n_slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    part = F.least(F.floor(F.col(names["slot"]) * n_parts / n_slots), F.lit(n_parts - 1)).cast("int")
+    found = one.select(*chosen).unionByName(more.select(*chosen)).repartitionById(n_parts, part)
+    return found.sortWithinPartitions(names["slot"], names["place"]).select(*docs.columns)
+
+
+def _named(column: str) -> Column:
+    """A column as text that tells a null from every value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
 #: The same arithmetic in SQL.
@@ -196,8 +235,13 @@ WITH d AS (
   SELECT sid, count(*) AS c FROM hit GROUP BY sid
 ), s AS (
   SELECT s6.*, coalesce(c, 1) AS c FROM s6 LEFT JOIN c USING (sid) WHERE target >= 0.5
+), ranked AS (
+  SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, sid FROM hit UNION ALL SELECT (SELECT n FROM n) + sid, sid FROM s WHERE sid NOT IN (SELECT sid FROM c))
+), block AS (
+  SELECT sid, slot, floor(target * rank / c + 0.5) AS lo, floor(target * (rank + 1) / c + 0.5) AS hi FROM ranked JOIN s USING (sid)
 ), e AS (
-  SELECT doc_id, sid, size, epoch, c, target, source_size,
+  SELECT doc_id, sid, size, epoch, target, source_size,
          ('0x' || substr(md5(concat_ws('/', epoch, doc_id)), 1, 13))::BIGINT AS key
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, range(2) r(epoch)
   WHERE size > 0 AND epoch * source_size < target
@@ -205,9 +249,12 @@ WITH d AS (
   SELECT *, epoch * source_size
          + coalesce(sum(size) OVER (PARTITION BY sid, epoch ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM e
+), piece AS (
+  SELECT doc_id, slot, (least(a + size, hi) - greatest(a, lo))::BIGINT AS words
+  FROM laid JOIN block ON laid.sid = block.sid AND lo < a + size AND hi > a
 ), taken AS (
-  SELECT doc_id, sum(greatest(0, least(a + size, floor(target + 0.5)) - a))::BIGINT AS taken FROM laid GROUP BY doc_id
+  SELECT doc_id, sum(words)::BIGINT AS taken, min(slot) AS first_slot, sum(slot * words)::BIGINT AS slot_words FROM piece GROUP BY doc_id
 )
-SELECT d.doc_id, d.size, s6.source_size, s6.target, coalesce(taken, 0) AS taken
+SELECT d.doc_id, d.size, s6.source_size, s6.target, coalesce(taken, 0) AS taken, first_slot, coalesce(slot_words, 0) AS slot_words
 FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source LEFT JOIN taken USING (doc_id)
 """

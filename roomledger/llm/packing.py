@@ -129,6 +129,21 @@ def _configuration(sizes: list[int], left: list[int], capacity: int) -> list[int
 def plan(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
     """Runs of sequences with equal contents (lengths) for so many pieces of each length.
 
+    The better of linear grouping, over ``groups`` sizes and over a sixteenth of them, and
+    best fit of all pieces, longest first.
+    """
+    plain = _Bins()
+    for length in sorted(counts, reverse=True):
+        if length > 0 and counts[length]:
+            plain.best_fit(length, counts[length], capacity)
+    found = [grouped_plan(counts, capacity, large, groups), grouped_plan(counts, capacity, large, max(1, groups // 16))]
+    found.append([run for left in sorted(plain.runs) for run in plain.runs[left]])
+    return min(found, key=lambda runs: sum(n for _, n in runs))
+
+
+def grouped_plan(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+    """Runs of sequences with equal contents (lengths) for so many pieces of each length, by linear grouping.
+
     Works on the counts by length, so its cost depends on the capacity and not on the
     number of pieces. Linear grouping: the large pieces, longest first, are cut into
     groups of equal cardinality and rounded up to the longest of their group.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, ship, text_of
+from .common import ship, text_of
 
 #: Hashed word features, steps a statistic is cut into, and rank of the pairwise weights.
 WORDS, BINS, RANK = 1 << 12, 12, 4
@@ -162,12 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
     rows = docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
-    found = rows.mapInArrow(_extract, "quality int, index array<long>, value array<double>").collect()
-    found.sort(key=lambda r: (r["quality"], r["index"], r["value"]))
-    y = np.array([r["quality"] for r in found], float)
+    table = rows.mapInArrow(_extract, "quality int, index array<long>, value array<double>").toArrow()
+    found = [(q, i.values.to_numpy(), v.values.to_numpy()) for q, i, v in zip(table["quality"].to_pylist(), table["index"], table["value"], strict=True)]
+    found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    y = np.array([q for q, _, _ in found], float)
     if len(set(y)) < 2:
         return Machine(0.0, np.zeros(N_FEATURES), np.zeros((N_FEATURES, RANK)))
-    return fit([(np.array(r["index"], np.int64), np.array(r["value"])) for r in found], y)
+    return fit([(i, v) for _, i, v in found], y)
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
@@ -188,19 +189,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _keep_batches(batches: Iterator[pa.RecordBatch], machine: Machine, column: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [machine.score(*features(t.as_py() or "")) >= 0.5 for t in batch.column(column)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents predicted to be of quality 1, with their columns.
 
-    Null and empty texts are scored as empty; an empty table stays empty. Rows travel whole
-    to the scoring tasks, so the result is written by small batches that bound their memory.
+    Null and empty texts are scored as empty; repeated rows and null ids are documents of
+    their own; an empty table stays empty. Only texts travel to the scoring tasks.
     """
-    steps = Steps(docs.sparkSession, "quality", batch_rows=500)
     machine = train(docs, labels, sample)
-    keep = partial(_keep_batches, machine=machine, column=docs.columns.index("text"))
-    return steps.store(docs.mapInArrow(keep, docs.schema), "kept")
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([machine.score(*features(t.as_py())) >= 0.5 for t in texts], pa.bool_())
+
+    return docs.where(good(text_of("text")))

@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash: fingerprints linked through BK-trees, or candidates checked by shingle similarity."""
+"""Near-duplicates by SimHash: fingerprints linked through BK-trees; groups by shingle similarity."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import Steps, fresh, hot_rows, join_counted, join_lookup, text_of
 from .graph import components
 
@@ -21,11 +22,8 @@ BANDS, BAND_BITS = 4, 16
 TREE = 256
 #: Rows of whole trees that are searched together, and pairs of query and node held at once.
 ROWS, PAIRS = 1 << 16, 1 << 20
-#: De-duplication by similarity: words of a shingle, least Jaccard similarity, and the widest SimHash distance of a
-#: candidate. Pairs at 0.8 are 9.7 bits apart on average, with a deviation of 2.9.
-WORDS, SIMILARITY, WIDE = 5, 0.8, 22
-#: MinHash bands and values of a band: a pair at 0.8 shares none of them once in 20 million.
-MIN_BANDS, MIN_VALUES = 32, 4
+#: De-duplication by similarity: links from a Jaccard similarity of 0.8 on.
+SIMILAR = minhash.Scheme(percent=80)
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -205,158 +203,73 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str, shingle: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text, cut as in ``fingerprint``."""
-    words = text.encode().lower().split()
-    if len(words) <= shingle:
-        return np.array([_hash(b" ".join(words))] if words else [], np.uint64)
-    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    return np.unique(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
-
-
-_TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MIN_BANDS * MIN_VALUES), np.uint64) | np.uint64(1)
-
-
-def sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
-    """Key, SimHash and MinHash band keys of a set of shingles; the empty set has no bands."""
-    n = len(hashes)
-    if not n:
-        return 0, 0, []
-    set_bits, least = np.zeros(64, np.int64), np.full(_TURNS.shape[1], ~np.uint64(0))
-    for at in range(0, n, 1 << 10):
-        part = hashes[at : at + (1 << 10)]
-        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-        np.minimum(least, ((part[:, None] ^ _TURNS[0]) * _TURNS[1]).min(0), out=least)
-    sim = int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.int64)[0])
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    bands = [signed(xxhash.xxh3_64_intdigest(least[b::MIN_BANDS].tobytes(), seed=b)) for b in range(MIN_BANDS)]
-    return signed(xxhash.xxh3_64_intdigest(hashes.tobytes())), sim, bands
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [sketch(shingle_set(t.as_py())) for t in batch.column(2)]
-        node, sim = (pa.array([f[i] for f in found], pa.int64()) for i in range(2))
-        bands = pa.array([f[2] for f in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, sim, bands], ["row_id", "doc_id", "node", "sim", "bands"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], ["node", "hashes"])
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number: every shingle counts once."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 10):
+        part = hashes[at : at + (1 << 10)].view(np.uint8).reshape(-1, 8)
+        set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches ``least``."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return common >= least * (len(both) - common)
+def _tree_pairs(steps: Steps, sets: DataFrame) -> DataFrame:
+    """Pairs (node, centre) that BK-trees link: sets of one fingerprint, and the first sets of linked fingerprints."""
+    first = steps.store(sets.groupBy(F.col("sim").alias("fp")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")), "fingerprints")
+    n, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    near = links(steps, first.select("fp"), n)
+    same = join_lookup(sets.select("node", F.col("sim").alias("fp")), first.drop("c"), ["fp"], hot_rows(first, "c", total).drop("c"), F.col("node"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("a", "node"), ("b", "centre")))
+    same = same.where("node <> first").select("node", F.col("first").alias("centre"))
+    return same.unionByName(near.join(a, "a").join(b, "b").select("node", "centre"))
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sides = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(i)] for i in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array(list(map(similar, *sides)), pa.bool_()))
+def _similar_kept(steps: Steps, docs: DataFrame) -> DataFrame:
+    """doc_id, text_id and number of rows of the document that stays, for each group by similarity."""
+    rows, sets = minhash.sketches(steps, docs, SIMILAR, set_fingerprint)
+    groups = minhash.similar_groups(steps, docs, sets, SIMILAR, _tree_pairs(steps, sets))
+    found = minhash.labelled_rows(steps, rows, sets, groups)
+    same = found.groupBy("doc_id", "text_id", "label").agg(F.count(F.lit(1)).alias("c"))
+    best = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "c")).alias("k"))
+    kept = steps.store(best.select("k.doc_id", "k.text_id", "k.c"), "kept")
+    steps.drop("sets", "rows", "groups", "parts", "open-keys", "open-links", "node-labels", "names", "row-labels", "fingerprints", "tree-links")
+    return kept
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows (tree, node, sim, part) that come sorted by tree: one tree, two parts, within ``WIDE``."""
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are in ``kept`` (doc_id, text_id, c), with all columns.
 
-    def found(tree, node, sim, part) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
-        for i, j in zip(start, [*start[1:], len(tree)], strict=True):
-            step = max(1, PAIRS // (j - i))
-            for at in range(i, j, step):
-                here = np.arange(at, min(at + step, j))
-                near = np.bitwise_count(sim[here, None] ^ sim[None, i:j]) <= WIDE
-                a, b = np.nonzero(near & (part[here, None] != part[None, i:j]) & (node[here, None] < node[None, i:j]))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[here[a]]), pa.array(node[i + b])], ["a", "b"])
-
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
-        if sum(len(h[0]) for h in held) >= ROWS:
-            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-            whole = int(np.searchsorted(rows[0], rows[0][-1]))
-            yield from found(*(c[:whole] for c in rows))
-            held = [[c[whole:] for c in rows]]
-    if held and sum(len(h[0]) for h in held):
-        yield from found(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-
-def _verified(steps: Steps, name: str, pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity; sets are made from one text of each node."""
-    pairs = steps.store(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", "row_id")
-    texts = rows.join(nodes, "row_id").select("node", "text")
-    sets = steps.store(texts.mapInArrow(_sets, "node long, hashes binary"), f"{name}-sets")
-    for end in ("a", "b"):
-        side = sets.select(F.col("node").alias(end), F.col("hashes").alias(f"set_{end}"))
-        pairs = join_counted(pairs, side, end, F.xxhash64("a", "b"))
-    return steps.store(pairs.mapInArrow(_similar, "a long, b long"), f"{name}-links")
-
-
-def similar_links(steps: Steps, distinct: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all sets (node, sim, bands, row_id) whose Jaccard similarity is ``SIMILARITY`` or more.
-
-    Candidates share a MinHash band and are at most ``WIDE`` bits of SimHash apart; each
-    link is checked by the sets themselves. First the sets of a band value are paired with
-    one centre, the one that meets most others, which joins large groups by few pairs;
-    then all pairs are taken that the centre does not connect. Of hot band values, the
-    sets are dealt over shards and each pair of shards meets.
+    Where a pair stands for c > 1 rows, the first by the other columns stays.
     """
-    keyed = distinct.select("node", "sim", F.explode("bands").alias("key"))
-    sizes = steps.store(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "band-sizes")
-    shared = steps.store(join_counted(keyed, sizes, "key", F.col("node")).where("m IS NOT NULL"), "band-rows")
-    weight = shared.groupBy("node").agg(F.sum("m").alias("w"))
-    centre = F.max(F.struct("w", "node", "sim")).alias("c")
-    centres = shared.join(weight, "node").groupBy("key").agg(centre).select("key", F.col("c.node").alias("centre"), F.col("c.sim").alias("centre_sim"))
-    star = steps.store(join_counted(shared, steps.store(centres, "centres"), "key", F.col("node")), "star")
-    close = F.bit_count(F.col("sim").bitwiseXOR(F.col("centre_sim"))) <= WIDE
-    pairs = star.where((F.col("node") != F.col("centre")) & close).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    first = _verified(steps, "star", pairs, distinct, rows)
-    known = first.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.lit(True).alias("known"))
-    part = F.when(F.col("known") | (F.col("node") == F.col("centre")), F.col("centre")).otherwise(F.col("node"))
-    parts = steps.store(star.join(known, ["node", "centre"], "left").select("key", "m", "node", "sim", part.alias("part")), "parts")
-    open_keys = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
-    open_keys = open_keys.select("key", F.lit(True).alias("open"))
-    cut = join_counted(parts, steps.store(open_keys, "open-keys"), "key", F.col("node")).where("open")
-    cut = cut.withColumn("shards", F.ceil(F.sqrt(F.col("m") / TREE)).cast("int"))
-    cut = cut.withColumn("_s", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    cut = cut.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    tree = F.xxhash64("key", F.least("_s", "_t"), F.greatest("_s", "_t")).alias("tree")
-    met = cut.select(tree, "node", "sim", "part").repartition("tree").sortWithinPartitions("tree", "node")
-    rest = _verified(steps, "rest", met.mapInArrow(_across, "a long, b long"), distinct, rows)
-    return first.unionByName(rest)
-
-
-def _similar_rows(steps: Steps, rows: DataFrame) -> DataFrame:
-    """row_id, doc_id and label for rows (row_id, doc_id, text); rows that links of ``similar_links`` connect share the label."""
-    prints = steps.store(rows.mapInArrow(_sketches, "row_id long, doc_id long, node long, sim long, bands array<long>"), "sketches")
-    kept = [F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("row_id"), F.min("sim").alias("sim"), F.min("bands").alias("bands")]
-    distinct = steps.store(prints.groupBy("node").agg(*kept), "distinct")
-    joined = components(steps, similar_links(steps, distinct, rows))
-    labels = distinct.join(joined, "node", "left").select("node", "n_rows", F.coalesce("label", "node").alias("label"))
-    labels = steps.store(labels, "labels")
-    hot = hot_rows(labels, "n_rows", prints.count())
-    return steps.store(join_lookup(prints.drop("sim", "bands"), labels, ["node"], hot, F.col("row_id")).drop("n_rows"), "rows")
+    key = fresh("key", docs.columns)
+    text, doc = f"{key}_text", f"{key}_doc"
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(doc)
+    rows = docs.select("*", F.xxhash64(text_of("text")).alias(text), name("doc_id"))
+    keys = lambda some: kept.where(some).select(F.col("text_id").alias(text), name("doc_id"))
+    one = rows.join(keys("c = 1"), [text, doc], "left_semi")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])) if len(docs.columns) > 2 else F.lit("")
+    first = Window.partitionBy(text, doc).orderBy(others)
+    more = rows.join(keys("c > 1"), [text, doc], "left_semi").withColumn(key, F.row_number().over(first)).where(F.col(key) == 1)
+    return one.select(*docs.columns).unionByName(more.select(*docs.columns))
 
 
 def near_deduplicate(docs: DataFrame, by_similarity: bool = False) -> DataFrame:
     """One document of each group, with all columns: the smallest doc_id, null ids last.
 
-    Groups are those of ``near_groups``, or with ``by_similarity`` those that links of a
-    Jaccard similarity of ``SIMILARITY`` or more between sets of five-word shingles connect.
+    Groups are those of ``near_groups``; or with ``by_similarity`` those that links of a
+    Jaccard similarity of 0.8 or more between sets of five-word shingles connect. Pairs to
+    check come from BK-trees over the sets' fingerprints and, as pairs at 0.8 lie some ten
+    bits apart, from MinHash bands; each is checked by the whole sets.
+
+    Texts without words, null among them, are one group. A null doc_id comes last in its
+    group. Of repeated rows one stays. An empty table stays empty, and columns of any name
+    are carried along unchanged.
     """
+    if by_similarity:
+        return keep_rows(docs, _similar_kept(Steps(docs.sparkSession, "near", batch_rows=500, codec="zstd"), docs))
     key = fresh("row", docs.columns)
     steps = Steps(docs.sparkSession, "near", batch_rows=500)
     whole = steps.store(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
-    rows = (_similar_rows if by_similarity else _near)(steps, _rows(whole, key))
+    rows = _near(steps, _rows(whole, key))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     kept = steps.store(rows.groupBy("label").agg(F.min_by("row_id", order).alias(key)).select(key), "kept")
     return whole.join(kept, key, "left_semi").select(*docs.columns)

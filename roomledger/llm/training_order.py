@@ -86,7 +86,10 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, end: i
     for batch in batches:
         found = [encoder.encode(text.as_py()) + last for text in batch.column(1)]
         sizes = np.array([len(f) // 4 for f in found], np.int64)
-        ids = np.frombuffer(b"".join(found), "<u4").astype(ID)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        if len(ids) and ids.max() > np.iinfo(ID).max:
+            raise ValueError(f"id {ids.max()} does not fit into {ID.itemsize} bytes")
+        ids = ids.astype(ID)
         pieces = -(-sizes // length)  # of each document
         n, first = int(pieces.sum()), np.cumsum(pieces) - pieces
         doc = np.repeat(np.arange(len(sizes)), pieces)
@@ -125,7 +128,7 @@ def training_order(docs: DataFrame, key: str = KEY, path: str | None = None, len
     with a null doc_id, are documents of their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    steps = Steps(spark, "order")
+    steps = Steps(spark, "order", codec="zstd")
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     cut = partial(_sequences, path=path or vocabulary_path(), length=length, end=end)
     sequences = steps.store(rows.mapInArrow(cut, "part int, place long, doc_id long, piece int, ids binary"), "sequences")

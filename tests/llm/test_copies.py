@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from roomledger.llm import exact_dedup, simhash
+from roomledger.llm import exact_dedup, minhash, simhash
 from roomledger.llm.common import Steps
 from roomledger.llm.graph import components
 
@@ -178,6 +178,6 @@ def test_near_deduplicate_by_similarity_equals_brute_force(spark, monkeypatch):
     for x, (d, _) in zip(label, rows, strict=True):
         groups[x].append(d)
     assert wide > 100
-    monkeypatch.setattr(simhash, "TREE", 16)
+    monkeypatch.setattr(minhash, "TREE", 16)
     found = simhash.near_deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), by_similarity=True)
     assert sorted(r["doc_id"] for r in found.collect()) == sorted(map(min, groups.values()))

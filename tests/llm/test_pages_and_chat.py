@@ -30,6 +30,31 @@ CASES = [
 ]
 
 
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(5)) + "</ul>"
+CASES += [
+    (f'<body class="{name}"><article class="{own}"><p>{LONG}</p><p>End.</p></article></body>', f"{LONG}\n\nEnd.")
+    for name in ("single right-sidebar", "comments-open", "page has-sidebar no-menu", "") for own in ("post tags-x", "", "category-search hentry")
+]
+CASES += [
+    (f'<body><div class="search-results-article"><p>{LONG}</p><p>{LONG}</p></div></body>', f"{LONG}\n\n{LONG}"),
+    (LONG, LONG), ("Only a few words", "Only a few words"),
+    (f"<html><body>{LONG}<br>{LONG}<br>The end.</body></html>", f"{LONG} {LONG} The end."),
+    (f"<body>{MENU}<article><p>{LONG}</p><ul><li>first, of all</li><li>second</li></ul></article>{MENU}</body>", f"{LONG}\n\nfirst, of all\n\nsecond"),
+    (f"<body>{MENU}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p></body>", f"Title\n\n{LONG}\n\n{LONG}"),
+    (f"<body><article><p>{LONG}</p></article><div class='comments'><article class='comment'><p>{LONG}</p></article></div></body>", LONG),
+]
+
+
+def test_deep_nesting_takes_linear_time(model):
+    import time
+
+    start = time.process_time()
+    page = html_main.parse("<div>" * 100_000 + LONG)
+    assert len(page.tags) == 100_001 and time.process_time() - start < 5
+    page = html_main.parse("<p><button>" + "<div>" * 50_000 + "</div>" * 50_000)
+    assert len(page.tags) == 50_003 and time.process_time() - start < 10
+
+
 @pytest.mark.parametrize(("source", "text"), CASES)
 def test_main_text(model, source, text):
     if text is not None:
