@@ -861,10 +861,10 @@ oracle(
     " FROM (SELECT a.vec_id AS query_id, b.vec_id, round(array_distance(a.e, b.e) ** 2, 9) AS d FROM es a CROSS JOIN es b)) WHERE rank <= 5",
     es="SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings",
 )
-oracle("cells_skip_pairs", "SELECT count(*) AS n_vectors, true AS fewer FROM embeddings")
+oracle("cells_skip_pairs", "SELECT count(*) AS n_vectors, true AS fewer FROM documents")
 oracle(
     "approximate_recall",
-    "SELECT k::INTEGER AS k, (SELECT count(*) FROM embeddings) * least(k, (SELECT count(*) FROM embeddings)) AS n_neighbours, true AS enough"
+    "SELECT k::INTEGER AS k, (SELECT count(*) FROM documents) * least(k, (SELECT count(*) FROM documents)) AS n_neighbours, true AS enough"
     " FROM (VALUES (1), (5), (10)) t(k)",
 )
 oracle("question_routes", "SELECT q_id, route, month, year, date_text FROM routed", asked=_ASKED, routed=_ROUTED)

@@ -824,21 +824,26 @@ def nearest_embeddings(t):
     return rounded(near, "dist2", places=4).drop("dist2")
 
 
+def _document_cells(t):
+    spread = t.spark.sparkContext.defaultParallelism
+    corpus = stored(vectors.embed(t.table("documents"), spread=spread).withColumnRenamed("doc_id", "vec_id"), "vectors")
+    return corpus, cells.build_cells(corpus)
+
+
 @query("R4 J8")
 def cells_skip_pairs(t):
-    embeddings = t.table("embeddings")
-    found = cells.search_cells(embeddings, cells.build_cells(embeddings), 5, query_id="vec_id")
-    counts = embeddings.agg(F.count("*").alias("n_vectors"), (F.count("*") * F.count("*")).alias("pairs"))
+    corpus, index = _document_cells(t)
+    found = cells.search_cells(corpus, index, 5, query_id="vec_id")
+    counts = corpus.agg(F.count("*").alias("n_vectors"), (F.count("*") * F.count("*")).alias("pairs"))
     return counts.select("n_vectors", (F.lit(found.compared) < F.col("pairs")).alias("fewer"))
 
 
 @query("R4 J8")
 def approximate_recall(t):
-    embeddings = t.table("embeddings")
-    index = cells.build_cells(embeddings)
-    probes = max(8, len(index.centres) // 8)
+    corpus, index = _document_cells(t)
+    probes = max(8, len(index.centres) // 4)
     near = [
-        cells.search_cells(embeddings, index, 10, query_id="vec_id", probes=p).neighbours.select("query_id", "vec_id", "rank")
+        cells.search_cells(corpus, index, 10, query_id="vec_id", probes=p).neighbours.select("query_id", "vec_id", "rank")
         for p in (None, probes)
     ]
     exact, found = near[0].withColumnRenamed("rank", "exact_rank"), near[1]
