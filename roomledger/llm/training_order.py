@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.scratch import scratch_path
@@ -115,7 +115,7 @@ def _placed(batches: Iterator[pa.RecordBatch], order: Permutation, length: int,
 
 
 def training_order(docs: DataFrame, key: str = KEY, path: str | None = None, length: int = LENGTH, shard: int = SHARD,
-                   end: int = END, pad: int = PAD) -> DataFrame:
+                   end: int = END, pad: int = PAD, steps: Steps | None = None) -> DataFrame:
     """Every sequence at its global slot: slot, shard, place, doc_id, piece, length, record.
 
     A document's ids and the end id are cut into sequences of ``length``; the last is
@@ -128,7 +128,7 @@ def training_order(docs: DataFrame, key: str = KEY, path: str | None = None, len
     with a null doc_id, are documents of their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    steps = Steps(spark, "order", codec="zstd")
+    steps = steps or _steps(spark)
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     cut = partial(_sequences, path=path or vocabulary_path(), length=length, end=end)
     sequences = steps.store(rows.mapInArrow(cut, "part int, place long, doc_id long, piece int, ids binary"), "sequences")
@@ -146,6 +146,10 @@ def training_order(docs: DataFrame, key: str = KEY, path: str | None = None, len
     return ranged.sortWithinPartitions("slot").select("slot", "shard", "place", "doc_id", "piece", "length", "record")
 
 
+def _steps(spark: SparkSession) -> Steps:
+    return Steps(spark, "order", codec="zstd")
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
@@ -216,7 +220,8 @@ def _from_shards(batches: Iterator[pa.RecordBatch], folder: str, length: int) ->
 
 def order_digests(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Writes the shards to the shared folder; the training order with a digest of each record as its shard holds it."""
-    folder = scratch_path(docs.sparkSession, "shards")
-    index = write_shards(training_order(docs, length=length, shard=shard), folder)
+    folder, steps = scratch_path(docs.sparkSession, "shards"), _steps(docs.sparkSession)
+    index = write_shards(training_order(docs, length=length, shard=shard, steps=steps), folder)
+    steps.drop("sequences")
     read = partial(_from_shards, folder=folder, length=length)
     return index.mapInArrow(read, index.schema)

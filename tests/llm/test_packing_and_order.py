@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,3 +129,56 @@ def test_order_digests_come_from_written_shards(spark):
     assert len({r["shard"] for r in found}) > 10 and [r["slot"] for r in found] == list(range(len(records)))
     assert [r["record_crc32"] for r in found] == [zlib.crc32(x.tobytes()) for x in records]
     assert training_order.order_digests(df.limit(0)).collect() == []
+
+
+def integer_slot(i, n, key, rounds=6):
+    """The slot of number i by plain integers."""
+    import hashlib
+
+    half, word = max(1, (max(1, n - 1).bit_length() + 1) // 2), (1 << 64) - 1
+    while True:
+        left, right = i >> half, i & ((1 << half) - 1)
+        for r in range(rounds):
+            seed = hashlib.blake2b(f"{key}/{r}".encode(), digest_size=16).digest()
+            x = ((right + (int.from_bytes(seed[:8], "little") | 1)) * (int.from_bytes(seed[8:], "little") | 1)) & word
+            x = ((x ^ (x >> 31)) * 0x94D049BB133111EB) & word
+            left, right = right, left ^ ((x ^ (x >> 29)) & ((1 << half) - 1))
+        i = (left << half) | right
+        if i < n:
+            return i
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000, 10**12])
+def test_slots_equal_an_integer_network(n):
+    order = training_order.Permutation(n, "a key")
+    some = np.array(sorted({i % n for i in [*range(50), n - 1, n // 2, n // 3]}))
+    assert order.slot(some).tolist() == [integer_slot(int(i), n, "a key") for i in some]
+
+
+def test_ids_that_do_not_fit_are_an_error(spark, monkeypatch):
+    class Wide:
+        def encode(self, text):
+            return (70_000).to_bytes(4, "little")
+
+    monkeypatch.setattr(training_order, "word_encoder", lambda path: Wide())
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"])], ["doc_id", "text"])
+    monkeypatch.setattr(training_order, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    with pytest.raises(ValueError, match="does not fit"):
+        list(training_order._sequences(iter([batch]), "p", 4, 1))
+
+
+@pytest.mark.parametrize("lengths", [range(1, 4097), range(2040, 2061), range(1000, 2101), [4096], [1], [1366, 1365, 700]])
+def test_no_more_sequences_than_best_fit(lengths):
+    rng = random.Random(4)
+    counts = Counter(rng.choice(list(lengths)) for _ in range(20_000))
+    found = packing.plan(counts)
+    plain = packing._Bins()
+    for length in sorted(counts, reverse=True):
+        plain.best_fit(length, counts[length], packing.CAPACITY)
+    assert sum(n for _, n in found) <= sum(n for runs in plain.runs.values() for _, n in runs)
+    assert all(sum(contents) <= packing.CAPACITY for contents, _ in found)
+    used = Counter()
+    for contents, n in found:
+        for length in contents:
+            used[length] += n
+    assert used == counts
