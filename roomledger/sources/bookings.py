@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,23 +72,55 @@ def _typed(raw: DataFrame) -> DataFrame:
     return raw.select(*columns)
 
 
+#: Bits of a column's place in an interleaved key; so many equally full ranges are told apart.
+_BITS = 6
+
+
+def add_interleaved_key(df: DataFrame, columns: Sequence[str], output: str) -> DataFrame:
+    """Add a number whose bits come in turn from each column's place, so that near keys are near in every column.
+
+    A place is the number of the equally full range that holds the value; texts are placed
+    by their hash, which serves filters for equality. Nulls come first.
+    """
+
+    def number(name: str) -> Column:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.DateType):
+            return F.unix_date(F.col(name)).cast("double")
+        return (F.col(name) if isinstance(kind, T.NumericType) else F.xxhash64(name)).cast("double")
+
+    shares = [i / (1 << _BITS) for i in range(1, 1 << _BITS)]
+    ends = df.agg(F.struct(*[F.percentile_approx(F.when(F.col(c).isNotNull(), number(c)), shares, 10_000).alias(f"_{i}") for i, c in enumerate(columns)])).scalar()
+    key = F.lit(0).cast("long")
+    for i, name in enumerate(columns):
+        value = number(name)
+        below = F.size(F.filter(F.col(f"_ends._{i}"), lambda end: end < value))  # noqa: B023
+        place = F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.greatest(below, F.lit(0)))
+        for bit in range(_BITS):
+            key = key + F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1)).cast("long"), bit * len(columns) + i)
+    return df.withColumn("_ends", ends).withColumn(output, key).drop("_ends")
+
+
 def write_bookings(
     df: DataFrame,
     path: str,
     format: str = "parquet",
-    cluster_by: str | None = None,
+    cluster_by: str | Sequence[str] | None = None,
     partitions: int | None = None,
 ) -> None:
     """Write a booking table, replacing what is at ``path``.
 
     ``cluster_by`` lays the rows out in ranges of that column, so that filters on
-    it skip whole files and row groups. The row hash is a second range key: a
+    it skip whole files and row groups; of several columns, in ranges of an interleaved
+    key, which serves filters on any of them. The row hash is a second range key: a
     single hot date is cut into several files instead of one.
     """
     if cluster_by is not None:
-        keys = [F.col(cluster_by), F.xxhash64(*df.columns)]
-        df = df.repartitionByRange(*([partitions] if partitions else []), *keys)
-        df = df.sortWithinPartitions(cluster_by)
+        several = not isinstance(cluster_by, str)
+        keyed = add_interleaved_key(df, cluster_by, "_order") if several else df.withColumn("_order", F.col(cluster_by))
+        keyed = keyed.withColumn("_hash", F.xxhash64(*df.columns))
+        keyed = keyed.repartitionByRange(*([partitions] if partitions else []), "_order", "_hash")
+        df = keyed.sortWithinPartitions("_order", *(cluster_by if several else [])).drop("_order", "_hash")
     writer = df.write.mode("overwrite")
     if format == "csv":
         writer.options(header=True, quote='"', escape='"').csv(path)

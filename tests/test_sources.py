@@ -1,6 +1,7 @@
 import datetime as dt
 
 from conftest import unordered, values
+from pyspark.sql import functions as F
 
 from roomledger.operators import ml
 from roomledger.scratch import scratch_path, shared_folder
@@ -31,6 +32,29 @@ def test_hot_date_is_cut_into_several_files(spark, tmp_path):
     assert sizes.count() > 1
 
 
+def test_interleaved_layout_skips_files_for_filters_on_any_column(spark, tmp_path):
+    df = spark.range(40_000).selectExpr(
+        "date_add(DATE'2016-01-01', int(id * 7919 % 700)) AS arrival_date", "if(id * 31 % 97 < 40, 'City Hotel', 'Resort Hotel') AS hotel",
+        "element_at(array('Transient', 'Group', 'Contract', NULL), int(id * 17 % 1009 % 4) + 1) AS customer_type", "id",
+    )
+    wanted = "arrival_date BETWEEN DATE'2016-03-01' AND DATE'2016-03-31' AND hotel = 'City Hotel' AND customer_type = 'Group'"
+
+    def files_met(name, columns):
+        path = str(tmp_path / name)
+        write_bookings(df, path, cluster_by=columns, partitions=32)
+        rows = spark.read.parquet(path)
+        assert unordered(rows.where(wanted)) == unordered(df.where(wanted)) and rows.count() == 40_000
+        ends = "min({0}) AS lo_{0}, max({0}) AS hi_{0}".format
+        by_file = rows.groupBy(F.input_file_name()).agg(*[F.expr(e) for c in ("arrival_date", "hotel", "customer_type") for e in ends(c).split(", ")])
+        met = "lo_arrival_date <= DATE'2016-03-31' AND hi_arrival_date >= DATE'2016-03-01' AND lo_hotel <= 'City Hotel' AND hi_hotel >= 'City Hotel'"
+        by_type = "lo_customer_type <= 'Group' AND hi_customer_type >= 'Group'"
+        return by_file.where(f"{met} AND {by_type}").count(), by_file.where(by_type).count()
+
+    several, several_by_type = files_met("several", ["arrival_date", "hotel", "customer_type"])
+    _, one_by_type = files_met("one", "arrival_date")
+    assert 0 < several <= 6 and several_by_type < 0.8 * one_by_type
+
+
 def test_country_map_file(spark, tmp_path):
     good, bad = tmp_path / "good.json", tmp_path / "bad.json"
     good.write_text('{"PRT":\n "Portugal"}')
@@ -93,7 +117,6 @@ def test_csv_files_with_different_headers_meet_by_name(spark, tmp_path):
 
 def test_a_failing_write_leaves_the_insight_readable(spark, rows, tmp_path):
     import pytest
-    from pyspark.sql import functions as F
 
     store = str(tmp_path)
     write_insight(rows("average_adr double", (1.0,)), store, "average_adr_insight")
