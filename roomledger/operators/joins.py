@@ -20,14 +20,16 @@ def semi_join_top_k(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     return df.join(F.broadcast(top), key, "left_semi")
 
 
-def semi_join_min_count(df: DataFrame, key: str, more_than: int = 20) -> DataFrame:
+def semi_join_min_count(df: DataFrame, key: str, more_than: int = 20, bucketed: bool = False) -> DataFrame:
     """Rows whose ``key`` occurs more than ``more_than`` times.
 
     The key set has no fixed bound, so it is not broadcast by hint; the rows of a hot
-    key are split by the adaptive skew join.
+    key are split by the adaptive skew join. Rows that are stored in buckets of the key
+    (``write_bucketed``) are counted and joined where they are.
     """
     often = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > more_than)
-    return df.join(often.select(key).repartition(key), key, "left_semi")
+    keys = often.select(key)
+    return df.join(keys.hint("merge") if bucketed else keys.repartition(key), key, "left_semi")
 
 
 def lookup_dimension(

@@ -128,6 +128,16 @@ def write_bookings(
         writer.format(format).save(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int = 64) -> None:
+    """Save as a catalog table in buckets of ``key``, sorted by it, replacing the table.
+
+    Joins and groups by the key, and joins with another table of as many buckets, then need
+    no shuffle and no sort. Each bucket is one file, so take many buckets where a key is hot.
+    """
+    bucketed = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+    bucketed.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def read_bookings(spark: SparkSession, path: str, derived: bool = True) -> DataFrame:
     """Read a Parquet booking table with its declared schema."""
     return spark.read.schema(booking_schema(derived)).parquet(path)

@@ -55,6 +55,31 @@ def test_interleaved_layout_skips_files_for_filters_on_any_column(spark, tmp_pat
     assert 0 < several <= 6 and several_by_type < 0.8 * one_by_type
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    from roomledger.operators.joins import semi_join_min_count
+    from roomledger.sources.bookings import write_bucketed
+
+    lines = spark.range(5000).selectExpr("id * 7 % 900 AS l_orderkey", "id AS line")
+    orders = spark.range(900).selectExpr("id AS o_orderkey", "if(id % 3 = 0, 'PRT', concat('C', id % 200)) AS country")
+    bookings = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    tables = {"bucketed_lines": (lines, "l_orderkey"), "bucketed_orders": (orders, "o_orderkey"), "bucketed_bookings": (bookings, "country")}
+    try:
+        for name, (df, key) in tables.items():
+            write_bucketed(df, name, key, 8)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        stored = {name: spark.table(name) for name in tables}
+        joined = stored["bucketed_lines"].join(stored["bucketed_orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+        often = semi_join_min_count(stored["bucketed_bookings"], "country", 30, bucketed=True)
+        for df in (joined, often):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert unordered(joined) == unordered(bookings)
+        assert unordered(often) == unordered(semi_join_min_count(bookings, "country", 30))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_country_map_file(spark, tmp_path):
     good, bad = tmp_path / "good.json", tmp_path / "bad.json"
     good.write_text('{"PRT":\n "Portugal"}')
