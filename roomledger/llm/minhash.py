@@ -369,12 +369,12 @@ def open_links(steps: Steps, band_rows: DataFrame, parts: DataFrame, sets: DataF
     return steps.store(rows.mapInArrow(partial(_tree_links, scheme=scheme), "a long, b long"), "open-links")
 
 
-def star_components(steps: Steps, links: DataFrame, name: str = "components") -> DataFrame:
-    """node and label (the smallest node that is connected) for every node of the links (a, b).
+def star_edges(steps: Steps, links: DataFrame, name: str, rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), v < u, that connect what the links (a, b) connect; without ``rounds``, one star per component.
 
     Large-star: each node's larger neighbours go to the smallest node around it.
     Small-star: each node and its smaller neighbours go to the smallest of them. Both
-    alternate until no link changes; then every component is one star. Minima are combined
+    alternate until no edge changes; then every component is one star. Minima are combined
     before the shuffle, and nodes with very many links are looked up by broadcast.
     """
 
@@ -389,16 +389,22 @@ def star_components(steps: Steps, links: DataFrame, name: str = "components") ->
         edges = steps.store(edges, f"{name}-{step}")
         if step:
             steps.drop(f"{name}-{step - 1}")
+        if step == rounds:
+            return edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before or not now[0]:
-            break
+            return edges
         step, before, total = step + 1, now, now[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = to_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = to_least(large, total)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = small.select("e.u", "e.v").where("u <> v").distinct()
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def star_components(steps: Steps, links: DataFrame, name: str = "components") -> DataFrame:
+    """node and label (the smallest node that is connected) for every node of the links (a, b)."""
+    found = star_edges(steps, links, name).select(F.col("u").alias("node"), F.col("v").alias("label"))
     return found.unionByName(found.select(F.col("label").alias("node"), "label").distinct())
 
 
@@ -422,10 +428,12 @@ def similar_groups(steps: Steps, docs: DataFrame, sets: DataFrame, scheme: Schem
     pairs = steps.store(pairs.distinct(), "pairs")
     links = star_links(steps, pairs, sets, docs, scheme)
     steps.drop("pairs", "star-pairs", "star-counts")
-    parts = steps.store(star_components(steps, links, "stars"), "parts")
+    # After two rounds nearly all stars are whole; sets that still lie apart are compared, and cost time only.
+    edges = star_edges(steps, links, "stars", rounds=2)
+    parts = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
     more = open_links(steps, band_rows, parts, sets, docs, scheme)
     steps.drop("band-rows", "labelled", "open-members", "star-links")
-    known = parts.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    known = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
     return steps.store(star_components(steps, known.unionByName(more), "all"), "node-labels")
 
 

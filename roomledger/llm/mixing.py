@@ -169,8 +169,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     key = fresh("key", docs.columns)
     steps = Steps(spark, "mixed")
     pieces, rows, sources = mix(docs, **options)
-    n_slots = pieces.agg(F.coalesce(F.max("slot") + 1, F.lit(1))).first()[0]
     copies = pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias("words"), F.min(F.struct("slot", "place")).alias("at"))
+    copies = steps.store(copies, "epochs")
+    n_slots = copies.agg(F.coalesce(F.max("at.slot") + 1, F.lit(1))).first()[0]
     same = ["doc_id", "text_id", "source"]
     named = lambda df: df.withColumn("doc_id", _named("doc_id")).withColumn("source", _named("source"))
     often = steps.store(named(rows).groupBy(*same).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")

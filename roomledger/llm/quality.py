@@ -143,7 +143,7 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(text.as_py()) for text in batch.column(1)]
-        columns = [batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
+        columns = [batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))]
         yield pa.RecordBatch.from_arrays(columns, ["quality", "index", "value"])
 
 
@@ -162,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
     rows = docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
-    table = rows.mapInArrow(_extract, "quality int, index array<long>, value array<double>").toArrow()
-    found = [(q, i.values.to_numpy(), v.values.to_numpy()) for q, i, v in zip(table["quality"].to_pylist(), table["index"], table["value"], strict=True)]
+    table = rows.mapInArrow(_extract, "quality int, index array<int>, value array<float>").toArrow()
+    found = [(q, i.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(float)) for q, i, v in zip(table["quality"].to_pylist(), table["index"], table["value"], strict=True)]
     found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     y = np.array([q for q, _, _ in found], float)
     if len(set(y)) < 2:

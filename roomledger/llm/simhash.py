@@ -231,7 +231,7 @@ def _similar_kept(steps: Steps, docs: DataFrame) -> DataFrame:
     same = found.groupBy("doc_id", "text_id", "label").agg(F.count(F.lit(1)).alias("c"))
     best = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "c")).alias("k"))
     kept = steps.store(best.select("k.doc_id", "k.text_id", "k.c"), "kept")
-    steps.drop("sets", "rows", "groups", "parts", "open-keys", "open-links", "node-labels", "names", "row-labels", "fingerprints", "tree-links")
+    steps.drop("sets", "rows", "groups", "open-keys", "open-links", "node-labels", "names", "row-labels", "fingerprints", "tree-links")
     return kept
 
 
