@@ -28,8 +28,8 @@ PAIRS = 4_000_000
 KEPT = 500_000
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
-_SEGMENT = re.compile(r"[ \n][^ \n]+")
+#: White space other than the space and the line feed.
+_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: Ids and ends (byte offsets) of the tokens of A and of B.
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -46,24 +46,42 @@ class Groups:
     n_groups: int
 
 
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both of two rising arrays in one."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What two rising arrays share."""
+    return np.intersect1d(a, b, assume_unique=True)
+
+
 def _links(tokens: Tokens) -> np.ndarray:
     """Codes of all links: the pieces into which the ends of both tokenizers cut the bytes."""
     a, a_ends, b, b_ends = tokens
-    ends = np.union1d(a_ends, b_ends)
+    ends = _union(a_ends, b_ends)
     return (a[np.searchsorted(a_ends, ends)] << 32) | b[np.searchsorted(b_ends, ends)]
 
 
+def _decimals(ids: np.ndarray) -> list[str]:
+    each, place = np.unique(ids, return_inverse=True)
+    names = list(map(str, each.tolist()))
+    return [names[i] for i in place.tolist()]
+
+
 def _texts(tokens: Tokens, common: np.ndarray) -> list[str]:
     """The groups as text, each up to a common end."""
     a, a_ends, b, b_ends = tokens
     cut_a, cut_b = (itertools.pairwise([0, *np.searchsorted(e, common, "right").tolist()]) for e in (a_ends, b_ends))
-    a_ids, b_ids = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    a_ids, b_ids = map(_decimals, (a, b))
     return [",".join(a_ids[i:x]) + "|" + ",".join(b_ids[j:y]) for (i, x), (j, y) in zip(cut_a, cut_b, strict=True)]
 
 
 def groups_of(tokens: Tokens) -> Groups:
     """The groups of tokens that begin and end together."""
-    common = np.intersect1d(tokens[1], tokens[3])
+    common = _common(tokens[1], tokens[3])
     return Groups(_links(tokens).tobytes(), ";".join(_texts(tokens, common)), len(tokens[0]), len(tokens[2]), len(common))
 
 
@@ -74,7 +92,7 @@ class Aligner:
     tokens across the place before one: the first cuts there by its pattern, and no piece
     of the second has a space after another character, or a line feed at all (checked
     when it is loaded). So a space or line feed with the word after it, a segment, is
-    encoded and aligned once, until ``KEPT`` are known. Other texts are encoded whole.
+    encoded and aligned once, many new ones in one go, until ``KEPT`` are known. Other texts are encoded whole.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -122,12 +140,13 @@ class Aligner:
         return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
 
     def segments(self, text: str) -> list[str] | None:
-        """The segments of space + text, if they can be encoded one by one; none for an empty text."""
+        """The segments of space + text, if they can be encoded one by one; the space is left out. None for an odd text."""
         if not text:
             return []
-        if not self.by_segment or _ODD_SPACE.search(text):
+        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
+        if odd or not self.by_segment or _OTHER_SPACE.search(text):
             return None
-        return _SEGMENT.findall(" " + text)
+        return text.replace("\n", " \n").split(" ")
 
     def learn(self, segments: set[str], with_groups: bool) -> None:
         """Encode and align the segments that are not known, all together; their groups as text only if asked for."""
@@ -135,27 +154,36 @@ class Aligner:
             self.forget()
             self.with_groups = with_groups
         new = list(segments - self.numbers.keys())
-        a = list(map(self.encode_a, new))
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in new], num_threads=1) if new else []
-        b = [x if s[0] == " " else x[1:] if x[:1] == [self.space] else [] for s, x in zip(new, b, strict=True)]
-        raw = [s.encode() for s in new]
-        if not self._spelt(list(itertools.chain(*a)), list(itertools.chain(*b)), b"".join(raw)):
-            good = [self._spelt(*x) for x in zip(a, b, raw, strict=True)]
+        if not new:
+            return
+        b = self.b.encode(new, num_threads=1)
+        # a line feed stands where the others have their space
+        b = [x if s[0] != "\n" else x[1:] if x[:1] == [self.space] else [] for s, x in zip(new, b, strict=True)]
+        raw = [s if s[0] == "\n" else " " + s for s in new]
+        spelt = b"".join(map(self.bytes_b.__getitem__, itertools.chain(*b)))
+        if spelt != "".join(raw).encode():
+            good = [b"".join(map(self.bytes_b.__getitem__, x)) == r.encode() for x, r in zip(b, raw, strict=True)]
             self.numbers.update((s, -1) for s, g in zip(new, good, strict=True) if not g)
-            new, a, b, raw = (list(itertools.compress(x, good)) for x in (new, a, b, raw))
+            new, b, raw = (list(itertools.compress(x, good)) for x in (new, b, raw))
         self.numbers.update(zip(new, itertools.count(len(self.codes)), strict=False))
-        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b, raw)]
-        ids_a, ids_b = (np.fromiter(itertools.chain(*x), np.int64, int(n.sum())) for x, n in zip((a, b), sizes, strict=False))
+        # one text of all: no token crosses from one segment to the next
+        ids_a = np.array(self.encode_a("".join(raw)), np.int64)
+        n_b = np.fromiter(map(len, b), np.int64, len(b))
+        ids_b = np.fromiter(itertools.chain(*b), np.int64, int(n_b.sum()))
         tokens = (ids_a, np.cumsum(self.sizes_a[ids_a]), ids_b, np.cumsum(self.sizes_b[ids_b]))
-        common, last = np.intersect1d(tokens[1], tokens[3]), np.cumsum(sizes[2])
+        last = tokens[3][np.cumsum(n_b) - 1]
+        n_a = np.diff(np.searchsorted(tokens[1], last, "right"), prepend=0)
+        common = _common(tokens[1], tokens[3])
+        if not np.isin(last, common).all():
+            raise ValueError("a token of the first tokenizer crosses the end of a segment")
         codes = _links(tokens).tobytes()
-        cut = (8 * np.searchsorted(np.union1d(tokens[1], tokens[3]), last, "right")).tolist()
+        cut = (8 * np.searchsorted(_union(tokens[1], tokens[3]), last, "right")).tolist()
         n_groups = np.diff(np.searchsorted(common, last, "right"), prepend=0)
         self.codes += [codes[i:j] for i, j in itertools.pairwise([0, *cut])]
         if self.with_groups:
             texts = _texts(tokens, common)
             self.texts += [";".join(texts[i:j]) for i, j in itertools.pairwise([0, *np.cumsum(n_groups).tolist()])]
-        self.sizes.append(np.stack([sizes[0], sizes[1], n_groups], 1))
+        self.sizes.append(np.stack([n_a, n_b, n_groups], 1))
 
     def whole(self, text: str) -> Tokens | None:
         """The tokens of space + text; None where there are none."""
@@ -222,7 +250,7 @@ def _count(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterato
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         n_parts, parts, code, links, _, _ = Parts.of(tool, batch.column(2).to_pylist(), with_groups=False)
-        new, pair = np.unique(code, return_inverse=True)
+        new, pair = np.unique(code, return_inverse=True, sorted=True)
         n_new, n_links = max(1, len(new)), max(1, len(links))
         once = np.unique(np.repeat(np.arange(len(n_parts)), n_parts) * n_links + parts)
         text, part = once // n_links, once % n_links
@@ -317,7 +345,7 @@ def _between(tokens: Tokens, low: int, high: int) -> Tokens:
 
 def fragment(tokens: Tokens) -> tuple[Fragment, Tokens | None]:
     """The fragment of a range's tokens, and the tokens of its closed groups."""
-    common = np.intersect1d(tokens[1], tokens[3])
+    common = _common(tokens[1], tokens[3])
     if not len(common):
         return Fragment(False, tokens, _between(tokens, 0, 0)), None
     first, last = int(common[0]), int(common[-1])
