@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import posixpath
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ LENGTH, SHARD, END, PAD = 256, 8192, 1, 0
 #: Ids are written as little-endian unsigned 16-bit numbers; the vocabulary must be that small.
 ID = np.dtype("<u2")
 KEY = "training order 1"
+#: Ranges of shards that are shuffled and written one after the other.
+WAVES = 3
 
 
 @dataclass(frozen=True)
@@ -114,21 +117,10 @@ def _placed(batches: Iterator[pa.RecordBatch], order: Permutation, length: int,
         yield pa.RecordBatch.from_arrays(arrays, ["slot", "doc_id", "piece", "length", "record"])
 
 
-def training_order(docs: DataFrame, key: str = KEY, path: str | None = None, length: int = LENGTH, shard: int = SHARD,
-                   end: int = END, pad: int = PAD, steps: Steps | None = None) -> DataFrame:
-    """Every sequence at its global slot: slot, shard, place, doc_id, piece, length, record.
-
-    A document's ids and the end id are cut into sequences of ``length``; the last is
-    filled up with ``pad``, so records have one stride. Sequences are numbered through
-    (by input task, then by place in it; only one count per task is gathered), and the
-    keyed permutation maps numbers to slots one to one. Shards are ranges of slots; the
-    rows come back partitioned by shard range and sorted by slot.
-
-    A null or empty text is one sequence with the end id alone. Repeated rows, and rows
-    with a null doc_id, are documents of their own. An empty table gives no rows.
-    """
+def placed_sequences(steps: Steps, docs: DataFrame, key: str = KEY, path: str | None = None, length: int = LENGTH, shard: int = SHARD,
+                     end: int = END, pad: int = PAD) -> tuple[DataFrame, int]:
+    """Every sequence with its slot, in the order of the input, and how many there are; see ``training_order``."""
     spark = docs.sparkSession
-    steps = steps or _steps(spark)
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     cut = partial(_sequences, path=path or vocabulary_path(), length=length, end=end)
     sequences = steps.store(rows.mapInArrow(cut, "part int, place long, doc_id long, piece int, ids binary"), "sequences")
@@ -139,13 +131,34 @@ def training_order(docs: DataFrame, key: str = KEY, path: str | None = None, len
     numbered = sequences.join(F.broadcast(firsts), "part").select("first", "place", "doc_id", "piece", "ids")
     place = partial(_placed, order=Permutation(max(1, n), key), length=length, pad=pad)
     placed = numbered.mapInArrow(place, "slot long, doc_id long, piece int, length int, record binary")
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard)).withColumn("place", F.col("slot") % shard)
-    n_shards = max(1, -(-n // shard))
-    n_parts = min(n_shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = placed.repartitionById(n_parts, F.floor(F.col("shard") * n_parts / n_shards).cast("int"))
+    return placed.withColumn("shard", F.floor(F.col("slot") / shard)).withColumn("place", F.col("slot") % shard), n
+
+
+def _by_range(placed: DataFrame, first: int, last: int) -> DataFrame:
+    """The sequences of the shards from ``first`` up to, but without, ``last``: partitions are ranges of shards, in order."""
+    n_parts = max(1, min(last - first, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    here = placed.where(F.col("shard").between(first, last - 1))
+    ranged = here.repartitionById(n_parts, F.floor((F.col("shard") - first) * n_parts / max(1, last - first)).cast("int"))
     return ranged.sortWithinPartitions("slot").select("slot", "shard", "place", "doc_id", "piece", "length", "record")
 
 
+def training_order(docs: DataFrame, shard: int = SHARD, **options) -> DataFrame:
+    """Every sequence at its global slot: slot, shard, place, doc_id, piece, length, record.
+
+    A document's ids and the end id are cut into sequences of ``length``; the last is
+    filled up with ``pad``, so records have one stride. Sequences are numbered through
+    (by input task, then by place in it; only one count per task is gathered), and the
+    keyed permutation maps numbers to slots one to one. Shards are ranges of slots; the
+    rows come back partitioned by shard range and sorted by slot.
+
+    A null or empty text is one sequence with the end id alone. Repeated rows, and rows
+    with a null doc_id, are documents of their own. An empty table gives no rows. Ids that
+    do not fit into 16 bits are an error.
+    """
+    placed, n = placed_sequences(_steps(docs.sparkSession), docs, shard=shard, **options)
+    return _by_range(placed, 0, max(1, -(-n // shard)))
+
+
 def _steps(spark: SparkSession) -> Steps:
     return Steps(spark, "order", codec="zstd")
 
@@ -219,9 +232,19 @@ def _from_shards(batches: Iterator[pa.RecordBatch], folder: str, length: int) ->
 
 
 def order_digests(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """Writes the shards to the shared folder; the training order with a digest of each record as its shard holds it."""
+    """Writes the shards to the shared folder; the training order with a digest of each record as its shard holds it.
+
+    Shards are written in ``WAVES`` ranges, one after the other, so only a part of the
+    records is in shuffle files at a time.
+    """
     folder, steps = scratch_path(docs.sparkSession, "shards"), _steps(docs.sparkSession)
-    index = write_shards(training_order(docs, length=length, shard=shard, steps=steps), folder)
+    placed, n = placed_sequences(steps, docs, length=length, shard=shard)
+    n_shards = max(1, -(-n // shard))
+    cuts = [n_shards * w // WAVES for w in range(WAVES + 1)]
+    parts = [write_shards(_by_range(placed, a, b), folder) for a, b in itertools.pairwise(cuts) if a < b]
     steps.drop("sequences")
+    index = parts[0]
+    for part in parts[1:]:
+        index = index.unionByName(part)
     read = partial(_from_shards, folder=folder, length=length)
     return index.mapInArrow(read, index.schema)
