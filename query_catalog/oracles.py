@@ -269,6 +269,7 @@ oracle(
     " WHERE stays_in_weekend_nights + stays_in_week_nights > 0 AND adr < 500)",
     c1=_FILLED.format("raw1"), c2=_FILLED.format("raw2"), merged=_MERGED,
 )
+ORACLES["observed_stage_counts"] = ORACLES["stage_counts"]
 oracle(
     "union_of_exports",
     "SELECT hotel, company, count(*) AS n FROM (SELECT hotel, company FROM raw1 UNION ALL"

@@ -293,6 +293,11 @@ def stage_counts(t):
     return cleaning.stage_counts(t.export(1), t.export(2))
 
 
+@query("P23")
+def observed_stage_counts(t):
+    return cleaning.preprocess_counted(t.export(1), t.export(2), path=scratch_path(t.spark, "preprocessed"))
+
+
 @query("U1")
 def union_of_exports(t):
     second = t.export(2).drop("company")

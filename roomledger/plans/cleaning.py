@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import clean
 from ..operators.filters import adr_below, positive_nights
-from ..scratch import scratch_path
 
 
 def clean_file(df: DataFrame) -> DataFrame:
@@ -35,33 +36,61 @@ def preprocess(*frames: DataFrame, max_adr: float = 500) -> DataFrame:
     return clean.add_revenue(clean.add_arrival_date(clean.add_month_number(df)))
 
 
+class _Stages:
+    """Rows after each stage, observed while they pass; the stages stand in the order in which they are counted."""
+
+    def __init__(self, frames: Sequence[DataFrame], max_adr: float):
+        self.spark, self.seen = frames[0].sparkSession, []
+        cleaned = [self._counted(clean_file(df), f"file {i}") for i, df in enumerate(frames, 1)]
+        df = self._counted(clean.union_by_name(*cleaned), "union")
+        df = self._counted(clean.drop_duplicate_rows(df), "deduplicated")
+        df = self._counted(positive_nights(clean.add_total_nights(df)), "with nights")
+        self.kept = self._counted(adr_below(df, max_adr), "below rate limit")
+
+    def _counted(self, df: DataFrame, stage: str) -> DataFrame:
+        self.seen.append((stage, Observation()))
+        return df.observe(self.seen[-1][1], F.count(F.lit(1)).alias("rows"))
+
+    def counts(self) -> DataFrame:
+        """``(step, stage, rows)``, once a job has run over ``kept``."""
+        rows = [(step, stage, seen.get["rows"]) for step, (stage, seen) in enumerate(self.seen, 1)]
+        return self.spark.createDataFrame(rows, "step int, stage string, rows long")
+
+
 def preprocess_counted(*frames: DataFrame, path: str, max_adr: float = 500) -> DataFrame:
     """Write what :func:`preprocess` returns to ``path``; rows after each stage: ``(step, stage, rows)``.
 
-    The counts are observed while the rows pass, so they and the table come out of one
-    run. For that the stages stand in the order in which they are counted: filters after
-    the repeated rows have gone.
+    The counts are observed while the rows pass, so they and the table come out of one run.
     """
-    spark, seen = frames[0].sparkSession, []
-
-    def counted(df: DataFrame, stage: str) -> DataFrame:
-        seen.append((stage, Observation()))
-        return df.observe(seen[-1][1], F.count(F.lit(1)).alias("rows"))
-
-    cleaned = [counted(clean_file(df), f"file {i}") for i, df in enumerate(frames, 1)]
-    df = counted(clean.union_by_name(*cleaned), "union")
-    df = counted(clean.drop_duplicate_rows(df), "deduplicated")
-    df = counted(positive_nights(clean.add_total_nights(df)), "with nights")
-    df = counted(adr_below(df, max_adr), "below rate limit")
-    df = clean.parse_dates(clean.to_int(df))
+    stages = _Stages(frames, max_adr)
+    df = clean.parse_dates(clean.to_int(stages.kept))
     clean.add_revenue(clean.add_arrival_date(clean.add_month_number(df))).write.mode("overwrite").parquet(path)
-    rows = [(step, stage, observation.get["rows"]) for step, (stage, observation) in enumerate(seen, 1)]
-    return spark.createDataFrame(rows, "step int, stage string, rows long")
+    return stages.counts()
 
 
 def stage_counts(*frames: DataFrame, max_adr: float = 500) -> DataFrame:
-    """Rows after each stage of :func:`preprocess`: ``(step, stage, rows)``, out of a run that keeps its table in the shared folder."""
-    return preprocess_counted(*frames, path=scratch_path(frames[0].sparkSession, "preprocessed"), max_adr=max_adr)
+    """Rows after each stage of :func:`preprocess`: ``(step, stage, rows)``.
+
+    Equal rows are grouped once, with the number of copies from each export; all counts
+    follow from these groups.
+    """
+    marked = [clean_file(df).withColumn("_file", F.lit(i)) for i, df in enumerate(frames, 1)]
+    union = clean.union_by_name(*marked)
+    rows = [c for c in union.columns if c != "_file"]
+    per_file = [F.count_if(F.col("_file") == i).alias(f"_from_{i}") for i in range(1, len(frames) + 1)]
+    merged = clean.add_total_nights(union.groupBy(*rows).agg(*per_file))
+    kept = F.col("total_nights") > 0
+    counts = [F.coalesce(F.sum(f"_from_{i}"), F.lit(0)) for i in range(1, len(frames) + 1)]
+    stages = {f"file {i}": n for i, n in enumerate(counts, 1)}
+    stages["union"] = sum(counts[1:], counts[0])
+    stages |= {
+        "deduplicated": F.count("*"),
+        "with nights": F.count_if(kept),
+        "below rate limit": F.count_if(kept & (F.col("adr") < max_adr)),
+    }
+    totals = merged.agg(*[n.alias(name) for name, n in stages.items()])
+    entries = [F.struct(F.lit(i).alias("step"), F.lit(c).alias("stage"), F.col(c).alias("rows")) for i, c in enumerate(stages, 1)]
+    return totals.select(F.inline(F.array(*entries)))
 
 
 def question_view(df: DataFrame) -> DataFrame:
