@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -155,3 +157,36 @@ def test_cells_of_few_vectors(spark):
     assert cells.search_cells(some, cells.build_cells(some.limit(0)), 2, query_id="vec_id").neighbours.count() == 0
     with pytest.raises(Exception, match="dimension"):
         cells.search_cells(table(spark, np.eye(2), "query_id"), cells.build_cells(some)).neighbours.collect()
+
+
+@pytest.mark.parametrize("probes", [None, 8])
+def test_cells_make_no_row_for_each_query_and_block(spark, monkeypatch, probes):
+    corpus = np.random.default_rng(8).normal(size=(1500, 16))
+    index = cells.build_cells(table(spark, corpus, "vec_id"))
+    sizes, stored = [], cells.stored
+    monkeypatch.setattr(cells, "stored", lambda df, name, **options: (sizes.append((made := stored(df, name, **options)).count()), made)[1])
+    found = cells.search_cells(table(spark, corpus, "vec_id"), index, 2, query_id="vec_id", probes=probes)
+    # at most k for each query and shard of blocks; before, a row for each query and block it meets
+    assert max(sizes) <= 1500 * 2 * 3 < 1500 * 8 <= 1500 * index.blocks.count()
+    if probes is None:
+        assert [g[:3] for g in sorted(values(found.neighbours))] == [w[:3] for w in brute(corpus, corpus, 2)]
+
+
+def test_cells_of_copies_in_several_blocks_and_tiles(spark, monkeypatch):
+    """Ties go to the smaller id, also between blocks, and a corpus in doubles meets queries in floats."""
+    monkeypatch.setattr(cells, "TILE", 64)
+    corpus = np.random.default_rng(9).normal(size=(1800, 4))
+    corpus[::2] = corpus[0]
+    doubles = table(spark, corpus, "vec_id").selectExpr("vec_id", "cast(embedding AS array<double>) embedding")
+    queries = table(spark, corpus[:200], "query_id")
+    got = sorted(values(cells.search_cells(queries, cells.build_cells(doubles), 4).neighbours))
+    assert [g[:3] for g in got] == [w[:3] for w in brute(corpus[:200], corpus, 4)]
+
+
+def test_fitting_centres_holds_few_distances():
+    x = np.random.default_rng(3).normal(size=(20_000, 8))
+    tracemalloc.start()
+    centres = cells.fit_centres(x, 500, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(centres) == 500 and peak < 60e6  # all distances at once take 80 MB, four times over
