@@ -190,3 +190,25 @@ def test_fitting_centres_holds_few_distances():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(centres) == 500 and peak < 60e6  # all distances at once take 80 MB, four times over
+
+
+def test_encoder_remembers_few_words():
+    encode = vectors.hashing_encoder(8)
+    encode([" ".join(f"w{i}" for i in range(150_000))])
+    known = [c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, dict)]
+    assert [len(k) for k in known] == [vectors.KNOWN_WORDS]
+    assert np.allclose(encode(["w149999"]), vectors.hashing_encoder(8)(["w149999"]))
+
+
+def test_texts_become_python_strings_a_batch_at_a_time(spark):
+    def make():
+        import gc
+
+        def encode(texts):
+            held = sum(isinstance(o, list) and len(o) > 50 and all(isinstance(x, str) and x.startswith("own text") for x in o) for o in gc.get_objects())
+            return np.full((len(texts), 1), float(held))
+
+        return encode
+
+    df = spark.createDataFrame([(i, f"own text {i}") for i in range(300)], "doc_id bigint, text string").coalesce(1)
+    assert {r.embedding[0] for r in vectors.embed(df, make_encoder=make, batch_size=20).collect()} == {0.0}
