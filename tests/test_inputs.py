@@ -4,10 +4,12 @@ from conftest import unordered
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+from query_catalog import QUERIES, inputs
 from query_catalog.inputs import QUESTION_FORMS, Inputs
 from roomledger.operators import ml
-from roomledger.plans import cleaning
-from roomledger.sources import read_bookings_tables
+from roomledger.plans import cleaning, insights
+from roomledger.scratch import stored
+from roomledger.sources import read_bookings_tables, star
 
 
 def _plan(df):
@@ -60,6 +62,29 @@ def test_customers_meet_orders_before_lines(spark, tmp_path):
     assert t.bookings.count() == joined.join(parts, lines.l_partkey == parts.p_partkey).count() > 0
 
 
+def test_lines_meet_parts_by_key_only(spark, tmp_path):
+    t = _inputs(spark, tmp_path)
+    names = ["hotel", "meal", "country", "adr", "market_segment", "reservation_status_date"]
+    narrow = read_bookings_tables(spark, t.directory, columns=names)  # parts that are missing, null or repeated
+    assert narrow.columns == names and unordered(narrow) == unordered(t.bookings.select(names))
+    assert read_bookings_tables(spark, t.directory, columns=["hotel", "reserved_room_type"]).count() == t.bookings.count()
+    lines, parts = t.table("lineitem"), t.table("part").dropDuplicates(["p_partkey"])
+    rows = star._with_a_part(lines, parts)
+    want = lines.join(parts, lines.l_partkey == parts.p_partkey).select(lines.columns)
+    assert unordered(rows.select(lines.columns)) == unordered(want)
+    assert rows.count() < lines.count() and "p_partkey" not in _plan(rows)
+
+
+def test_insights_and_questions_share_one_join(spark, tmp_path, monkeypatch):
+    t, read = _inputs(spark, tmp_path), []
+    monkeypatch.setattr(inputs, "stored", lambda df, name: (read.append((name, "l_orderkey" in _plan(df))), stored(df, name))[1])
+    monkeypatch.setattr(insights, "stored", lambda df, name: (read.append((name, "l_orderkey" in _plan(df))), stored(df, name))[1])
+    made = QUERIES["revenue_answers"](spark, t.directory)
+    assert made.count() > 0 and [name for name, joins in read if joins] == ["asked"]
+    sums, want = insights.insight_sums(t.asked), insights.insight_sums(t.bookings)
+    assert unordered(sums) == unordered(want)
+
+
 def test_forest_parts_hold_a_bounded_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(ml, "PART_ROWS", 50)
     seen, fit = [], RandomForestClassifier.fit
