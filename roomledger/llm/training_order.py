@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +107,12 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, end: i
         yield pa.RecordBatch.from_arrays(arrays, ["part", "place", "doc_id", "piece", "ids"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch], order: Permutation, length: int, pad: int) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch], order: Permutation, length: int, pad: int, slots: range) -> Iterator[pa.RecordBatch]:
+    """The records of the sequences whose slot is one of ``slots``; the others are passed over before a record is made."""
     for batch in batches:
         slot = order.slot(batch.column(0).to_numpy() + batch.column(1).to_numpy())
+        here = (slot >= slots.start) & (slot < slots.stop)
+        slot, batch = slot[here], batch.filter(pa.array(here))
         lengths = pc.binary_length(batch.column(4)).to_numpy() // ID.itemsize
         records = np.full((batch.num_rows, length), pad, ID)
         records[np.arange(length) < lengths[:, None]] = np.frombuffer(b"".join(batch.column(4).to_pylist()), ID)
@@ -117,9 +121,8 @@ def _placed(batches: Iterator[pa.RecordBatch], order: Permutation, length: int,
         yield pa.RecordBatch.from_arrays(arrays, ["slot", "doc_id", "piece", "length", "record"])
 
 
-def placed_sequences(steps: Steps, docs: DataFrame, key: str = KEY, path: str | None = None, length: int = LENGTH, shard: int = SHARD,
-                     end: int = END, pad: int = PAD) -> tuple[DataFrame, int]:
-    """Every sequence with its slot, in the order of the input, and how many there are; see ``training_order``."""
+def numbered_sequences(steps: Steps, docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> tuple[DataFrame, int]:
+    """Every sequence with the first number of its task and its place there, and how many there are; see ``training_order``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     cut = partial(_sequences, path=path or vocabulary_path(), length=length, end=end)
@@ -128,21 +131,21 @@ def placed_sequences(steps: Steps, docs: DataFrame, key: str = KEY, path: str |
     starts = np.concatenate([[0], np.cumsum([r["count"] for r in counts])]).tolist()
     n = int(starts[-1])
     firsts = spark.createDataFrame([(r["part"], s) for r, s in zip(counts, starts, strict=False)], "part int, first long")
-    numbered = sequences.join(F.broadcast(firsts), "part").select("first", "place", "doc_id", "piece", "ids")
-    place = partial(_placed, order=Permutation(max(1, n), key), length=length, pad=pad)
-    placed = numbered.mapInArrow(place, "slot long, doc_id long, piece int, length int, record binary")
-    return placed.withColumn("shard", F.floor(F.col("slot") / shard)).withColumn("place", F.col("slot") % shard), n
+    return sequences.join(F.broadcast(firsts), "part").select("first", "place", "doc_id", "piece", "ids"), n
 
 
-def _by_range(placed: DataFrame, first: int, last: int) -> DataFrame:
+def _by_range(numbered: DataFrame, n: int, first: int, last: int, key: str = KEY, length: int = LENGTH, shard: int = SHARD, pad: int = PAD) -> DataFrame:
     """The sequences of the shards from ``first`` up to, but without, ``last``: partitions are ranges of shards, in order."""
-    n_parts = max(1, min(last - first, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    here = placed.where(F.col("shard").between(first, last - 1))
-    ranged = here.repartitionById(n_parts, F.floor((F.col("shard") - first) * n_parts / max(1, last - first)).cast("int"))
+    n_parts = max(1, min(last - first, int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    place = partial(_placed, order=Permutation(max(1, n), key), length=length, pad=pad, slots=range(first * shard, last * shard))
+    placed = numbered.mapInArrow(place, "slot long, doc_id long, piece int, length int, record binary")
+    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard)).withColumn("place", F.col("slot") % shard)
+    ranged = placed.repartitionById(n_parts, F.floor((F.col("shard") - first) * n_parts / max(1, last - first)).cast("int"))
     return ranged.sortWithinPartitions("slot").select("slot", "shard", "place", "doc_id", "piece", "length", "record")
 
 
-def training_order(docs: DataFrame, shard: int = SHARD, **options) -> DataFrame:
+def training_order(docs: DataFrame, key: str = KEY, path: str | None = None, length: int = LENGTH, shard: int = SHARD,
+                   end: int = END, pad: int = PAD) -> DataFrame:
     """Every sequence at its global slot: slot, shard, place, doc_id, piece, length, record.
 
     A document's ids and the end id are cut into sequences of ``length``; the last is
@@ -155,8 +158,8 @@ def training_order(docs: DataFrame, shard: int = SHARD, **options) -> DataFrame:
     with a null doc_id, are documents of their own. An empty table gives no rows. Ids that
     do not fit into 16 bits are an error.
     """
-    placed, n = placed_sequences(_steps(docs.sparkSession), docs, shard=shard, **options)
-    return _by_range(placed, 0, max(1, -(-n // shard)))
+    numbered, n = numbered_sequences(_steps(docs.sparkSession), docs, path, length, end)
+    return _by_range(numbered, n, 0, max(1, -(-n // shard)), key, length, shard, pad)
 
 
 def _steps(spark: SparkSession) -> Steps:
@@ -175,13 +178,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
             system.move(f"{name}.{task}", name)
 
     for batch in batches:
-        for number, record in zip(batch.column(1).to_pylist(), batch.column(6), strict=True):
+        records = batch.column(6).to_pylist()
+        for number, some in itertools.groupby(zip(batch.column(1).to_pylist(), records, strict=True), itemgetter(0)):
             if number != shard:
                 finish()
                 shard, name = number, posixpath.join(root, f"shard-{number:08d}.bin")
                 stream = system.open_output_stream(f"{name}.{task}")
-            stream.write(record.as_buffer())
-        crc = [zlib.crc32(r.as_buffer()) for r in batch.column(6)]
+            stream.write(b"".join([record for _, record in some]))
+        crc = [zlib.crc32(record) for record in records]
         yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(crc, pa.int64())], [*batch.schema.names[:6], "record_crc32"])
     finish()
 
@@ -238,10 +242,10 @@ def order_digests(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     records is in shuffle files at a time.
     """
     folder, steps = scratch_path(docs.sparkSession, "shards"), _steps(docs.sparkSession)
-    placed, n = placed_sequences(steps, docs, length=length, shard=shard)
+    numbered, n = numbered_sequences(steps, docs, length=length)
     n_shards = max(1, -(-n // shard))
     cuts = [n_shards * w // WAVES for w in range(WAVES + 1)]
-    parts = [write_shards(_by_range(placed, a, b), folder) for a, b in itertools.pairwise(cuts) if a < b]
+    parts = [write_shards(_by_range(numbered, n, a, b, length=length, shard=shard), folder) for a, b in itertools.pairwise(cuts) if a < b]
     steps.drop("sequences")
     index = parts[0]
     for part in parts[1:]:

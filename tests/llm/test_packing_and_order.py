@@ -131,6 +131,26 @@ def test_order_digests_come_from_written_shards(spark):
     assert training_order.order_digests(df.limit(0)).collect() == []
 
 
+def test_a_range_makes_only_its_own_records(spark, monkeypatch):
+    """Each range of shards once made a record of every sequence and dropped the others afterwards."""
+    made, binary = [], training_order._binary
+    monkeypatch.setattr(training_order, "_binary", lambda values, ends: (made.append(len(ends)), binary(values, ends))[1])
+    ids = training_order._binary(np.arange(60, dtype="<u2").tobytes(), np.arange(1, 21) * 6)
+    numbers = [pa.array(np.full(20, 5)), pa.array(np.arange(20)), pa.array(np.arange(20)), pa.array(np.zeros(20, np.int32))]
+    batch = pa.RecordBatch.from_arrays([*numbers, ids], ["first", "place", "doc_id", "piece", "ids"])
+    order = training_order.Permutation(30, "k")
+    slots = {d: s for d, s in enumerate(order.slot(5 + np.arange(20)).tolist())}
+    made.clear()
+    found = {}
+    for part in (range(0, 8), range(8, 16), range(16, 32)):
+        (out,) = training_order._placed(iter([batch]), order, 4, 0, part)
+        assert set(out.column(0).to_pylist()) <= set(part)
+        found |= dict(zip(out.column(1).to_pylist(), zip(out.column(0).to_pylist(), out.column(4).to_pylist()), strict=True))
+    assert found == {d: (s, np.array([3 * d, 3 * d + 1, 3 * d + 2, 0], "<u2").tobytes()) for d, s in slots.items()}
+    assert sum(made) == 20
+    assert [b.num_rows for b in training_order._placed(iter([batch]), order, 4, 0, range(900, 910))] == [0]
+
+
 def integer_slot(i, n, key, rounds=6):
     """The slot of number i by plain integers."""
     import hashlib
