@@ -1,9 +1,11 @@
+import os
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from roomledger.operators import cells, vectors
 
@@ -183,6 +185,36 @@ def test_cells_of_copies_in_several_blocks_and_tiles(spark, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in brute(corpus[:200], corpus, 4)]
 
 
+def test_centres_are_fitted_in_a_task(spark, monkeypatch):
+    """The driver held the sampled vectors and copies of them; now it gets the centres only."""
+    driver, fit = os.getpid(), cells.fit_centres
+
+    def in_a_task(x, n):
+        assert os.getpid() != driver
+        return fit(x, n)
+
+    monkeypatch.setattr(cells, "fit_centres", in_a_task)
+    monkeypatch.setattr(cells, "SAMPLE", 100)
+    corpus = np.random.default_rng(10).normal(size=(3000, 4)).astype(np.float32)
+    some = table(spark, corpus, "vec_id").repartition(20)
+    index = cells.build_cells(some)
+    hashed = some.select("vec_id", F.xxhash64("vec_id").alias("h"))
+    first = [i for i, _ in sorted(values(hashed), key=lambda r: (r[1], r[0]))[:100]]
+    assert np.allclose(index.centres, fit(corpus[first].astype(float), 54))
+
+
+@pytest.mark.parametrize("ids", [1 << 60, 3])
+def test_few_rows_meet_for_the_sample(spark, monkeypatch, ids):
+    """Every one of 20 tasks sent its first 100 rows to one task, where the sample was put in order."""
+    monkeypatch.setattr(cells, "SAMPLE", 100)
+    some = spark.range(6000, numPartitions=20).selectExpr(f"id % {ids} AS vec_id")
+    low = sorted(h for h, in values(some.select(F.xxhash64("vec_id"))))[:100]
+    few = cells._few(some, 6000).select(F.xxhash64("vec_id")).collect()
+    assert sorted(h for h, in few)[:100] == low
+    if ids > 6000:
+        assert len(few) < 400
+
+
 def test_fitting_centres_holds_few_distances():
     x = np.random.default_rng(3).normal(size=(20_000, 8))
     tracemalloc.start()
