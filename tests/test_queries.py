@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+import numpy as np
 import pytest
 from check_queries import bag, connect
 
@@ -80,3 +81,22 @@ def test_reports_and_insights_read_the_bookings_once(spark):
     assert scans_of(insights.insight_sums(read_bookings_tables(spark, SF)), "lineitem") == 1
     assert scans_of(QUERIES["analytics_report"](spark, SF), "lineitem") == 0  # only the stored sums
     assert scans_of(QUERIES["frequent_arrival_rows"](spark, SF), "lineitem") <= 2
+
+
+@pytest.mark.parametrize("n", [20, 150])
+def test_nearest_documents_of_vectors_of_any_width(spark, tmp_path, n):
+    """Documents were embedded in 64 components whatever the table of vectors has, and the search failed."""
+    from roomledger.operators.vectors import hashing_encoder
+
+    texts = [None, ""] + [" ".join(f"w{i * j % 23}" for j in range(i % 7)) for i in range(300)]
+    given = np.random.default_rng(2).normal(size=(n, 24)).astype(np.float32)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(given)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r)[:3] for r in QUERIES["nearest_documents"](spark, str(tmp_path)).collect())
+    corpus = hashing_encoder(24)(texts).astype(float)
+    want = []
+    for i, v in enumerate(given.astype(float)):
+        near = sorted(zip(np.round(((corpus - v) ** 2).sum(1), 9), range(len(corpus))))[:3]
+        want += [(i, rank, doc) for rank, (_, doc) in enumerate(near, 1)]
+    assert got == want
