@@ -133,6 +133,22 @@ def test_repeated_query_ids_are_queries_of_their_own(spark):
     assert [(g[0], g[1], g[2]) for g in got] == [(1, 1, 0), (1, 1, 2), (1, 2, 1), (1, 2, 1)]
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+@pytest.mark.parametrize("few", [False, True])
+def test_queries_without_a_finite_vector_are_as_far_from_every_row(spark, block, few):
+    """They ended in an error, or got no neighbours."""
+    corpus = np.random.default_rng(5).normal(size=(600, 3))
+    nan, inf = float("nan"), float("inf")
+    given = [(0, None), (1, [nan, 0.0, inf]), (2, [0.0, -inf, 0.0]), (2, None)] + ([] if few else [(i, [float(i), 0.0, 0.0]) for i in range(3, 8)])
+    queries = spark.createDataFrame(given, "query_id bigint, embedding array<float>")
+    got = sorted(values(vectors.knn(queries, table(spark, corpus, "vec_id", list(range(600, 0, -1))), 2, block=block)), key=repr)
+    want = [(q, rank, rank, d) for q, d in ((0, None), (1, nan), (2, inf), (2, None)) for rank in (1, 2)]
+    assert [repr(g) for g in got[:8]] == sorted(map(repr, want))
+    near = brute(np.array([[i, 0.0, 0.0] for i in range(3, 8)]), corpus, 2, list(range(600, 0, -1)))
+    assert [g[:3] for g in got[8:]] == ([] if few else [(n[0] + 3, *n[1:3]) for n in near])
+    assert vectors.knn(queries, table(spark, corpus, "vec_id").limit(0), 2, block=block).count() == 0
+
+
 @pytest.mark.parametrize("copies", [False, True])
 def test_cells_find_the_nearest_and_skip_pairs(spark, copies):
     rng = np.random.default_rng(6)
