@@ -201,6 +201,32 @@ def test_cells_of_copies_in_several_blocks_and_tiles(spark, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in brute(corpus[:200], corpus, 4)]
 
 
+@pytest.mark.parametrize("probes", [None, 6])
+def test_blocks_are_searched_where_they_are_stored(spark, monkeypatch, probes):
+    """Each tile of queries had all blocks shuffled to it, so the disk grew with queries times vectors."""
+    monkeypatch.setattr(cells, "TILE", 100)
+    corpus, plans, stored = np.random.default_rng(11).normal(size=(1500, 6)), [], cells.stored
+
+    def seen(frames, name, **options):
+        def one_by_one():
+            for df in [frames] if hasattr(frames, "columns") else frames:
+                if name == "scanned":
+                    plans.append(df._jdf.queryExecution().executedPlan().toString())
+                yield df
+
+        return stored(one_by_one(), name, **options)
+
+    index = cells.build_cells(table(spark, corpus, "vec_id"))
+    monkeypatch.setattr(cells, "stored", seen)
+    found = cells.search_cells(table(spark, corpus[:350], "query_id"), index, 3, probes=probes)
+    assert len(plans) == 4 and not any("Exchange" in plan for plan in plans)
+    got, want = sorted(values(found.neighbours)), brute(corpus[:350], corpus, 3)
+    if probes is None:
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+    else:
+        assert len(got) == len(want) and len({g[:3:2] for g in got} & {w[:3:2] for w in want}) >= 0.5 * len(want)
+
+
 def test_centres_are_fitted_in_a_task(spark, monkeypatch):
     """The driver held the sampled vectors and copies of them; now it gets the centres only."""
     driver, fit = os.getpid(), cells.fit_centres
