@@ -1,6 +1,7 @@
 """The queries' inputs: how often the tables are joined, and what the joins give."""
 
-from conftest import unordered
+import pytest
+from conftest import unordered, values
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
@@ -92,3 +93,18 @@ def test_forest_parts_hold_a_bounded_number_of_rows(spark, monkeypatch):
     df = spark.range(2000).selectExpr("cast(id % 2 AS int) AS is_canceled", "cast(id % 7 AS double) AS adr", "cast(id AS int) AS lead_time")
     table = ml.cancellation_feature_importance(df, ["adr", "lead_time"], trees=2, max_depth=2)
     assert table.count() == 2 and len(seen[0]) >= 40 and sum(seen[0]) == 2000 and max(seen[0]) <= 60
+
+
+def test_forest_of_a_large_table_is_grown_in_several_fits(spark, monkeypatch):
+    """One fit kept every row with its draws for all trees, and each of its passes shuffled the rows."""
+    monkeypatch.setattr(ml, "PART_ROWS", 100)
+    monkeypatch.setattr(ml, "DRAWS", 2000 * 4)
+    seen, fit, before = [], RandomForestClassifier.fit, spark.conf.get(ml._MIN_PARTS, None)
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df, *a: (seen.append((self.getNumTrees(), self.getSeed(), df.rdd.getNumPartitions(), _plan(df))), fit(self, df, *a))[1])
+    df = spark.range(2000, numPartitions=4).selectExpr("cast(id % 2 AS int) AS is_canceled", "cast(id % 7 AS double) AS adr", "cast(id % 2 AS int) AS lead_time")
+    table = values(ml.cancellation_feature_importance(df, ["adr", "lead_time"], trees=11, max_depth=2))
+    assert [s[0] for s in seen] == [4, 4, 3] and len({s[1] for s in seen}) == 3
+    assert all(s[2] >= 20 and "Exchange" not in s[3] and "Repartition" not in s[3] for s in seen)
+    assert table[0][0] == "lead_time" and sum(r[1] for r in table) == pytest.approx(1)
+    assert spark.conf.get(ml._MIN_PARTS, None) == before
+    assert ml._fits(100, 10**12) == [2] * 50 and ml._fits(1, 10**12) == [1] and ml._fits(5, 10) == [5]
