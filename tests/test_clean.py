@@ -159,3 +159,19 @@ def test_no_job_runs_while_the_plan_is_built(rows):
     counts = stage_counts(df, df)
     assert len(tracker.getJobIdsForGroup()) == before
     assert filled.count() == 1 and counts.count() == 6
+
+
+def test_rows_are_packed_for_the_shuffle_and_come_back_whole(spark, rows):
+    """Whole rows of columns went through the shuffle, more than twice as wide."""
+    odd = ["", None, "\\N", "\\", "\t", "\\t", "\\b", "\\\t\\bt", " a\nb ", "NaN", "é\0"]
+    numbers = [0.0, -0.0, float("nan"), float("inf"), None, 0.1 + 0.2, 1e-310, -1.5e300]
+    given = [(a, b, i % 2 == 0, 2**62 + i % 3, x) for i, (a, b) in enumerate((a, b) for a in odd for b in odd) for x in numbers]
+    df = rows("a string, `b.c` string, d boolean, e bigint, x double", *given, *given[::3], *given[::5])
+    got = clean.drop_duplicate_rows(df)
+    assert list(map(repr, unordered(got))) == list(map(repr, unordered(df.dropDuplicates()))) and got.dtypes == df.dtypes
+    exchange = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchange and all("_line" in line and not any(f"{c}#" in line for c in ("b.c", "d", "e", "x")) for line in exchange)
+    other = rows("a string, at timestamp, l array<int>", ("x", None, [1]), ("x", None, [1]), (None, None, None))
+    assert unordered(clean.drop_duplicate_rows(other)) == unordered(other.distinct())
+    counted = other.groupBy(clean.packed_row(other)).count()
+    assert sorted(r[1] for r in counted.collect()) == [1, 2]
