@@ -170,7 +170,7 @@ def test_rows_are_packed_for_the_shuffle_and_come_back_whole(spark, rows):
     got = clean.drop_duplicate_rows(df)
     assert list(map(repr, unordered(got))) == list(map(repr, unordered(df.dropDuplicates()))) and got.dtypes == df.dtypes
     exchange = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
-    assert exchange and all("_line" in line and not any(f"{c}#" in line for c in ("b.c", "d", "e", "x")) for line in exchange)
+    assert exchange and all("hashpartitioning(_line#" in line for line in exchange)
     other = rows("a string, at timestamp, l array<int>", ("x", None, [1]), ("x", None, [1]), (None, None, None))
     assert unordered(clean.drop_duplicate_rows(other)) == unordered(other.distinct())
     counted = other.groupBy(clean.packed_row(other)).count()
